@@ -225,7 +225,7 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     scratch = Scratch(documents.sparkSession, "op8")
     sets = scratch.save(keyed(documents, width, per_cent))
     classes = scratch.save(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
-    own = sets.where("sig is not null").join(classes, ["sig"]).where("doc_id = node").select("node", "n", "keys", "vec").dropDuplicates(["node"])
+    own = sets.where("sig is not null").join(classes, ["sig"]).where("doc_id = node").select("node", "sig", "n", "keys", "vec").dropDuplicates(["node", "sig"])
     own = scratch.save(own)
     spread = own.select(F.explode("keys").alias("key"), "node")
     met = spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "key long, leader long, node long")
