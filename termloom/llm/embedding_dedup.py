@@ -1,8 +1,9 @@
 """Embedding near-dedup: spherical-cap filters from random product codes bring vectors together, cosines verify.
 
 A vector is rotated and cut into two blocks; each block has a codebook of random unit vectors, and every pair of
-codes is a filter direction. A vector lies in the caps whose summed block scores exceed a bound; sorted scores list
-them without trying all pairs of codes. Vectors at the wanted cosine share several caps with high probability.
+codes is a filter direction. A vector lies in the caps whose summed block scores exceed a bound; only codes that can
+reach it are paired. Several such codes, independently rotated, even out how many caps a vector gets, and each gives
+it at least its best ones. Vectors at the wanted cosine then share several caps with high probability.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ from .common import Scratch, connected
 from .jaccard_join import runs
 
 COSINE = 0.93
-CODES = 512  # of each of the two blocks
-CAPS = 40  # that a vector lies in, on average
+CODES = 256  # of each of the two blocks
+CAPS = 12  # that a vector lies in, on average, by each code
+LEAST = 2  # by each code
+TABLES = 5  # independent codes
 #: Vectors of a cap that one task compares; a larger cap is dealt out as pairs of blocks.
 BLOCK = 1024
 
 
 @cache
-def codebook(d: int, codes: int, caps: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def codebook(d: int, codes: int, caps: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(rotation, two codebooks, bound on the summed block scores) for dimension d."""
-    rng = np.random.default_rng([seed, d])
+    rng = np.random.default_rng([11, d, table])
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
     half = max(1, d // 2)
     books = []
@@ -40,19 +43,22 @@ def codebook(d: int, codes: int, caps: int, seed: int = 11) -> tuple[np.ndarray,
     return rotation, books[0], books[1], float(bound)
 
 
-def caps_of(unit: np.ndarray, codes: int, caps: int) -> list[np.ndarray]:
+def caps_of(unit: np.ndarray, codes: int, caps: int, tables: int, least: int = LEAST) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of all caps it lies in."""
     d = unit.shape[1]
-    rotation, left, right, bound = codebook(d, codes, caps)
-    x = unit @ rotation
-    a = x[:, : left.shape[1]] @ left.T
-    b = x[:, left.shape[1] :] @ right.T if d > 1 else np.zeros((len(x), codes))
-    out = []
-    for s, t in zip(a, b, strict=True):
-        i, j = np.flatnonzero(s >= bound - t.max()), np.flatnonzero(t >= bound - s.max())
-        p, q = np.nonzero(s[i][:, None] + t[j][None, :] >= bound)
-        out.append(np.sort(i[p] * codes + j[q]).astype(np.int32))
-    return out
+    out: list[list[np.ndarray]] = [[] for _ in unit]
+    for table in range(tables):
+        rotation, left, right, bound = codebook(d, codes, caps, table)
+        x = unit @ rotation
+        a = x[:, : left.shape[1]] @ left.T
+        b = x[:, left.shape[1] :] @ right.T if d > 1 else np.zeros((len(x), codes))
+        best_a, best_b = (np.partition(y, -least, axis=1)[:, -least:] for y in (a, b))
+        reach = np.sort((best_a[:, :, None] + best_b[:, None, :]).reshape(len(x), -1), axis=1)[:, -least]
+        for k, (s, t, low) in enumerate(zip(a, b, np.minimum(reach, bound), strict=True)):
+            i, j = np.flatnonzero(s >= low - t.max() - 1e-12), np.flatnonzero(t >= low - s.max() - 1e-12)
+            p, q = np.nonzero(s[i][:, None] + t[j][None, :] >= low - 1e-12)
+            out[k].append(i[p] * codes + j[q] + table * codes**2)
+    return [np.sort(np.concatenate(x)).astype(np.int32) for x in out]
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -69,7 +75,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int = CODES, caps: int = CAPS) -> DataFrame:
+def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int = CODES, caps: int = CAPS, tables: int = TABLES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; only rows with equal, non-null labels and equal dimension link.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing, nor does a row
@@ -92,7 +98,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int =
             for d in {len(v) for v in held}:
                 at = [k for k, v in enumerate(held) if len(v) == d]
                 x = np.array([held[k] for k in at], np.float64)
-                for k, c in zip(at, caps_of(x / np.linalg.norm(x, axis=1, keepdims=True), codes, caps), strict=True):
+                for k, c in zip(at, caps_of(x / np.linalg.norm(x, axis=1, keepdims=True), codes, caps, tables), strict=True):
                     found[k] = c
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label").cast(pa.string()), batch.column("weight"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["node", "label", "weight", "v", "caps"])
 
