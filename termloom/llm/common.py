@@ -36,10 +36,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

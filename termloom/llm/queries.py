@@ -8,6 +8,7 @@ from .common import table
 from .embedding_dedup import embedding_dedup
 from .html_extraction import extract_text
 from .jaccard_join import jaccard_join
+from .katz import katz_scores
 from .language import language_id
 from .mixing import mix
 from .packing import pack
@@ -23,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
