@@ -158,7 +158,7 @@ def identify(documents: DataFrame, model: Codes | None, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())], [*keep, "lang_pred", "score", "ambiguous"])
 
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, F.col("text").cast("string")).mapInArrow(predict, f"{kept}, lang_pred string, score double, ambiguous boolean")
+    return documents.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(predict, f"{kept}, lang_pred string, score double, ambiguous boolean")
 
 
 def language_id(documents: DataFrame, **options) -> DataFrame:

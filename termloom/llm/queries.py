@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import pack
 from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .suffix_dedup import digest, suffix_dedup
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("rate", "copies")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
