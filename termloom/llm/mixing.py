@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -37,22 +37,25 @@ def balance(cells: DataFrame, targets: list[float], names: list[str], means: lis
     """Newton on the dual of entropy balancing. cells: k int (source), size double, and covariate columns ``names``.
 
     Rates are exp(lambda_k + mu . (x - mean)); the constraints are sum of size * rate over source k = targets[k], and
-    weighted covariate means of the mix = ``means``. Each step is one aggregation by source; the Hessian is diagonal
-    in the sources, so mu follows from its Schur complement. Returns (lambda by source, mu).
+    weighted covariate means of the mix = ``means``. The Hessian is diagonal in the sources, so mu follows from its
+    Schur complement. A step is one aggregation by source where mu has moved; lambda only scales the sums of a
+    source, so without covariates the first aggregation serves all steps. Returns (lambda by source, mu).
     """
     n, c = len(targets), len(names)
+    raw = None
     lam, mu = np.zeros(n), np.zeros(c)
     target = np.array(targets)
     z = [F.col(x) - m for x, m in zip(names, means, strict=True)]
     for _ in range(steps):
-        tilt = sum((float(m) * x for m, x in zip(mu, z, strict=True)), F.lit(0.0))
-        w = F.col("size") * F.exp(tilt)
-        sums = [F.sum(w)] + [F.sum(w * a) for a in z] + [F.sum(w * z[i] * z[j]) for i in range(c) for j in range(c)]
-        got = np.zeros((n, 1 + c + c * c))
-        for row in cells.groupBy("k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).toLocalIterator():
-            got[row["k"]] = [row[f"s{i}"] for i in range(1 + c + c * c)]
-        live = (target > 0) & (got[:, 0] > 0)
-        got = got * np.exp(lam)[:, None]
+        if raw is None or c:
+            tilt = sum((float(m) * x for m, x in zip(mu, z, strict=True)), F.lit(0.0))
+            w = F.col("size") * F.exp(tilt)
+            sums = [F.sum(w)] + [F.sum(w * a) for a in z] + [F.sum(w * z[i] * z[j]) for i in range(c) for j in range(c)]
+            raw = np.zeros((n, 1 + c + c * c))
+            for row in cells.groupBy("k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect():
+                raw[row["k"]] = [row[f"s{i}"] for i in range(1 + c + c * c)]
+        live = (target > 0) & (raw[:, 0] > 0)
+        got = raw * np.exp(lam)[:, None]
         a, b, h = got[:, 0], got[:, 1 : 1 + c], got[:, 1 + c :].sum(axis=0).reshape(c, c)
         gap = np.where(live, a - target, 0.0)
         if np.all(np.abs(gap) <= near * np.maximum(1.0, target)) and np.all(np.abs(b.sum(axis=0)) <= near * max(1.0, target.sum())):
@@ -68,31 +71,36 @@ def balance(cells: DataFrame, targets: list[float], names: list[str], means: lis
     return lam, mu
 
 
-def round_to(rows: DataFrame, left: list[float], levels: int = 4, bits: int = 10) -> list[int]:
-    """For each source the cut so that rows with q < cut add up to its ``left`` words as nearly as whole rows allow.
+def round_to(rows: DataFrame, left: list[float], levels: int = 2, bits: int = 20) -> tuple[list[int], list[tuple[int, int]]]:
+    """For each source a cut, and one (q, size) more: rows with q < cut add up to at most its ``left`` words, and the
+    row beyond whose size is nearest to what is still wanting closes the gap ((-1, -1) where none does better).
 
     rows: k, q (levels * bits bits), size. Each level is one aggregation into 2^bits buckets a source, refined in the
     bucket where the running sum passes ``left``; only that bucket of each source comes to the driver.
     """
-    from pyspark.sql import Window
-
     spark, n = rows.sparkSession, len(left)
-    prefix, below, inside = [0] * n, [0] * n, [0] * n
+    prefix, below, passed = [0] * n, [0] * n, set()
     for level in range(levels):
         shift = bits * (levels - 1 - level)
         state = spark.createDataFrame([(k, prefix[k], float(below[k]), float(left[k])) for k in range(n)], "k int, p long, below double, goal double")
         state = F.broadcast(state) if n <= BROADCAST_SOURCES else state
         sums = rows.join(state, "k").where(F.shiftright("q", shift + bits) == F.col("p")).groupBy("k", "below", "goal", F.shiftright("q", shift).alias("bucket")).agg(F.sum("size").alias("s"))
-        order = Window.partitionBy("k").orderBy("bucket")
-        run = sums.withColumn("upto", F.col("below") + F.sum("s").over(order))
-        for row in run.where("upto > goal").groupBy("k").agg(F.min_by(F.struct("bucket", "upto", "s"), "bucket").alias("x")).toLocalIterator():
-            k, x = row["k"], row["x"]
-            prefix[k], below[k], inside[k] = x["bucket"], round(x["upto"]) - x["s"], x["s"]
-        passed = {row["k"] for row in run.where("upto > goal").select("k").distinct().toLocalIterator()} if level == 0 else passed
+        run = sums.withColumn("upto", F.col("below") + F.sum("s").over(Window.partitionBy("k").orderBy("bucket")))
+        crossed = {r["k"]: r["x"] for r in run.where("upto > goal").groupBy("k").agg(F.min_by(F.struct("bucket", "upto", "s"), "bucket").alias("x")).collect()}
+        passed = passed or set(crossed)
         for k in range(n):
-            if k not in passed:
+            if k in crossed and k in passed:
+                prefix[k], below[k] = crossed[k]["bucket"], round(crossed[k]["upto"]) - crossed[k]["s"]
+            else:
                 prefix[k] = 1 << (bits * (level + 1))
-    return [prefix[k] + (1 if k in passed and below[k] + inside[k] - left[k] < left[k] - below[k] else 0) for k in range(n)]
+    state = spark.createDataFrame([(k, prefix[k], float(left[k] - below[k])) for k in passed] or [(-1, 0, 0.0)], "k int, cut long, gap double")
+    state = F.broadcast(state) if n <= BROADCAST_SOURCES else state
+    error = F.abs(F.col("size") - F.col("gap"))
+    closest = rows.join(state, "k").where((F.col("q") >= F.col("cut")) & (error < F.col("gap"))).groupBy("k").agg(F.min_by(F.struct("q", "size"), F.struct(error, "q")).alias("x"))
+    extra = [(-1, -1)] * n
+    for r in closest.collect():
+        extra[r["k"]] = (r["x"]["q"], r["x"]["size"])
+    return prefix, extra
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, covariates: dict[str, tuple[Column, float]] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -100,7 +108,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
     Sources in code point order, the null source last, weigh ``weights`` in turn. A null or empty text has size 0 and
     takes nothing. Copies are the rate rounded down, plus one for the documents that a hash of doc_id (and the text,
-    for repeated ids) puts first, as many as the source's target needs: reruns agree. One row for each source comes
+    for repeated ids) puts first, as many as the source's target needs, and one that closes the gap: reruns agree. One row for each source comes
     to the driver. Covariates (column, mean wanted) are balanced in the mix too; rates stop at ``most``.
     """
     spark = documents.sparkSession
@@ -108,7 +116,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     extra = covariates or {}
     sized = documents.select(*keep, "source", F.size(split_words(F.coalesce("text", F.lit("")))).cast("long").alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_u"), *[c.cast("double").alias(f"x_{n}") for n, (c, _) in extra.items()])
     sized = scratch.save(sized)
-    sources = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).toLocalIterator()]
+    sources = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).collect()]
     sources = sorted((s for s in sources if s[0] is not None), key=lambda s: s[0]) + [s for s in sources if s[0] is None]
     sizes = [s for _, s in sources]
     targets = share_out(sizes, [weights[k % len(weights)] for k in range(len(sizes))], most)
@@ -126,11 +134,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     unit = F.pmod("_u", F.lit(1 << 40)) / F.lit(float(1 << 40))
     key = F.floor((unit - (F.col("rate") - whole) + 1) / 2 * F.lit(float(1 << 40))).cast("long")
     rated = scratch.save(rows.join(tilt, "k").withColumn("rate", rate).withColumn("q", key).withColumn("whole", whole).drop("_u", "lam", *names))
-    floors = {r["k"]: r["s"] for r in rated.groupBy("k").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).toLocalIterator()}
+    floors = {r["k"]: r["s"] for r in rated.groupBy("k").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
     left = [max(0.0, t - floors.get(k, 0)) for k, t in enumerate(targets)]
-    cuts = round_to(rated.where("size > 0 and rate < %r" % most).select("k", "q", "size"), left)
-    chosen = spark.createDataFrame([(k, c) for k, c in enumerate(cuts)], "k int, cut long")
+    cuts, extras = round_to(rated.where("size > 0 and rate < %r" % most).select("k", "q", "size"), left)
+    chosen = spark.createDataFrame([(k, c, *x) for k, (c, x) in enumerate(zip(cuts, extras, strict=True))], "k int, cut long, eq long, es long")
     chosen = F.broadcast(chosen) if len(sources) <= BROADCAST_SOURCES else chosen
-    copies = F.least(F.col("whole") + F.when((F.col("q") < F.col("cut")) & (F.col("rate") < most), 1).otherwise(0), F.lit(math.floor(most)))
+    copies = F.least(F.col("whole") + F.when(((F.col("q") < F.col("cut")) | (F.col("q") == F.col("eq")) & (F.col("size") == F.col("es"))) & (F.col("rate") < most), 1).otherwise(0), F.lit(math.floor(most)))
     done = rated.join(chosen, "k").withColumn("copies", copies.cast("long"))
     return done.select(*keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
