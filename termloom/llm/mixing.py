@@ -13,6 +13,9 @@ from .stats import split_words
 
 #: More sources than this are joined by shuffle instead of broadcast (a row is a name and three numbers).
 BROADCAST_SOURCES = 5_000
+#: A document's place in its source has LEVELS * BITS bits; a task sums at most 2^BITS buckets of a source at a time.
+LEVELS, BITS = 3, 14
+PLACES = 1 << (LEVELS * BITS)
 
 
 def share_out(sizes: list[int], weights: list[int], most: float) -> list[float]:
@@ -71,7 +74,7 @@ def balance(cells: DataFrame, targets: list[float], names: list[str], means: lis
     return lam, mu
 
 
-def round_to(rows: DataFrame, left: list[float], levels: int = 2, bits: int = 20) -> tuple[list[int], list[tuple[int, int]]]:
+def round_to(rows: DataFrame, left: list[float], levels: int = LEVELS, bits: int = BITS) -> tuple[list[int], list[tuple[int, int]]]:
     """For each source a cut, and one (q, size) more: rows with q < cut add up to at most its ``left`` words, and the
     row beyond whose size is nearest to what is still wanting closes the gap ((-1, -1) where none does better).
 
@@ -131,8 +134,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     score = sum((float(m) * (F.col(x) - c) for m, x, (_, c) in zip(mu, names, extra.values(), strict=True)), F.col("lam"))
     rate = F.round(F.least(F.exp(score), F.lit(most)), 9)
     whole = F.floor("rate").cast("long")
-    unit = F.pmod("_u", F.lit(1 << 40)) / F.lit(float(1 << 40))
-    key = F.floor((unit - (F.col("rate") - whole) + 1) / 2 * F.lit(float(1 << 40))).cast("long")
+    unit = F.pmod("_u", F.lit(PLACES)) / F.lit(float(PLACES))
+    key = F.floor((unit - (F.col("rate") - whole) + 1) / 2 * F.lit(float(PLACES))).cast("long")
     rated = scratch.save(rows.join(tilt, "k").withColumn("rate", rate).withColumn("q", key).withColumn("whole", whole).drop("_u", "lam", *names))
     floors = {r["k"]: r["s"] for r in rated.groupBy("k").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
     left = [max(0.0, t - floors.get(k, 0)) for k, t in enumerate(targets)]
