@@ -93,8 +93,8 @@ def repeated(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
     lengths = np.array([len(s) for s in strings])
     start = lengths[which[again]] - size[again]
     order = np.lexsort((start, which[again]))
-    cut = np.searchsorted(which[again][order], np.arange(n + 1))
-    return [start[order][cut[i] : cut[i + 1]] for i in range(n)]
+    cut = np.searchsorted(which[again][order], np.arange(1, n))
+    return np.split(start[order], cut)
 
 
 def solve(groups: list[list[tuple[bytes, bytes]]], width: int) -> list[list[np.ndarray]]:
