@@ -168,7 +168,7 @@ def test_top_values_cap(spark):
 
 def test_heads(spark, tmp_path):
     assert readers.detect_delimiter("a,b;c") == "," and readers.detect_delimiter("abc") == "," and readers.detect_delimiter("a;b;c,d") == ";"
-    assert readers.detect_encoding("é".encode()) == "UTF-8" and readers.detect_encoding("é".encode()[:1]) == "UTF-8" and readers.detect_encoding("é à".encode("latin-1")) == "ISO-8859-1"
+    assert readers.detect_encoding("é".encode()) == "UTF-8" and readers.detect_encoding("é".encode()[:1]) == "UTF-8" and readers.detect_encoding("é à é ã ç".encode("latin-1")) == "ISO-8859-1"
     (tmp_path / "x.csv").write_bytes("nome;n\nJoão;1\nNA;2\n".encode("latin-1"))
     got = [tuple(r) for r in readers.load(spark, str(tmp_path / "x.csv")).collect()]
     assert got == [("João", 1), (None, 2)]
