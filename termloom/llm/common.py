@@ -52,11 +52,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
-        """Let the context cleaner remove the shuffle files of finished phases."""
+        """Let the context cleaner remove the shuffle files of finished phases: Python lets go first, then the JVM."""
         import gc
+        import time
 
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.2)
+            self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def connected(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:

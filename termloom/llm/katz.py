@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from .common import Scratch, remainder
 from .words import STEP, batches_of, mixed
 
 #: Tokens of a chunk and keys of a bucket: they bound a task's memory, whatever the input.
-CHUNK, BUCKET = 2_000_000, 1_000_000
+CHUNK, BUCKET = 4_000_000, 1_000_000
 #: Counts up to this are discounted.
 GT_MAX = 5
 END, START = np.uint64(0x5E5E5E5E0E0E0E0E), np.uint64(0xA5A5A5A501010101)
@@ -30,8 +31,20 @@ ASK = "bucket int, chunk long, keys binary, x binary, y binary"
 ANSWER = "chunk long, kind int, part int, x binary, y binary"
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """An array's bytes, first bytes first, compressed: small numbers take little room wherever they travel."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1) if len(a) else b""
+
+
+def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def tokens(documents: DataFrame, modulus: int, left_out: int) -> DataFrame:
-    """Chunks of whole documents: ids, token counts, whether held out, token numbers, the sorted word hashes they number."""
+    """Chunks of whole documents: ids, token counts, whether held out, token numbers, the word hashes they number."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -40,9 +53,13 @@ def tokens(documents: DataFrame, modulus: int, left_out: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal n
             every = np.concatenate(words) if words else np.zeros(0, np.uint64)
-            vocab, idx = np.unique(every, return_inverse=True)
+            vocab, idx, counts = np.unique(every, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            vocab, idx = vocab[order], rank[idx]
             n += 1
-            row = [[base + n], [docs], [lens], [held], [idx.astype("<u4").tobytes()], [vocab.tobytes()]]
+            row = [[base + n], [docs], [lens], [held], [squeeze(idx.astype("<u4"))], [vocab.tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["chunk", "docs", "lens", "held", "idx", "vocab"])
 
@@ -71,7 +88,7 @@ class Chunk:
         self.id = row["chunk"]
         self.docs, self.held = row["docs"], np.array(row["held"], bool)
         self.lens = np.array(row["lens"], np.int64)
-        self.idx = np.frombuffer(row["idx"], "<u4").astype(np.int64)
+        self.idx = unsqueeze(row["idx"], "<u4").astype(np.int64)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
         self.first = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(~self.held, self.lens)
@@ -97,7 +114,7 @@ def asked(chunk: int, keys: np.ndarray, n: int, x: np.ndarray, y: np.ndarray | N
     bucket = bucket_of(keys, n)
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(n + 1))
-    rows = [(k, chunk, keys[o].tobytes(), x[o].tobytes(), y[o].tobytes() if y is not None else b"") for k in range(n) if len(o := order[at[k] : at[k + 1]])]
+    rows = [(k, chunk, keys[o].tobytes(), squeeze(x[o]), squeeze(y[o]) if y is not None else b"") for k in range(n) if len(o := order[at[k] : at[k + 1]])]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "x", "y"])
 
 
@@ -106,7 +123,7 @@ def put_back(keys: np.ndarray, n: int, parts: dict[int, bytes], kind: str) -> np
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(n + 1))
     for k, raw in parts.items():
-        out[order[at[k] : at[k + 1]]] = np.frombuffer(raw, kind)
+        out[order[at[k] : at[k + 1]]] = unsqueeze(raw, kind)
     return out
 
 
@@ -119,7 +136,7 @@ def merged(kind: int, counts: bool) -> Callable[[tuple, pa.Table], pa.Table]:
         keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")])
         found, at = np.unique(keys, return_inverse=True)
         ends = np.cumsum(sizes)
-        x = np.concatenate([np.frombuffer(v.as_buffer(), "<u4" if counts else "<f8") for v in table.column("x")])
+        x = np.concatenate([unsqueeze(v, "<u4" if counts else "<f8") for v in table.column("x").to_pylist()])
         total = np.bincount(at, x, len(found))
         chunks, xs, ys = table.column("chunk").to_pylist(), [], []
         if counts:
@@ -132,11 +149,11 @@ def merged(kind: int, counts: bool) -> Callable[[tuple, pa.Table], pa.Table]:
             stats = np.array([*small[1 : GT_MAX + 2], (total > 0).sum(), total.sum()], "<i8")
         else:
             answer = total[at]
-            y = np.bincount(at, np.concatenate([np.frombuffer(v.as_buffer(), "<f8") for v in table.column("y")]), len(found))[at]
+            y = np.bincount(at, np.concatenate([unsqueeze(v, "<f8") for v in table.column("y").to_pylist()]), len(found))[at]
         for end, size in zip(ends, sizes, strict=True):
             part = answer[end - size : end]
-            xs.append(part.astype("<u4").tobytes() if counts and part.max(initial=0) < 1 << 32 else part.tobytes())
-            ys.append(b"" if counts else y[end - size : end].tobytes())
+            xs.append(squeeze(part))
+            ys.append(b"" if counts else squeeze(y[end - size : end]))
         if counts:
             chunks, xs, ys = [*chunks, -1], [*xs, stats.tobytes()], [*ys, b""]
         n = len(chunks)
@@ -151,8 +168,7 @@ def counts_back(keys: np.ndarray, n: int, parts: dict[int, bytes]) -> tuple[np.n
     at = np.searchsorted(bucket[order], np.arange(n + 1))
     out = np.zeros(len(keys), np.int64)
     for k, raw in parts.items():
-        size = at[k + 1] - at[k]
-        out[order[at[k] : at[k + 1]]] = np.frombuffer(raw, "<u4" if len(raw) == 4 * size else "<u8")
+        out[order[at[k] : at[k + 1]]] = unsqueeze(raw, "<u8")
     return out >> 1, (out & 1).astype(bool)
 
 
@@ -237,7 +253,8 @@ def katz_scores(documents: DataFrame, modulus: int = 5, left_out: int = 1) -> Da
         rows = [np.frombuffer(r["x"], "<i8") for r in answer.where("chunk = -1").select("x").toLocalIterator()]
         return np.sum(rows, axis=0) if rows else np.zeros(GT_MAX + 3, np.int64)
 
-    word_totals, pair_totals = totals(ask_words, 1), totals(ask_pairs, 2)
+    word_totals = totals(ask_words, 1)
+    pair_totals = totals(ask_pairs, 2)
     scratch.release()
     words, pairs = stats(word_totals), stats(pair_totals)
     model = Model(int(words[-1]), int(words[-2]), texts, pairs[: GT_MAX + 1])
