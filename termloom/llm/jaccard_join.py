@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected
-from .words import batches_of, shingles
+from .words import batches_of, mixed, shingles
 
 WIDTH, NUMERATOR = 5, 75  # words a shingle; per cent of the union
-GROUPS = 64
+GROUPS = 256
 #: Slots of the shingle frequencies that order a set's members; a fixed 4 MB whatever the input.
 SLOTS = 1 << 20
 #: Texts that one verification or index task holds of a group; larger groups are dealt out as pairs of blocks.
@@ -63,7 +63,7 @@ def frequencies(documents: DataFrame, width: int) -> np.ndarray:
 
 
 def vector(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 class Box:
@@ -127,7 +127,8 @@ def keyed(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
                 sizes.append(n)
                 sigs.append(int(np.bitwise_xor.reduce(found * np.uint64(0xD6E8FEB86659FD93) ^ (found >> np.uint64(29))).astype(np.int64)) if n else None)
                 keys.append(found[rare].view(np.int64))
-                vectors.append(vector(found).astype("<i4").tobytes())
+                grouped = vector(found)
+                vectors.append(grouped.astype("<u2" if n < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], ["doc_id", "n", "sig", "keys", "vec"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "doc_id long, n long, sig long, keys array<long>, vec binary")
@@ -181,13 +182,65 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows])) for i in range(3)], ["key", "leader", "node"])
 
 
+def points_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Count vectors as rows; those of very large sets come with four bytes a count."""
+    raws = [v.as_buffer() for v in column]
+    return np.stack([np.frombuffer(r, "<u2" if r.size == 2 * GROUPS else "<u4").astype(np.int32) for r in raws]) if raws else np.zeros((0, GROUPS), np.int32)
+
+
+def bounded(pairs: DataFrame, own: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs whose sizes and summed coordinate minima allow the overlap they need."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = np.minimum(points_of(batch.column("va")), points_of(batch.column("vb"))).sum(axis=1)
+            good = (most >= needed(na, nb, per_cent)) & (100 * np.minimum(na, nb) >= per_cent * np.maximum(na, nb))
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    left = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
+    both = left.join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
+    return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(keep, "a long, b long").distinct()
+
+
+#: Bits of the filter that keeps texts which surely need no verification from being moved; a fixed 1 MB.
+BITS = 1 << 23
+
+
+def bit_of(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - 23)).astype(np.int64)
+
+
+def marked(nodes: DataFrame) -> np.ndarray:
+    """A bit for each node; whoever has none is not among them."""
+    part = BITS // 16
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[bit_of(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([np.packbits(bits[k * part : (k + 1) * part]).tobytes() for k in range(16)], pa.binary())], ["k", "x"])
+
+    def either(table: pa.Table) -> pa.Table:
+        joined = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("x")])
+        return pa.table({"k": table.column("k").slice(0, 1), "x": pa.array([joined.tobytes()], pa.binary())})
+
+    out = np.zeros(BITS, bool)
+    for row in nodes.mapInArrow(mark, "k int, x binary").groupBy("k").applyInArrow(either, "k int, x binary").collect():
+        out[row["k"] * part : (row["k"] + 1) * part] = np.unpackbits(np.frombuffer(row["x"], np.uint8)).astype(bool)
+    return out
+
+
 def verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, width: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole shingle sets reach the threshold."""
     pairs = scratch.save(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = scratch.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    bits = documents.sparkSession.sparkContext.broadcast(marked(nodes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(bits.value[bit_of(batch.column(0).to_numpy())]))
             held = [found.tobytes() for _, found in rows_of(batch, width)]
             for at in range(0, len(held), 256):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(held[at : at + 256], pa.binary())], ["node", "s"])
@@ -197,15 +250,16 @@ def verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, width: in
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= per_cent * max(len(x), len(y)) else 0
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both > 0 and 100 * both >= per_cent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    held = scratch.save(wanted.mapInArrow(sets, "node long, s binary"))
+    made = documents.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(sets, "node long, s binary")
+    held = scratch.save(made.join(nodes, "node", "left_semi"))
+    scratch.release()
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     out = scratch.save(both.select("a", "b", "sa", "sb").mapInArrow(share, "a long, b long"))
-    scratch.drop(pairs, held)
+    scratch.drop(pairs, held, nodes)
     scratch.release()
     return out
 
@@ -218,21 +272,23 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     each row counts and all get the component of any; a row with a null id is alone with component null.
 
     Linked sets share one of each other's rarest members, so texts meet by these. In each meeting the least node
-    stands for the others: whoever links with it needs no further look. What such stars leave apart goes through the
+    stands for the others: pairs that their count vectors allow are verified, and whoever links with it needs no
+    further look. What such stars leave apart goes through the
     count-vector R-tree, and the pairs that its bounds let through are verified too. Nothing is capped.
     """
     documents = documents.select("doc_id", "text")
     scratch = Scratch(documents.sparkSession, "op8")
     sets = scratch.save(keyed(documents, width, per_cent))
-    classes = scratch.save(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
-    own = sets.where("sig is not null").join(classes, ["sig"]).where("doc_id = node").select("node", "sig", "n", "keys", "vec").dropDuplicates(["node", "sig"])
-    own = scratch.save(own)
-    spread = own.select(F.explode("keys").alias("key"), "node")
-    met = spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "key long, leader long, node long")
-    met = scratch.save(met)
+    slim = scratch.save(sets.drop("keys"), compression="zstd")
+    classes = scratch.save(slim.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
+    first = classes.select("sig", F.col("node").alias("doc_id"))
+    spread = sets.join(first, ["doc_id", "sig"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    met = scratch.save(spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "key long, leader long, node long"))
+    scratch.drop(sets)
     scratch.release()
-    pairs = met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(pairs, documents, scratch, width, per_cent)
+    own = scratch.save(slim.join(first, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("node"), "n", "vec"), compression="zstd")
+    pairs = scratch.save(met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    links = verified(bounded(pairs, own, per_cent), documents, scratch, width, per_cent)
     joined = scratch.save(connected(links, scratch))
 
     # Meetings whose members the stars did not join: bounded by the R-tree, each distinct membership once.
@@ -249,7 +305,7 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
         for run in runs(batches, []):
             t = pa.Table.from_batches(run)
             node, component, n, side = (t.column(c).to_numpy() for c in ("node", "component", "n", "side"))
-            points = np.stack([np.frombuffer(v.as_buffer(), "<i4") for v in t.column("vec")])
+            points = points_of(t.column("vec"))
             if (side >= 0).any():
                 parts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 if not all(map(len, parts)):
@@ -265,7 +321,7 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     more = verified(left, documents, scratch, width, per_cent)
     whole = scratch.save(connected(links.union(more), scratch))
     named = classes.join(whole, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    out = sets.select("doc_id", "n", "sig").join(named, "sig", "left")
+    out = slim.select("doc_id", "n", "sig").join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
