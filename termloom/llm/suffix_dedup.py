@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,53 +172,86 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
             for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
                 hs, places = (marks.values.field(c).to_numpy() for c in ("h", "at"))
-                out += [(h, key, a, raw[max(0, a - width + 1) : a], raw[a + k : a + k + width - 1]) for h, a in zip(hs.tolist(), places.tolist(), strict=True)]
+                for h, at in zip(hs.tolist(), places.tolist(), strict=True):
+                    low = max(0, at - width + 1)
+                    left, right = raw[low:at], raw[at + k : at + k + width - 1]
+                    out.append((h, xxhash.xxh3_64_intdigest(left + right, seed=len(left)) >> 1, key, at, left, right))
                 while len(out) >= 4096:
                     yield packed(out[:4096])
                     out = out[4096:]
             yield packed(out)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["h", "key", "at", "a", "b"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["h", "c", "key", "at", "a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by h, a, b: members of a group with equal contexts are one distinct context with several places."""
-        held: list[tuple[list[tuple[bytes, bytes]], list[list[tuple[int, int]]]]] = []
+        """Sorted by h and c, the hash of a context. Where all contexts of an anchor are one, all of it repeats; other
+        groups go into collections, each distinct context once."""
+        held: list[tuple[list[tuple[bytes, bytes]], list[tuple[np.ndarray, np.ndarray]]]] = []
         size = 0
 
+        def rows(keys: list[np.ndarray], starts: list[np.ndarray], ends: list[np.ndarray]) -> pa.RecordBatch:
+            parts = ((keys, pa.int64()), (starts, pa.int32()), (ends, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in parts], ["key", "start", "end"])
+
         def finish() -> pa.RecordBatch:
-            open_ = [g for g, _ in held if 1 < len(g) <= COLLECTION]
+            nonlocal held, size
+            open_ = [g for g, _ in held if len(g) <= COLLECTION]
             solved = iter(solve(open_, width)) if open_ else iter(())
-            rows: list[tuple[int, int, int]] = []
+            out: tuple[list, list, list] = ([], [], [])
             for group, places in held:
-                starts = next(solved) if 1 < len(group) <= COLLECTION else halves(group, width, COLLECTION) if len(group) > 1 else [np.zeros(0, np.int64)]
-                for (a, b), where, found in zip(group, places, starts, strict=True):
-                    if len(where) > 1:
-                        found = np.arange(min(len(a), len(a) + 1 + len(b) - width) + 1)
-                    found = found[found <= len(a)]
-                    if not len(found):
+                found = next(solved) if len(group) <= COLLECTION else halves(group, width, COLLECTION)
+                for (a, b), (keys, at), starts in zip(group, places, found, strict=True):
+                    if len(keys) > 1:
+                        starts = np.arange(min(len(a), len(a) + 1 + len(b) - width) + 1)
+                    starts = starts[starts <= len(a)]
+                    if not len(starts):
                         continue
-                    cuts = np.flatnonzero(np.diff(found) > length)
-                    runs = list(zip(found[np.concatenate(([0], cuts + 1))].tolist(), found[np.concatenate((cuts, [-1]))].tolist(), strict=True))
-                    rows += [(key, at - len(a) + s, at - len(a) + e + length) for key, at in where for s, e in runs]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["key", "start", "end"])
-
-        last = None
+                    cuts = np.flatnonzero(np.diff(starts) > length)
+                    for s, e in zip(starts[np.concatenate(([0], cuts + 1))].tolist(), starts[np.concatenate((cuts, [-1]))].tolist(), strict=True):
+                        out[0].append(keys)
+                        out[1].append(at - len(a) + s)
+                        out[2].append(at - len(a) + e + length)
+            held, size = [], 0
+            return rows(*out)
+
+        def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Complete groups."""
+            nonlocal size
+            h, c, key, at = (table.column(i).to_numpy() for i in range(4))
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            other = new | np.concatenate(([True], c[1:] != c[:-1]))
+            first = np.flatnonzero(new)
+            kinds = np.add.reduceat(other.astype(np.int64), first)
+            sizes = np.diff(np.concatenate((first, [len(h)])))
+            left, right = (pc.binary_length(table.column(i)).to_numpy() for i in (4, 5))
+            one = np.repeat((kinds == 1) & (sizes > 1), sizes) & (left + right + k >= length)
+            yield rows([key[one]], [(at - left)[one]], [(at + k + right)[one]])
+            for g in np.flatnonzero(kinds > 1).tolist():
+                lo, hi = first[g], first[g] + sizes[g]
+                cuts = (lo + np.flatnonzero(other[lo:hi])).tolist()
+                group = [(table.column(4)[i].as_py(), table.column(5)[i].as_py()) for i in cuts]
+                held.append((group, [(key[i:j], at[i:j]) for i, j in zip(cuts, [*cuts[1:], hi], strict=True)]))
+                size += len(group)
+                if size >= COLLECTION or len(held) >= 60_000:
+                    yield finish()
+
+        carry: list[pa.RecordBatch] = []
         for batch in batches:
-            for h, key, at, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if h != last:
-                    if size >= COLLECTION or len(held) >= 60_000:
-                        yield finish()
-                        held, size = [], 0
-                    held.append(([], []))
-                    last = h
-                group, places = held[-1]
-                if not group or group[-1] != (a, b):
-                    group.append((a, b))
-                    places.append([])
-                    size += 1
-                places[-1].append((key, at))
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
+            if carry and h[0] != carry[-1].column(0)[-1].as_py():
+                yield from whole(pa.Table.from_batches(carry).combine_chunks())
+                carry = []
+            if len(edges):
+                yield from whole(pa.Table.from_batches([*carry, batch.slice(0, edges[-1])]).combine_chunks())
+                carry = []
+            carry.append(batch.slice(edges[-1] if len(edges) else 0))
+        if carry:
+            yield from whole(pa.Table.from_batches(carry).combine_chunks())
         if held:
             yield finish()
 
@@ -225,8 +260,8 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
     scratch.release()
     by_text = shared.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
     once = documents.select("key", "text").join(by_text, "key")
-    around = once.mapInArrow(contexts, "h long, key long, at int, a binary, b binary")
-    found = scratch.save(around.repartition("h").sortWithinPartitions("h", "a", "b").mapInArrow(search, "key long, start long, end long"), compression="zstd")
+    around = once.mapInArrow(contexts, "h long, c long, key long, at int, a binary, b binary")
+    found = scratch.save(around.repartition("h").sortWithinPartitions("h", "c").mapInArrow(search, "key long, start int, end int"), compression="zstd")
     scratch.drop(shared)
     scratch.release()
     return found
@@ -243,7 +278,7 @@ def suffix_dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), leng
     scratch = Scratch(documents.sparkSession, "op10")
     keyed = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64(*keep, "text"))
     found = spans(keyed, scratch, length, k)
-    by_text = found.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    by_text = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     n = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
