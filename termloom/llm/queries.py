@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .html_extraction import extract_text
@@ -64,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_embedding_dedup": oracles.EMBEDDINGS, "op8_jaccard_join": oracles.JACCARD, "op10_suffix_dedup": oracles.REPEATS}
