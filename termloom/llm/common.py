@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,15 +66,50 @@ class Scratch:
         time.sleep(0.3)
 
 
+#: Edges that one task joins by itself; more are shared out.
+EDGES = 500_000
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one task -> (a, b), each of their nodes but the least of its component with that least."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate([x.column(i).to_numpy() for x in parts]) for i in (0, 1))
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    root = np.array([find(x) for x in range(len(names))])
+    low = np.flatnonzero(root != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[low]), pa.array(names[root[low]])], ["a", "b"])
+
+
 def connected(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long): component is the least node reachable.
 
-    Alternating large-star and small-star steps; each written, until no edge changes. A hub only meets the
-    minimum of its neighbours, pre-aggregated, never a list of them.
+    In each round tasks of about EDGES edges turn theirs into stars around the least nodes; where there is but one
+    task, that is the answer. Else alternating large-star and small-star steps join the stars across tasks, until no
+    edge changes. A hub only meets the minimum of its neighbours, pre-aggregated, never a list of them.
     """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     mark = None
     for _ in range(rounds):
+        tasks = max(1, -(-now.count() // EDGES))
+        local = now.repartition(tasks).mapInArrow(forest, "a long, b long")
+        if tasks == 1:
+            now = scratch.save(local)
+            break
+        now = scratch.save(local)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -424,3 +424,27 @@ def test_words(spark):
         for r in range(i, j):
             out[r] = h[first[r - i] : first[r - i + 1]].tolist()
     assert out[0] == out[4] and out[1] == out[2] == [] and len(out[3]) == 1 and len(set(out[5])) == 1 and len(out[5]) == 1000 and out[6][0] != out[6][1]
+
+
+# ---- components
+
+
+@pytest.mark.parametrize("most", [7, 500_000])
+def test_connected(spark, most, monkeypatch):
+    from termloom.llm import common
+
+    monkeypatch.setattr(common, "EDGES", most)
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in common.connected(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "t")).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        s, t = sorted((find(a), find(b)))
+        parent[t] = s
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
