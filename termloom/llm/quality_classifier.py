@@ -48,7 +48,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     out = Trees(np.zeros((0, inner), "int64"), np.zeros((0, inner)), np.zeros((0, inner + 1)), base)
     if n < 2 or y.min() == y.max():
         return out
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
+    steps = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins), method="nearest")) for j in range(m)]
+    cuts = [(s[1:] + s[:-1]) / 2 for s in steps]  # between values seen, so that no class starts at the other's edge
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(m)], axis=1)  # > cut means right
     margin, grown = np.full(n, base), []
     for _ in range(trees):

@@ -45,12 +45,20 @@ def precision(bad: float, good: float) -> float:
     return (bad + 1) / (bad + good + 2)
 
 
+def with_margin(rows: DataFrame, within: Column, rule: list[Literal], keep: float = 0.02) -> list[Literal]:
+    """Thresholds moved half way to where the covered bad rows begin (but for a share ``keep``): what lies between the
+    good rows and the bad ones is left to the good. One aggregation."""
+    aggs = [F.percentile_approx(f"f_{f}", keep if op == ">" else 1 - keep, 2000).alias(f"p{i}") for i, (f, op, _) in enumerate(rule)]
+    edge = rows.where(within & F.col("bad") & holds(rule)).agg(*aggs).first()
+    return [(f, op, t if edge[i] is None else (t + edge[i]) / 2) for i, (f, op, t) in enumerate(rule)]
+
+
 def learn(labelled: DataFrame, scratch: Scratch, max_rules: int = 6, max_literals: int = 3, bins: int = 16, least_precision: float = 0.8, least_cover: int = 5) -> list[list[Literal]]:
     """An ordered list of rejecting rules. ``labelled``: the f_ columns, bad boolean, fold int (0 prunes, others grow).
 
     Grow: add the literal with the best first-order information gain on the growing rows. Prune: cut trailing
     literals while that does not lower (bad - good) / (bad + good) on the pruning rows. A rule stays when it is
-    precise and covers enough on all rows not yet covered. No labels, or none bad: no rules.
+    precise and covers enough on all rows not yet covered; it gets a margin then. No labels, or none bad: no rules.
     """
     import math
 
@@ -87,6 +95,7 @@ def learn(labelled: DataFrame, scratch: Scratch, max_rules: int = 6, max_literal
         b, g = total(left & holds(rule))
         if precision(b, g) < least_precision or b < least_cover:
             break
+        rule = with_margin(rows, left, rule)
         rules.append(rule)
         left = left & ~holds(rule)
     scratch.drop(rows)
