@@ -33,10 +33,20 @@ def remainder(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))
 
 
+#: Long texts make large Arrow batches: they end at this size unless the session's own settings say otherwise.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.sparkContext.getConf().get(BATCH_BYTES[0]) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 class Scratch:
     """Written intermediate tables: they cut lineage, survive lost executors and are dropped by name when done with."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def save(self, df: DataFrame, **options) -> DataFrame:

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# Freed batches go back to the system at once, as workers live long and share an executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Odd, so it has an inverse modulo 2^64.
 STEP = 0x9E3779B97F4A7C15
 INVERSE = pow(STEP, -1, 1 << 64)
 #: Texts are taken together up to about this many bytes; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
