@@ -71,13 +71,13 @@ class Codes:
         return share @ self.weights / self.scale
 
     def decode(self, share: np.ndarray) -> tuple[int, float, bool]:
-        """(language, score, ambiguous): the codeword with the least weighted loss, its soft share, and whether another is near."""
+        """(language, score, ambiguous): the codeword with the least weighted loss, its soft share, and whether that is no majority."""
         margin = np.clip(self.bits(share), -6, 6)
         loss = np.log1p(np.exp(-self.matrix * margin)) @ self.trust
         order = np.argsort(loss, kind="stable")
         share = np.exp(-(loss - loss[order[0]]))
         score = float(1.0 / share.sum())
-        return int(order[0]), score, score < 0.6
+        return int(order[0]), score, score < 0.5
 
 
 def bit_weights(sums: np.ndarray, matrix: np.ndarray, smooth: float = 1e-6) -> np.ndarray:
