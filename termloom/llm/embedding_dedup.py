@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected
-from .jaccard_join import runs
 
 COSINE = 0.93
 CODES = 256  # of each of the two blocks
@@ -109,35 +108,64 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int =
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1))
     met = met.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "cap", side.alias("side")).join(marked, "node")
 
+    def meet(node, weight, side, cap: int, x: np.ndarray, caps_at) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(node, links that count in this cap, least node joined here) of those that link; one cap's rows, or two blocks of it."""
+        two = bool((side >= 0).any())
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(node)),) * 2
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        close = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= cosine
+        if not two:
+            close = np.triu(close, 1)
+        if not close.any():
+            return None
+        i, j = np.nonzero(close)
+        i, j = left[i], right[j]
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        lower = [c[c < cap].tolist() for c in map(caps_at, used.tolist())]
+        names = {c: n for n, c in enumerate(sorted({c for low in lower for c in low}))}
+        inside = np.zeros((len(used), len(names)), np.float32)
+        for n, low in enumerate(lower):
+            inside[n, [names[c] for c in low]] = 1
+        a, b = at[: len(i)], at[len(i) :]
+        first = ~((inside @ inside.T)[a, b] > 0) if names else np.ones(len(a), bool)
+        links = np.bincount(a[first], weight[used[b[first]]], len(used)) + np.bincount(b[first], weight[used[a[first]]], len(used))
+        return node[used], links.astype(np.int64), node[used[roots(len(used), a, b)]]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, []):
-            t = pa.Table.from_batches(run)
-            node, weight, side = (t.column(c).to_numpy() for c in ("node", "weight", "side"))
-            if len(node) < 2:
-                continue
-            x = np.array(t.column("v").to_pylist(), np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            two = bool((side >= 0).any())
-            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(node)),) * 2
-            close = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= cosine
-            if not two:
-                close = np.triu(close, 1)
-            i, j = np.nonzero(close)
-            if not len(i):
+        """Sorted by task; a batch's complete runs are compared, its last one waits for the next batch."""
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            column = {c: table.column(c).combine_chunks() for c in table.column_names}
+            task, node, weight, side, cap = (column[c].to_numpy() for c in ("task", "node", "weight", "side", "cap"))
+            values, ends = column["v"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(column["v"].value_lengths().to_numpy())))
+            marks, cuts = column["caps"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(column["caps"].value_lengths().to_numpy())))
+            edges = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)])).tolist()
+            out = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi - lo > 1:
+                    x = values[ends[lo] : ends[hi]].astype(np.float64).reshape(hi - lo, -1)
+                    got = meet(node[lo:hi], weight[lo:hi], side[lo:hi], int(cap[lo]), x, lambda r, lo=lo: marks[cuts[lo + r] : cuts[lo + r + 1]])
+                    if got is not None:
+                        out.append(got)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["node", "links", "root"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            i, j = left[i], right[j]
-            cap, held = t.column("cap")[0].as_py(), t.column("caps").to_pylist()
-            used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-            lower = [[c for c in held[k] if c < cap] for k in used]
-            names = {c: n for n, c in enumerate(sorted({c for low in lower for c in low}))}
-            inside = np.zeros((len(used), len(names)), np.float32)
-            for n, low in enumerate(lower):
-                inside[n, [names[c] for c in low]] = 1
-            a, b = at[: len(i)], at[len(i) :]
-            first = ~((inside @ inside.T)[a, b] > 0) if names else np.ones(len(a), bool)
-            links = np.bincount(a[first], weight[used[b[first]]], len(used)) + np.bincount(b[first], weight[used[a[first]]], len(used))
-            root = roots(len(used), a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(links.astype(np.int64)), pa.array(node[used[root]])], ["node", "links", "root"])
+            task = batch.column(0).to_numpy()
+            edges = np.flatnonzero(task[1:] != task[:-1]) + 1
+            if held and task[0] != held[-1].column(0)[-1].as_py():
+                yield from done(pa.Table.from_batches(held))
+                held = []
+            if len(edges):
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, edges[-1])]))
+                held = []
+            held.append(batch.slice(edges[-1] if len(edges) else 0))
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     found = scratch.save(met.repartition("task").sortWithinPartitions("task").select("task", "node", "cap", "side", "weight", "v", "caps").mapInArrow(compare, "node long, links long, root long"))
     joined = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
