@@ -2,55 +2,30 @@
 
 from __future__ import annotations
 
+import csv
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, unaccent
 
-# The part of the domain vocabulary that decides names in common tables, in its order of priority.
-# Larger vocabularies are a parameter: see ``read_dictionary``.
-DOMAIN_TERMS = {
-    "regional": ["Regional", "Local", "Típico"],
-    "urbano": ["Urbano", "Urban", "City"],
-    "laboratorio": ["Laboratório", "Laboratory", "Lab"],
-    "venda": ["Venda", "Sale", "Sales Transaction"],
-    "produto_comercial": ["Produto", "Product", "Item", "Merchandise"],
-    "basico": ["Básico", "Basic", "Standard"],
-    "cep": ["CEP", "Código Postal", "Postal Code", "ZIP Code", "Zip"],
-    "cidade": ["Cidade", "Município", "City", "Localidade", "Municipal"],
-    "estado": ["Estado", "UF", "Unidade Federativa", "State", "Província", "Federação"],
-    "pais": ["País", "Country", "Nação", "Nation", "Nacionalidade"],
-    "endereco": ["Endereço", "Address", "Logradouro", "Rua", "Street", "Avenida", "Av", "Endereços"],
-    "rua": ["Rua", "Street", "St", "R"],
-    "avenida": ["Avenida", "Avenue", "Ave", "Av"],
-    "alameda": ["Alameda", "Alameda", "Al"],
-    "bairro": ["Bairro", "Distrito", "Neighborhood", "District", "Zone", "Area"],
-    "numero": ["Número", "Number", "Nº", "No", "Num", "#"],
-    "categoria": ["Categoria", "Tipo", "Segmento", "Category", "Type", "Classification"],
-    "rede": ["Rede", "Network", "LAN", "WAN", "WiFi", "Ethernet"],
-    "cnpj": ["CNPJ", "CPF", "Tax ID", "Corporate ID", "Federal ID"],
-    "usuario": ["Usuário", "User", "Login", "Account", "Username"],
-    "ip": ["IP", "Endereço IP", "IP Address", "Network Address"],
-    "so": ["Sistema Operacional", "SO", "OS", "Operating System"],
-    "dominio": ["Domínio", "Domain", "URL", "Website", "Site"],
-    "doc": ["DOC", "Document Transfer", "Bank Document"],
-    "preco": ["Preço", "Price", "Cost", "Value", "Amount"],
-    "cliente": ["Cliente", "Customer", "Client", "Consumer"],
-    "marca": ["Marca", "Brand", "Trademark", "Label"],
-    "qualidade": ["Qualidade", "Quality", "Standard", "Excellence"],
-    "lote": ["Lote", "Batch", "Lot", "Production Batch"],
-    "data": ["Data", "Date", "Day", "Calendar Date"],
-    "ano": ["Ano", "Year", "Annual"],
-    "mes": ["Mês", "Month", "Monthly"],
-    "id": ["ID", "Identificação", "Código", "Code", "Identifier"],
-    "telefone": ["Telefone", "Phone", "Tel", "Phone Number"],
-    "email": ["Email", "E-mail", "Electronic Mail", "Email Address"],
-}
+VOCABULARY = resources.files(__package__) / "domain_terms.csv"
+
+
+@cache
+def domain_terms() -> dict[str, list[str]]:
+    """The whole domain vocabulary in its order of priority; a key given twice has its first place and its last value."""
+    out: dict[str, list[str]] = {}
+    for row in csv.DictReader(VOCABULARY.read_text(encoding="utf-8").splitlines()):
+        out.setdefault(row["tipo"], []).append(row["synonym"])
+    return out
 
 
 def dictionary(spark: SparkSession, terms: dict[str, list[str]] | None = None) -> DataFrame:
-    """(prio, tipo, syn_prio, synonym), synonyms folded once. The mapping's order is the order of priority."""
-    rows = [(i, t, j, s) for i, (t, many) in enumerate((terms or DOMAIN_TERMS).items()) for j, s in enumerate(many)]
+    """(prio, tipo, syn_prio, synonym), synonyms folded once. The mapping's order is the order of priority; without one, the whole vocabulary."""
+    rows = [(i, t, j, s) for i, (t, many) in enumerate((domain_terms() if terms is None else terms).items()) for j, s in enumerate(many)]
     return folded(spark.createDataFrame(rows, "prio int, tipo string, syn_prio int, synonym string"))
 
 

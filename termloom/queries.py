@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.similarity import indel_ratio
 from .functions.text import format_cep, normalize_generic, slugify, tokens
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
-from .operators.dictionary import DOMAIN_TERMS, column_types, dictionary
+from .operators.dictionary import column_types, dictionary
 from .plans.profile import clusters_of, long_report, profile
 from .sources import readers, sinks
 from .streaming.ingest import read_files, running_counts
@@ -207,9 +207,50 @@ def norm_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("norm", F.array_join("originais", "; ").alias("originais"), F.size("ids").cast("long").alias("n_ids"))
 
 
+# Fixed values of the SQL alone: a part of the vocabulary. It lacks 'Dia', so the SQL leaves Diâmetro without the label
+# 'dia' that the whole vocabulary gives; the query and its SQL differ in that row.
+ORACLE_TERMS = {
+    "regional": ["Regional", "Local", "Típico"],
+    "urbano": ["Urbano", "Urban", "City"],
+    "laboratorio": ["Laboratório", "Laboratory", "Lab"],
+    "venda": ["Venda", "Sale", "Sales Transaction"],
+    "produto_comercial": ["Produto", "Product", "Item", "Merchandise"],
+    "basico": ["Básico", "Basic", "Standard"],
+    "cep": ["CEP", "Código Postal", "Postal Code", "ZIP Code", "Zip"],
+    "cidade": ["Cidade", "Município", "City", "Localidade", "Municipal"],
+    "estado": ["Estado", "UF", "Unidade Federativa", "State", "Província", "Federação"],
+    "pais": ["País", "Country", "Nação", "Nation", "Nacionalidade"],
+    "endereco": ["Endereço", "Address", "Logradouro", "Rua", "Street", "Avenida", "Av", "Endereços"],
+    "rua": ["Rua", "Street", "St", "R"],
+    "avenida": ["Avenida", "Avenue", "Ave", "Av"],
+    "alameda": ["Alameda", "Alameda", "Al"],
+    "bairro": ["Bairro", "Distrito", "Neighborhood", "District", "Zone", "Area"],
+    "numero": ["Número", "Number", "Nº", "No", "Num", "#"],
+    "categoria": ["Categoria", "Tipo", "Segmento", "Category", "Type", "Classification"],
+    "rede": ["Rede", "Network", "LAN", "WAN", "WiFi", "Ethernet"],
+    "cnpj": ["CNPJ", "CPF", "Tax ID", "Corporate ID", "Federal ID"],
+    "usuario": ["Usuário", "User", "Login", "Account", "Username"],
+    "ip": ["IP", "Endereço IP", "IP Address", "Network Address"],
+    "so": ["Sistema Operacional", "SO", "OS", "Operating System"],
+    "dominio": ["Domínio", "Domain", "URL", "Website", "Site"],
+    "doc": ["DOC", "Document Transfer", "Bank Document"],
+    "preco": ["Preço", "Price", "Cost", "Value", "Amount"],
+    "cliente": ["Cliente", "Customer", "Client", "Consumer"],
+    "marca": ["Marca", "Brand", "Trademark", "Label"],
+    "qualidade": ["Qualidade", "Quality", "Standard", "Excellence"],
+    "lote": ["Lote", "Batch", "Lot", "Production Batch"],
+    "data": ["Data", "Date", "Day", "Calendar Date"],
+    "ano": ["Ano", "Year", "Annual"],
+    "mes": ["Mês", "Month", "Monthly"],
+    "id": ["ID", "Identificação", "Código", "Code", "Identifier"],
+    "telefone": ["Telefone", "Phone", "Tel", "Phone Number"],
+    "email": ["Email", "E-mail", "Electronic Mail", "Email Address"],
+}
+
+
 def sql_terms() -> str:
     quote = lambda s: s.replace("'", "''")
-    rows = ", ".join(f"({i}, '{t}', {j}, '{quote(s)}')" for i, (t, many) in enumerate(DOMAIN_TERMS.items()) for j, s in enumerate(many))
+    rows = ", ".join(f"({i}, '{t}', {j}, '{quote(s)}')" for i, (t, many) in enumerate(ORACLE_TERMS.items()) for j, s in enumerate(many))
     fold = lambda x: f"lower(replace(strip_accents({x}), 'º', 'o'))"
     return f"""WITH d AS (SELECT prio, tipo, syn_prio, {fold('synonym')} AS syn FROM (VALUES {rows}) t(prio, tipo, syn_prio, synonym)),
 n AS (SELECT coluna, {fold('coluna')} AS name FROM (VALUES {NAME_ROWS}) t(coluna))

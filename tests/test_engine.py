@@ -84,6 +84,17 @@ def test_names(spark):
     assert [predicates.is_date_name(c) for c in ("media", "update", "l_shipdate", "ts")] == [True, True, True, False]
 
 
+def test_names_outside_the_tables(spark):
+    golden = {"Diâmetro": "dia", "Store": "rua", "Região": "rua", "Rede": "rua", "Sales Rep": "venda", "Fornecedor": "fornecedor", "Empresa": "empresa", "Estoque": "estoque", "Pagamento": "pagamento", "Moeda": "moeda", "Invoice": "fatura", "Supplier": "fornecedor", "Currency": "moeda", "Department": "departamento", "Latitude": "coordenadas", "Receita": "receita", "Oferta": "oferta", "Lançamento": "lancamento", "Lote": "lote", "Setor": "setor", "Depósito": "deposito"}
+    assert detect_column_types(spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in golden]))) == golden
+    terms = dictionary(spark)
+    assert terms.count() == 2722 and terms.select("tipo").distinct().count() == 866
+    places = {r["tipo"]: r["prio"] for r in terms.select("tipo", "prio").distinct().collect()}
+    assert sorted(places.values()) == list(range(866)) and places["red_lobster"] == 0 and places["webinar"] == 865
+    assert [r["synonym"] for r in terms.where("tipo = 'receita'").orderBy("syn_prio").collect()] == ["Receita", "Revenue", "Income", "Faturamento", "Earnings"]
+    assert [r["tipo"] for r in terms.where("tipo in ('receita', 'oferta', 'lancamento', 'lote', 'setor', 'rede', 'deposito')").groupBy("tipo").agg(F.min("prio").alias("prio")).orderBy("prio").collect()] == ["receita", "oferta", "lancamento", "lote", "setor", "rede", "deposito"]
+
+
 def greedy(words, near):
     leaders, out = [], []
     for i, w in enumerate(words):
