@@ -282,6 +282,28 @@ def test_wrapper_finds_template():
     assert pages.extract(made) == [f"{t} one\n{t} two" for t in "abcdefgh"]
 
 
+def test_wrapper_finds_template_in_repeats():
+    def text(t, n, cut):
+        body = [f"<p>{t} part {i} of the article, which is long enough</p>" for i in range(n)]
+        return "".join(body[:cut]) + (f"<h2>{t} more</h2>" if cut else "") + "".join(body[cut:])
+
+    pairs = [(t, n, cut) for t, (n, cut) in zip("abcdefgh", [(1, 0), (2, 0), (3, 1), (5, 0), (4, 2), (2, 1), (7, 3), (3, 0)], strict=True)]
+    links = "".join(f"<li>Section {i}</li>" for i in range(6))
+    cards = [f"<div><h3>{t}{i} card</h3><p>Read more</p></div>" for t in "abcdefgh" for i in range(1, 9)]
+    made = [f"<body><ul>{links}</ul><p>Read our notice first</p>{text(*x)}<p>All rights reserved</p></body>" for x in pairs]
+    want = [text(*x).replace("</p>", "\n").replace("<p>", "").replace("</h2>", "\n").replace("<h2>", "").strip() for x in pairs]
+    assert pages.extract(made) == want
+    made = [f"<body>{''.join(cards[8 * k : 8 * k + 1 + k])}<p>{t} end</p></body>" for k, t in enumerate("abcdefgh")]
+    assert pages.extract(made) == ["\n".join([f"{t}{i} card" for i in range(1, 2 + k)] + [f"{t} end"]) for k, t in enumerate("abcdefgh")]
+
+
+def test_versions_of_an_article_stay():
+    body = "".join(f"<p>the same paragraph {i}</p>" for i in range(4))
+    aside = "".join(f"<li>news {{0}}{i}</li>" for i in range(9))
+    made = [f"<body><main>{body}<p>seen {t}</p></main><aside><ul>{aside.format(t)}</ul></aside></body>" for t in "abcdef"]
+    assert pages.extract(made) == ["\n".join([f"the same paragraph {i}" for i in range(4)] + [f"seen {t}"]) for t in "abcdef"]
+
+
 def test_wrapper_groups():
     streams = [pages.fold(pages.parse(f"<div><p>same</p><ul>{'<li>x' + str(n) + '</li>' * 1}{'<li>y</li>' * n}</ul>{'<h2>maybe</h2>' * (n % 2)}</div>")) for n in range(1, 4)]
     wrapper = pages.infer(streams)
