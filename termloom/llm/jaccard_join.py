@@ -264,7 +264,36 @@ def verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, width: in
     return out
 
 
-def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMERATOR) -> DataFrame:
+def tree_pairs(apart: DataFrame, own: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs of a meeting (key, node, component) in different components that the R-tree's bounds let through."""
+    open_ = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo < hi")
+    open_ = open_.groupBy("who", "m").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    rows = apart.join(open_.select("key", blocks.alias("blocks")), "key").join(own.select("node", "n", "vec"), "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "component", "n", "vec", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side"))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, []):
+            t = pa.Table.from_batches(run)
+            node, component, n, side = (t.column(c).to_numpy() for c in ("node", "component", "n", "side"))
+            points = points_of(t.column("vec"))
+            if (side >= 0).any():
+                parts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                if not all(map(len, parts)):
+                    continue
+                i, j = overlapping(points, n, per_cent, *parts)
+            else:
+                i, j = overlapping(points, n, per_cent)
+            keep = component[i] != component[j]
+            a, b = node[i[keep]], node[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(index, "a long, b long").distinct()
+
+
+def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMERATOR, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every document; documents link at ``per_cent`` of the union or more.
 
     Words are runs without white space, A to Z lower-cased, of whole texts. A text with fewer words than a shingle is
@@ -275,6 +304,10 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     stands for the others: pairs that their count vectors allow are verified, and whoever links with it needs no
     further look. What such stars leave apart goes through the
     count-vector R-tree, and the pairs that its bounds let through are verified too. Nothing is capped.
+
+    With ``links`` no star stands for others: every pair that the bounds let through is verified, and the result is
+    (a, b), a < b, all links between different sets, each set named by its least doc_id (so two sets that have the same
+    one give no pair). Their number grows with the square of a group.
     """
     documents = documents.select("doc_id", "text")
     scratch = Scratch(documents.sparkSession, "op8")
@@ -287,39 +320,18 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     scratch.drop(sets)
     scratch.release()
     own = scratch.save(slim.join(first, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("node"), "n", "vec"), compression="zstd")
+    if links:
+        apart = met.select("key", "node").distinct().withColumn("component", F.col("node"))
+        return verified(tree_pairs(apart, own, per_cent), documents, scratch, width, per_cent)
     pairs = scratch.save(met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = verified(bounded(pairs, own, per_cent), documents, scratch, width, per_cent)
-    joined = scratch.save(connected(links, scratch))
+    found = verified(bounded(pairs, own, per_cent), documents, scratch, width, per_cent)
+    joined = scratch.save(connected(found, scratch))
 
     # Meetings whose members the stars did not join: bounded by the R-tree, each distinct membership once.
     apart = met.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-    open_ = open_.groupBy("who", "m").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = apart.join(open_.select("key", blocks.alias("blocks")), "key").join(own.select("node", "n", "vec"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "component", "n", "vec", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side"))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, []):
-            t = pa.Table.from_batches(run)
-            node, component, n, side = (t.column(c).to_numpy() for c in ("node", "component", "n", "side"))
-            points = points_of(t.column("vec"))
-            if (side >= 0).any():
-                parts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                if not all(map(len, parts)):
-                    continue
-                i, j = overlapping(points, n, per_cent, *parts)
-            else:
-                i, j = overlapping(points, n, per_cent)
-            keep = component[i] != component[j]
-            a, b = node[i[keep]], node[j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    left = rows.repartition("task").sortWithinPartitions("task").mapInArrow(index, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    left = tree_pairs(apart, own, per_cent).join(pairs, ["a", "b"], "left_anti")
     more = verified(left, documents, scratch, width, per_cent)
-    whole = scratch.save(connected(links.union(more), scratch))
+    whole = scratch.save(connected(found.union(more), scratch))
     named = classes.join(whole, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     out = slim.select("doc_id", "n", "sig").join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -343,6 +343,24 @@ def test_join(spark, corpus, edges, edge_rows, nothing):
     assert join.jaccard_join(nothing).count() == 0
 
 
+def test_join_links(spark, corpus, nothing, monkeypatch):
+    """Every link between different sets, also where one star would join a whole group."""
+    monkeypatch.setattr(join, "BLOCK", 7)
+    rng = random.Random(13)
+    words = prose(rng, 120).split()
+    rows = [*corpus, *((1000 + i, " ".join([*words[:i], "odd", *words[i:]]), "en", "s") for i in range(12)), (2000, " ".join(words), "en", "s"), (2001, " ".join(words), "en", "s")]
+    sets: dict[frozenset, int] = {}
+    for d, text, *_ in rows:
+        w = split(text.translate(LOWER))
+        found = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+        sets[found] = min(d, sets.get(found, d))
+    names = sorted((d, x) for x, d in sets.items())
+    want = [(a, b) for i, (a, x) in enumerate(names) for b, y in names[i + 1 :] if 100 * len(x & y) >= 75 * len(x | y)]
+    assert sum(a >= 1000 for a, _ in want) == 13 * 12 // 2
+    assert sorted(map(tuple, join.jaccard_join(frame(spark, rows), links=True).collect())) == want
+    assert join.jaccard_join(nothing, links=True).count() == 0
+
+
 def test_join_apart(spark):
     """Texts that share most of themselves yet do not link: only the R-tree brings the linked ones among them together."""
     rng = random.Random(8)
