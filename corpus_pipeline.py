@@ -24,11 +24,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; rows without an id stay."""
+    """Of each group of linked documents the one with the least doc_id stays; rows without an id stay, uncompared.
+
+    A row is known by all its columns, so texts under one repeated id fare apart; wholly equal rows are one.
+    """
     docs = docs.select(*COLUMNS)
-    first = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rows = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(*COLUMNS))
+    groups = jaccard_join(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    least = rows.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_least"))
+    kept = rows.join(least.select("_least._key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

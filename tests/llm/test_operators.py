@@ -361,6 +361,17 @@ def test_join_links(spark, corpus, nothing, monkeypatch):
     assert join.jaccard_join(nothing, links=True).count() == 0
 
 
+def test_near_copies_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    old, one, two, three = (prose(rng, 60) for _ in range(4))
+    rows = [(1, old, "en", "s"), (7, old + " more", "en", "s"), (7, one, "en", "s"), (7, two, "en", "s"), (7, two, "en", "s"), (8, one, "en", "s"), (9, three, "en", "s"), (9, three, "en", "t"), (None, old, "en", "s")]
+    got = corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in got) == sorted([("1", old), ("7", one), ("7", two), ("9", three), ("None", old)])
+    assert [r["source"] for r in got if r["doc_id"] == 9] == [r["source"] for r in corpus_pipeline.near_copies(spark, frame(spark, rows[::-1]), "").collect() if r["doc_id"] == 9]
+
+
 def test_join_apart(spark):
     """Texts that share most of themselves yet do not link: only the R-tree brings the linked ones among them together."""
     rng = random.Random(8)
