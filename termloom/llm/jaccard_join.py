@@ -1,7 +1,8 @@
 """N-gram Jaccard join: rare shingles bring texts together, a count-vector R-tree bounds their overlap, sets verify.
 
 A shingle set becomes a vector of counts by hashing its members into groups. The summed coordinate minima of two
-vectors are never below the overlap of the sets, nor are those of two boxes below any pair in them.
+vectors are never below the overlap of the sets, nor are those of two boxes below any pair in them. Counts in many
+more groups, of one bit each, bound the overlap of the pairs that the tree lets through once more.
 """
 
 from __future__ import annotations
@@ -18,10 +19,16 @@ from .words import batches_of, mixed, shingles
 
 WIDTH, NUMERATOR = 5, 75  # words a shingle; per cent of the union
 GROUPS = 256
+#: Bits of the finer vector: the power of two from this many a member, within these powers.
+PER_MEMBER, FINE = 8, (12, 18)
 #: Slots of the shingle frequencies that order a set's members; a fixed 4 MB whatever the input.
 SLOTS = 1 << 20
-#: Texts that one verification or index task holds of a group; larger groups are dealt out as pairs of blocks.
-BLOCK = 2000
+#: Texts that one index task holds of a meeting; larger meetings are dealt out as pairs of blocks.
+BLOCK = 1000
+#: Meetings of more texts than this carry the finer vectors; of more than LARGE, they first give a forest of pairs.
+FEW, LARGE = 8, 64
+#: Keys below a meeting's own by which two members may see that they have met already.
+BEFORE = 8
 
 
 def needed(a, b, per_cent: int = NUMERATOR):
@@ -62,8 +69,53 @@ def frequencies(documents: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def vector(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+def vector(found: np.ndarray, groups: int = GROUPS) -> bytes:
+    """Counts by group, in as few bytes a count as they need."""
+    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype("<u1" if counts.max(initial=0) < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def fine_vector(found: np.ndarray) -> bytes:
+    """A bit for each group that holds a member. Groups are leading bits, so neighbouring bits merge into coarser groups."""
+    power = min(max((PER_MEMBER * max(1, len(found)) - 1).bit_length(), FINE[0]), FINE[1])
+    bits = np.zeros(1 << power, bool)
+    bits[(mixed(found) >> np.uint64(64 - power)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+class Fine:
+    """Finer vectors of many sets, and the most that two of them can share."""
+
+    def __init__(self, raws: list, sizes: np.ndarray):
+        self.sizes, self.widths, self.raws = sizes, np.array([len(r) for r in raws], np.int64), raws
+        self.made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each set, bits as 64-bit words, members that share a bit with an earlier one) at this width or, for wider sets, merged to it."""
+        if width not in self.made:
+            held = np.flatnonzero(self.widths >= width)
+            rows = np.zeros((len(held), width), np.uint8)
+            for k, i in enumerate(held.tolist()):
+                raw = np.frombuffer(self.raws[i], np.uint8)
+                rows[k] = raw if len(raw) == width else np.packbits(np.unpackbits(raw).reshape(8 * width, -1).any(axis=1))
+            place = np.full(len(self.raws), -1)
+            place[held] = np.arange(len(held))
+            words = rows.view(np.uint64)
+            self.made[width] = place, words, self.sizes[held] - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        return self.made[width]
+
+    def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds on the overlaps of the pairs: a bit of one side that the other lacks is a member it lacks."""
+        width, out = np.minimum(self.widths[i], self.widths[j]), np.zeros(len(i), np.int64)
+        for w in np.unique(width).tolist():
+            place, words, doubled = self.at(w)
+            pick = np.flatnonzero(width == w)
+            step = max(1, (1 << 22) // w)
+            for lo in range(0, len(pick), step):
+                at = pick[lo : lo + step]
+                a, b = place[i[at]], place[j[at]]
+                out[at] = np.bitwise_count(words[a] & words[b]).sum(axis=1, dtype=np.int64) + np.minimum(doubled[a], doubled[b])
+        return out
 
 
 class Box:
@@ -113,13 +165,13 @@ def overlapping(points: np.ndarray, sizes: np.ndarray, per_cent: int, left: np.n
 
 
 def keyed(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """doc_id, n, sig (a hash of the set), keys (its rarest members, as many as any linked set must share one of), vec."""
+    """doc_id, n, sig (a hash of the set), keys (its rarest members, as many as any linked set must share one of), vec, fine."""
     counts = documents.sparkSession.sparkContext.broadcast(frequencies(documents, width))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = counts.value
         for batch in batches:
-            sizes, sigs, keys, vectors = [], [], [], []
+            sizes, sigs, keys, vectors, fines = [], [], [], [], []
             for _, found in rows_of(batch, width):
                 n = len(found)
                 prefix = n - -(-per_cent * n // 100) + 1 if n else 0
@@ -127,11 +179,11 @@ def keyed(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
                 sizes.append(n)
                 sigs.append(int(np.bitwise_xor.reduce(found * np.uint64(0xD6E8FEB86659FD93) ^ (found >> np.uint64(29))).astype(np.int64)) if n else None)
                 keys.append(found[rare].view(np.int64))
-                grouped = vector(found)
-                vectors.append(grouped.astype("<u2" if n < 1 << 16 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], ["doc_id", "n", "sig", "keys", "vec"])
+                vectors.append(vector(found))
+                fines.append(fine_vector(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(fines, pa.binary())], ["doc_id", "n", "sig", "keys", "vec", "fine"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "doc_id long, n long, sig long, keys array<long>, vec binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "doc_id long, n long, sig long, keys array<long>, vec binary, fine binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.RecordBatch]]:
@@ -183,24 +235,28 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def points_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Count vectors as rows; those of very large sets come with four bytes a count."""
+    """Count vectors as rows; a count has one byte, or more in large sets."""
     raws = [v.as_buffer() for v in column]
-    return np.stack([np.frombuffer(r, "<u2" if r.size == 2 * GROUPS else "<u4").astype(np.int32) for r in raws]) if raws else np.zeros((0, GROUPS), np.int32)
+    return np.stack([np.frombuffer(r, f"<u{r.size // GROUPS}").astype(np.int32) for r in raws]) if raws else np.zeros((0, GROUPS), np.int32)
 
 
 def bounded(pairs: DataFrame, own: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs whose sizes and summed coordinate minima allow the overlap they need."""
+    """The pairs whose sizes, summed coordinate minima and finer vectors allow the overlap they need."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = np.minimum(points_of(batch.column("va")), points_of(batch.column("vb"))).sum(axis=1)
-            good = (most >= needed(na, nb, per_cent)) & (100 * np.minimum(na, nb) >= per_cent * np.maximum(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                most = np.minimum(points_of(batch.column("va")), points_of(batch.column("vb"))).sum(axis=1)
+                good = (most >= needed(na, nb, per_cent)) & (100 * np.minimum(na, nb) >= per_cent * np.maximum(na, nb))
+                batch, na, nb = batch.filter(pa.array(good)), na[good], nb[good]
+                fine, k = Fine([x.as_buffer() for c in ("fa", "fb") for x in batch.column(c)], np.concatenate((na, nb))), len(na)
+                yield batch.select(["a", "b"]).filter(pa.array(fine.most(np.arange(k), np.arange(k, 2 * k)) >= needed(na, nb, per_cent)))
 
-    left = pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
-    both = left.join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
-    return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(keep, "a long, b long").distinct()
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}"), F.col("fine").alias(f"f{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "va", "vb", "fa", "fb").mapInArrow(keep, "a long, b long").distinct()
 
 
 #: Bits of the filter that keeps texts which surely need no verification from being moved; a fixed 1 MB.
@@ -264,30 +320,74 @@ def verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, width: in
     return out
 
 
-def tree_pairs(apart: DataFrame, own: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs of a meeting (key, node, component) in different components that the R-tree's bounds let through."""
-    open_ = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo < hi")
+def spanning(component: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of members, taken in order, join components that the pairs before have not joined."""
+    names, at = np.unique(component, return_inverse=True)
+    parent = list(range(len(names)))
+    out = np.zeros(len(i), bool)
+    for k, (x, y) in enumerate(zip(at[i].tolist(), at[j].tolist(), strict=True)):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            out[k] = True
+    return out
+
+
+def met_before(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have one of the keys in common that both had just before this meeting's (0: none)."""
+    out, step = np.zeros(len(i), bool), 1 << 15
+    for lo in range(0, len(i), step):
+        a, b = keys[i[lo : lo + step]], keys[j[lo : lo + step]]
+        out[lo : lo + step] = ((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
+def tree_pairs(apart: DataFrame, own: DataFrame, per_cent: int, more_than: int = 1, forest: bool = False) -> DataFrame:
+    """The pairs of meetings (key, node, component) in different components that the R-tree's bounds let through.
+
+    Of meetings with the same members one is looked at. Two texts that share many keys meet often; a meeting passes a
+    pair over if it sees the pair share one of the keys (of those looked at, in order) just before its own, so the
+    least key that they share always takes it and few others do. With ``forest`` only meetings of over ``more_than``
+    members count, and a task gives as few pairs as join what all of its pairs would join.
+    """
+    open_ = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where((F.col("lo") < F.col("hi")) & (F.col("m") > more_than))
     open_ = open_.groupBy("who", "m").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = apart.join(open_.select("key", blocks.alias("blocks")), "key").join(own.select("node", "n", "vec"), "node")
+    listed = apart.join(open_.select("key", "m"), "key").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("key", "m"))).alias("met"))
+    rows = listed.join(own.select("node", "n", "vec", "fine"), "node").select("node", "component", "n", "vec", "fine", "met", F.posexplode("met").alias("at", "here"))
+    before = F.transform(F.slice("met", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(BEFORE))), lambda x: x["key"])
+    blocks = F.ceil(F.col("here.m") / F.lit(BLOCK)).cast("int")
+    rows = rows.select("node", "component", "n", "vec", F.when(F.col("here.m") > FEW, F.col("fine")).alias("fine"), before.alias("before"), F.col("here.key").alias("key"), blocks.alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "component", "n", "vec", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side"))
+    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "component", "n", "vec", "fine", "before", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, []):
             t = pa.Table.from_batches(run)
             node, component, n, side = (t.column(c).to_numpy() for c in ("node", "component", "n", "side"))
-            points = points_of(t.column("vec"))
-            if (side >= 0).any():
-                parts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                if not all(map(len, parts)):
-                    continue
-                i, j = overlapping(points, n, per_cent, *parts)
-            else:
-                i, j = overlapping(points, n, per_cent)
-            keep = component[i] != component[j]
-            a, b = node[i[keep]], node[j[keep]]
+            if len(node) < 2 or component.min() == component.max():
+                continue
+            parts = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side >= 0).any() else ()
+            if parts and not all(map(len, parts)):
+                continue
+            i, j = overlapping(points_of(t.column("vec")), n, per_cent, *parts)
+            new = component[i] != component[j]
+            i, j = i[new], j[new]
+            before = t.column("before").combine_chunks()
+            keys = np.zeros((len(node), BEFORE), np.int64)
+            keys[np.arange(BEFORE)[None, :] < before.value_lengths().to_numpy()[:, None]] = before.flatten().to_numpy()
+            new = ~met_before(keys, i, j)
+            i, j = i[new], j[new]
+            if t.column("fine").null_count == 0:
+                good = Fine([x.as_buffer() for x in t.column("fine")], n).most(i, j) >= needed(n[i], n[j], per_cent)
+                i, j = i[good], j[good]
+            if forest:
+                new = spanning(component, i, j)
+                i, j = i[new], j[new]
+            a, b = node[i], node[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(index, "a long, b long").distinct()
@@ -297,13 +397,16 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     """doc_id, n_shingles, component_id for every document; documents link at ``per_cent`` of the union or more.
 
     Words are runs without white space, A to Z lower-cased, of whole texts. A text with fewer words than a shingle is
-    one shingle; a null, empty or wordless text has none and is alone. Equal sets are one node. Of a repeated doc_id
-    each row counts and all get the component of any; a row with a null id is alone with component null.
+    one shingle; a null, empty or wordless text has none and is alone. Equal sets are one node. The rows of a repeated
+    doc_id are one document in the components: what any of them links with is reached from all, and all get the same
+    component_id; n_shingles is each row's own. A row with a null id is alone with component null. An empty table
+    gives no rows.
 
     Linked sets share one of each other's rarest members, so texts meet by these. In each meeting the least node
     stands for the others: pairs that their count vectors allow are verified, and whoever links with it needs no
-    further look. What such stars leave apart goes through the
-    count-vector R-tree, and the pairs that its bounds let through are verified too. Nothing is capped.
+    further look. What such stars leave apart goes through the count-vector R-tree: large meetings first give as few
+    pairs as may join them, then all meetings give every pair that the bounds let through and that is still apart.
+    All are verified on whole sets. Nothing is capped.
 
     With ``links`` no star stands for others: every pair that the bounds let through is verified, and the result is
     (a, b), a < b, all links between different sets, each set named by its least doc_id (so two sets that have the same
@@ -312,28 +415,36 @@ def jaccard_join(documents: DataFrame, width: int = WIDTH, per_cent: int = NUMER
     documents = documents.select("doc_id", "text")
     scratch = Scratch(documents.sparkSession, "op8")
     sets = scratch.save(keyed(documents, width, per_cent))
-    slim = scratch.save(sets.drop("keys"), compression="zstd")
+    slim = scratch.save(sets.select("doc_id", "n", "sig"))
     classes = scratch.save(slim.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
     first = classes.select("sig", F.col("node").alias("doc_id"))
-    spread = sets.join(first, ["doc_id", "sig"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    leads = sets.join(first, ["doc_id", "sig"], "left_semi")
+    own = scratch.save(leads.dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("node"), "n", "vec", "fine"), compression="zstd")
+    spread = leads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     met = scratch.save(spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "key long, leader long, node long"))
     scratch.drop(sets)
     scratch.release()
-    own = scratch.save(slim.join(first, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("node"), "n", "vec"), compression="zstd")
     if links:
         apart = met.select("key", "node").distinct().withColumn("component", F.col("node"))
         return verified(tree_pairs(apart, own, per_cent), documents, scratch, width, per_cent)
-    pairs = scratch.save(met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    found = verified(bounded(pairs, own, per_cent), documents, scratch, width, per_cent)
-    joined = scratch.save(connected(found, scratch))
-
-    # Meetings whose members the stars did not join: bounded by the R-tree, each distinct membership once.
-    apart = met.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = tree_pairs(apart, own, per_cent).join(pairs, ["a", "b"], "left_anti")
-    more = verified(left, documents, scratch, width, per_cent)
-    whole = scratch.save(connected(found.union(more), scratch))
-    named = classes.join(whole, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    out = slim.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
 
+    # The rows of an id belong together, whatever their sets.
+    several = slim.where("doc_id is not null and sig is not null").groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi")
+    same_id = slim.join(several, "doc_id", "left_semi").join(classes, "sig").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    tried = scratch.save(met.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    edges = scratch.save(same_id.union(verified(bounded(tried, own, per_cent), documents, scratch, width, per_cent)))
+    joined = scratch.save(connected(edges, scratch))
+    for forest in (True, False):
+        apart = met.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = scratch.save(tree_pairs(apart, own, per_cent, LARGE if forest else 1, forest).join(tried, ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            edges = scratch.save(edges.union(verified(found, documents, scratch, width, per_cent)))
+            tried = scratch.save(tried.union(found))
+            scratch.drop(joined)
+            joined = scratch.save(connected(edges, scratch))
+        scratch.drop(found)
+    scratch.drop(met, own, tried)
+    known = slim.join(classes, "sig").where("doc_id is not null").select("doc_id", "node").distinct().join(joined, "node", "left")
+    known = known.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    out = slim.join(known, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -335,6 +335,19 @@ def brute_join(rows):
     return sorted(((d, len(s), find(d)) for d, s in sets), key=repr)
 
 
+def pairs_given(monkeypatch):
+    """The number of pairs that each pass of the R-tree gives, before they are made distinct."""
+    seen, whole = [], join.tree_pairs
+
+    def counted(*args, **more):
+        out = whole(*args, **more)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(join, "tree_pairs", counted)
+    return seen
+
+
 def test_join(spark, corpus, edges, edge_rows, nothing):
     want = brute_join(corpus)
     assert sum(c != d for d, _, c in want) > 20
@@ -343,6 +356,51 @@ def test_join(spark, corpus, edges, edge_rows, nothing):
     assert join.jaccard_join(nothing).count() == 0
 
 
+def test_join_repeated_ids(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (3, b, "en", "s"), (4, "", "en", "s"), (4, c, "en", "s"), (4, None, "en", "s"), (5, c, "en", "s"), (6, b + " x", "en", "s"), (6, c + " x", "en", "s")]
+    want = brute_join(rows)
+    assert [r[2] for r in want] == [1] * 10
+    assert by_id(join.jaccard_join(frame(spark, rows))) == want
+    assert by_id(join.jaccard_join(frame(spark, rows[:4]))) == brute_join(rows[:4])
+
+
+def test_join_large_meeting_without_links(spark, monkeypatch):
+    """Five thousand texts that share most of themselves, none linked: the bounds leave no more than a few pairs a text."""
+    seen, rng = pairs_given(monkeypatch), random.Random(17)
+    shared = prose(rng, 60)
+    rows = [(i, f"{shared} {' '.join(f'{w}{i}' for w in prose(rng, 16).split())}", "en", "s") for i in range(5000)]
+    assert all(c == d for d, _, c in by_id(join.jaccard_join(frame(spark, rows))))
+    assert len(seen) == 2 and max(seen) <= 5000
+
+
+def test_join_chain(spark, monkeypatch):
+    """A chain of texts, each linked with its next ones only: the forest joins it, so few pairs are left for all bounds."""
+    monkeypatch.setattr(join, "BLOCK", 40)
+    seen, rng = pairs_given(monkeypatch), random.Random(19)
+    words = [f"{w}{i}" for i, w in enumerate(prose(rng, 600).split())]
+    shared = prose(rng, 60).split()
+    rows = [(i, " ".join([*shared, *words[i : i + 60]]), "en", "s") for i in range(300)]
+    assert by_id(join.jaccard_join(frame(spark, rows))) == brute_join(rows)
+    assert max(seen) <= 3000
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000))
+def test_fine_bound(seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    held = [np.unique(rng.choice(pool, rng.integers(1, 1500))) for _ in range(6)]
+    fine = join.Fine([join.fine_vector(x) for x in held], np.array([len(x) for x in held]))
+    i, j = np.triu_indices(6)
+    both = np.array([len(np.intersect1d(held[a], held[b])) for a, b in zip(i, j, strict=True)])
+    most = fine.most(i, j)
+    assert (most >= both).all()
+    like = np.minimum(fine.sizes[i], fine.sizes[j]) >= 0.75 * np.maximum(fine.sizes[i], fine.sizes[j])
+    assert (most[like] <= both[like] + 0.25 * fine.sizes[i][like] + 3).all()
+
+
 def test_join_links(spark, corpus, nothing, monkeypatch):
     """Every link between different sets, also where one star would join a whole group."""
     monkeypatch.setattr(join, "BLOCK", 7)
