@@ -26,8 +26,11 @@ from .words import chunks, mixed, powers, texts
 LENGTH = 200
 #: Bytes of an anchor: longer ones are rarer matches, shorter ones fewer.
 ANCHOR = 150
-#: Short documents whose suffixes one collection sorts; a larger group is split by what its members must agree in.
+#: Short documents whose suffixes one collection sorts, and places of an anchor that one task holds. Anchors with more
+#: places are hot: their contexts are counted first, and groups of contexts are split by what members must agree in.
 COLLECTION = 3000
+#: Up to so many keys (8 or 16 bytes each) are broadcast; more meet the texts by shuffle.
+BROADCAST_KEYS = 500_000
 
 BYTES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0xABCDEF))
 
@@ -109,27 +112,81 @@ def solve(groups: list[list[tuple[bytes, bytes]]], width: int) -> list[list[np.n
     return out
 
 
-def halves(group: list[tuple[bytes, bytes]], width: int, most: int) -> list[np.ndarray]:
-    """A large group: repeated starts agree in the half left context or in the half right one, so these are its parts."""
-    half = width // 2
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(group)
-    for side in (0, 1):
-        parts: dict[bytes, list[int]] = {}
-        for i, (a, b) in enumerate(group):
-            key = a[len(a) - half :] if side == 0 else b[: width - half]
-            if len(key) == (half if side == 0 else width - half):
-                parts.setdefault(key, []).append(i)
-        batch: list[list[int]] = []
-        for members in [*parts.values(), None]:
-            if members is None or sum(map(len, batch)) + len(members) > most:
-                if batch:
-                    for part, starts in zip(batch, solve([[group[i] for i in p] for p in batch], width), strict=True):
-                        for i, s in zip(part, starts, strict=True):
-                            out[i] = np.union1d(out[i], s)
-                batch = []
-            if members is not None and len(members) > 1:
-                batch.append(members)
-    return out
+def by_keys(table: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``table`` with or without the rows of these keys; the keys are broadcast if they are few."""
+    return table.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
+def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: int, k: int) -> DataFrame:
+    """(key, start, end) around anchors with many places. hot: h, key, at.
+
+    Equal contexts of a text and then of all texts become one row with a count before anything goes by anchor. Where
+    a context has several places, all of it repeats. Others must share a string with another context of the anchor:
+    i bytes of it to the left and width - 1 - i to the right. A group is an anchor and a range of i with the bytes
+    that every such string has; one that is too large is split into the halves of its range.
+    """
+    width = length - k + 1
+    hot = hot.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    texts_ = by_keys(documents.select("key", "text"), hot.select("key"), ["key"], "left_semi").join(hot, "key")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw, places = text.as_py().encode(), {}
+                hs, ats = (marks.values.field(c).to_numpy() for c in ("h", "at"))
+                for h, at in zip(hs.tolist(), ats.tolist(), strict=True):
+                    places.setdefault((h, raw[max(0, at - width + 1) : at], raw[at + k : at + k + width - 1]), []).append(at)
+                rows = [(h, xxhash.xxh3_64_intdigest(a + b, seed=len(a)) >> 1, key, at, a, b) for (h, a, b), at in places.items()]
+                for lo in range(0, len(rows), 4096):
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 4096], strict=True), kinds, strict=True)], ["h", "c", "key", "at", "a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by g: the first and last repeated start of each context of a group, the groups taken together."""
+        groups: list[list[tuple]] = []
+        last, size = None, 0
+
+        def finish() -> pa.RecordBatch:
+            found = solve([[(a, b) for _, _, a, b in g] for g in groups], width) if groups else []
+            out = [(h, c, int(starts[0]), int(starts[-1])) for g, each in zip(groups, found, strict=True) for (h, c, _, _), starts in zip(g, each, strict=True) if len(starts)]
+            groups.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "c", "first", "last"])
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if g != last:
+                    if size >= COLLECTION:
+                        yield finish()
+                        size = 0
+                    groups.append([])
+                    last = g
+                groups[-1].append(tuple(row))
+                size += 1
+        if groups:
+            yield finish()
+
+    places = scratch.save(texts_.mapInArrow(contexts, "h long, c long, key long, at array<int>, a binary, b binary"), compression="zstd")
+    kinds = scratch.save(places.groupBy("h", "c").agg(F.sum(F.size("at")).alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    left, right = F.length("a"), F.length("b")
+    decided = kinds.where("n > 1").select("h", "c", F.lit(0).alias("first"), F.least(left, left + 1 + right - width).alias("last")).where("last >= 0")
+    level = kinds.select(F.col("h").alias("g"), F.lit(0).alias("lo"), F.lit(width - 1).alias("hi"), "h", "c", "n", "a", "b")
+    while True:
+        sizes = scratch.save(level.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("g", "m"))
+        level = level.join(sizes, "g")
+        fits = scratch.save(level.where(F.col("m") <= COLLECTION).select("g", "h", "c", "a", "b").repartition("g").sortWithinPartitions("g").mapInArrow(search, "h long, c long, first int, last int"))
+        whole = level.where((F.col("m") > COLLECTION) & (F.col("lo") == F.col("hi"))).select("h", "c", (left - F.col("lo")).alias("first"), (left - F.col("lo")).alias("last"))
+        decided = decided.union(fits).union(whole)
+        if sizes.where(F.col("m") > COLLECTION).isEmpty():
+            break
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        parts = F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))
+        level = level.where((F.col("m") > COLLECTION) & (F.col("lo") < F.col("hi"))).withColumn("part", F.explode(parts)).select("h", "c", "n", "a", "b", "part.lo", "part.hi")
+        level = level.where((left >= F.col("lo")) & (right >= width - 1 - F.col("hi")))
+        level = scratch.save(level.select(F.xxhash64("h", "lo", F.expr("right(hex(a), 2 * lo)"), F.expr(f"left(hex(b), 2 * ({width - 1} - hi))")).alias("g"), "lo", "hi", "h", "c", "n", "a", "b"))
+        if level.isEmpty():
+            break
+    around = places.select("h", "c", "key", "at", F.length("a").alias("left")).join(decided, ["h", "c"]).withColumn("at", F.explode("at"))
+    return scratch.save(around.select("key", (F.col("at") - F.col("left") + F.col("first")).alias("start"), (F.col("at") - F.col("left") + F.col("last") + length).alias("end")))
 
 
 def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -147,30 +204,37 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[i:j][row]), pa.array((at - part[row]).astype(np.int32))], ["h", "key", "at"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by h: rows whose h has another row."""
-        last: pa.RecordBatch | None = None  # the last row so far, if it had no equal yet
-        before = None
+        """Sorted by h: rows whose h has another row, and whether it has more than COLLECTION."""
+        held: list[pa.RecordBatch] = []  # the last h's rows, if they are few so far
+        warm = None  # the last h, if its rows are many
+
+        def chosen(rows: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
+            h = rows.column(0).to_numpy()
+            hot = (lengths > COLLECTION) | (h == warm if warm is not None else False)
+            keep = pa.array((lengths > 1) | hot)
+            return pa.RecordBatch.from_arrays([*(c.filter(keep) for c in rows.columns), pa.array(hot).filter(keep)], ["h", "key", "at", "hot"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = batch.column(0).to_numpy()
-            keep = np.zeros(len(h), bool)
-            same = h[1:] == h[:-1]
-            keep[1:] |= same
-            keep[:-1] |= same
-            if before is not None and h[0] == before:
-                keep[0] = True
-                if last is not None:
-                    yield last
-            last = None if keep[-1] else batch.slice(len(h) - 1, 1)
-            before = h[-1]
-            yield batch.filter(pa.array(keep))
+            rows = pa.concat_batches([*held, batch])
+            h = rows.column(0).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))
+            sizes = np.diff(cuts)
+            many = sizes[-1] > COLLECTION or h[-1] == warm
+            done = len(h) if many else int(cuts[-2])
+            yield chosen(rows.slice(0, done), np.repeat(sizes, sizes)[:done])
+            warm = h[-1] if many else None
+            held = [] if many else [rows.slice(done)]
+        if held:
+            rows = held[0]
+            yield chosen(rows, np.full(rows.num_rows, rows.num_rows))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = (text.as_py() or "").encode()
+                raw = text.as_py().encode()
                 hs, places = (marks.values.field(c).to_numpy() for c in ("h", "at"))
                 for h, at in zip(hs.tolist(), places.tolist(), strict=True):
                     low = max(0, at - width + 1)
@@ -197,22 +261,15 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
 
         def finish() -> pa.RecordBatch:
             nonlocal held, size
-            open_ = [g for g, _ in held if len(g) <= COLLECTION]
-            solved = iter(solve(open_, width)) if open_ else iter(())
             out: tuple[list, list, list] = ([], [], [])
-            for group, places in held:
-                found = next(solved) if len(group) <= COLLECTION else halves(group, width, COLLECTION)
+            for (group, places), found in zip(held, solve([g for g, _ in held], width), strict=True):
                 for (a, b), (keys, at), starts in zip(group, places, found, strict=True):
                     if len(keys) > 1:
                         starts = np.arange(min(len(a), len(a) + 1 + len(b) - width) + 1)
-                    starts = starts[starts <= len(a)]
-                    if not len(starts):
-                        continue
-                    cuts = np.flatnonzero(np.diff(starts) > length)
-                    for s, e in zip(starts[np.concatenate(([0], cuts + 1))].tolist(), starts[np.concatenate((cuts, [-1]))].tolist(), strict=True):
+                    if len(starts):  # neighbouring starts are less than a string apart, so their strings are one run
                         out[0].append(keys)
-                        out[1].append(at - len(a) + s)
-                        out[2].append(at - len(a) + e + length)
+                        out[1].append(at - len(a) + starts[0])
+                        out[2].append(at - len(a) + starts[-1] + length)
             held, size = [], 0
             return rows(*out)
 
@@ -256,14 +313,17 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
             yield finish()
 
     marks = documents.select("key", "text").mapInArrow(mark, "h long, key long, at int")
-    shared = scratch.save(marks.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, key long, at int"), compression="zstd")
+    shared = scratch.save(marks.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, key long, at int, hot boolean"), compression="zstd")
     scratch.release()
-    by_text = shared.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    by_text = shared.where("not hot").groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
     once = documents.select("key", "text").join(by_text, "key")
     around = once.mapInArrow(contexts, "h long, c long, key long, at int, a binary, b binary")
     found = scratch.save(around.repartition("h").sortWithinPartitions("h", "c").mapInArrow(search, "key long, start int, end int"), compression="zstd")
-    scratch.drop(shared)
     scratch.release()
+    hot = shared.where("hot").drop("hot")
+    if not hot.isEmpty():
+        found = found.union(hot_spans(hot, documents, scratch, length, k))
+    scratch.drop(shared)
     return found
 
 
@@ -272,13 +332,21 @@ def suffix_dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), leng
     With ``as_text`` rest is a string, without characters of which a part went.
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes if any ``length`` bytes that cover it start anywhere else
-    too, overlapping or in the same text included, judged on the input; so all copies go. Rows with equal doc_id and
-    text are copies of each other. Empty or short texts keep everything; an empty table gives no rows.
+    too, overlapping or in the same text included, judged on the input; so all copies go. Equal texts are copies of
+    each other whatever their ids, null ids included: all of them goes, and one of them stands for all in the search.
+    Empty or short texts keep everything; an empty table gives no rows.
     """
     scratch = Scratch(documents.sparkSession, "op10")
-    keyed = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64(*keep, "text"))
-    found = spans(keyed, scratch, length, k)
+    keyed = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    keyed = keyed.withColumn("key2", F.xxhash64(F.lit(1), "text"))
+    pair = ["key", "key2"]
+    twice = scratch.save(keyed.select(pair).groupBy(pair).agg(F.count("*").alias("times")).where("times > 1").select(pair))
+    single = by_keys(keyed, twice, pair, "left_anti")
+    several = by_keys(keyed, twice, pair, "left_semi")
+    one_each = scratch.save(several.select(*pair, "text").where(F.octet_length("text") >= length).dropDuplicates(pair).select("key", "text"), compression="zstd")
+    found = spans(single.select("key", "text").union(one_each), scratch, length, k)
     by_text = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    everything = F.when(F.octet_length("text") >= length, F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end"))))
     n = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +369,8 @@ def suffix_dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), leng
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array([r.decode("utf-8", "ignore") for r in rests], pa.string()) if as_text else pa.array(rests, pa.binary())], [*keep, "n_bytes", "removed", "rest"])
 
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    whole = keyed.join(by_text, "key", "left").select(*keep, "text", "found")
+    columns = [F.col(f"`{c}`") for c in keep]
+    whole = single.join(by_text, "key", "left").select(*columns, "text", "found").union(several.select(*columns, "text", everything.alias("found")))
     return whole.mapInArrow(cut, f"{kept}, n_bytes long, removed array<struct<start: long, end: long>>, rest {'string' if as_text else 'binary'}")
 
 

@@ -507,10 +507,33 @@ def test_repeats(spark, corpus, edges, edge_rows, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
-def test_repeats_in_large_groups(spark, corpus, monkeypatch):
-    group = sorted({(bytes([97 + i % 3]) * 5, bytes([97 + i % 2, 98, 97 + i % 5, 99])) for i in range(60)} | {(b"xx", b"ab")})
-    whole, parts = suffix_dedup.solve([group], 6)[0], suffix_dedup.halves(group, 6, 7)
-    assert [sorted(set(a.tolist())) for a in whole] == [sorted(set(b.tolist())) for b in parts]
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_repeats_of_hot_anchors(spark, edges, edge_rows, monkeypatch, most):
+    """Anchors with more places than a task holds: periodic texts, and a passage in many surroundings, some of them alike."""
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", most)
+    rng = random.Random(23)
+    passage, wide = prose(rng, 34)[:185], prose(rng, 60)
+    rows = [(i, f"{prose(rng, 12)[: rng.randrange(20, 60)]}{rng.choice('ab') * rng.randrange(20)}{passage}{rng.choice('cd') * rng.randrange(20)}{prose(rng, 12)}", "en", "s") for i in range(40)]
+    rows += [(100 + i, f"{prose(rng, 20)} {wide} {prose(rng, 20)}", "en", "s") for i in range(25)]
+    rows += [(200 + i, "ab " * (90 + 30 * i) + prose(rng, i), "en", "s") for i in range(5)] + [(300, rows[0][1], "en", "s"), (300, rows[0][1], "en", "s"), (None, rows[1][1], "en", "s")]
+    assert by_id(suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, rows)))) == brute_repeats(rows, 200)
+    assert by_id(suffix_dedup.digest(suffix_dedup.suffix_dedup(edges))) == brute_repeats(edge_rows, 200)
+
+
+def test_many_copies_cost_no_more_than_one(spark, monkeypatch):
+    """A thousand equal rows, with and without an id: one text is searched, and all of each row goes."""
+    rng = random.Random(29)
+    text, other = prose(rng, 600), prose(rng, 200)
+    rows = [(7, text, "en", "s")] * 500 + [(None, text, "en", "s")] * 300 + [(i, text, "en", "s") for i in range(200)] + [(2000, other, "en", "s"), (2001, f"{other[:300]} {text[100:500]}", "en", "s")]
+    seen, whole = [], suffix_dedup.spans
+
+    def counted(documents, *args):
+        seen.append(documents.count())
+        return whole(documents, *args)
+
+    monkeypatch.setattr(suffix_dedup, "spans", counted)
+    assert by_id(suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, rows)))) == brute_repeats(rows, 200)
+    assert seen == [3]
 
 
 @settings(max_examples=30, deadline=None)
