@@ -112,13 +112,25 @@ def solve(groups: list[list[tuple[bytes, bytes]]], width: int) -> list[list[np.n
     return out
 
 
+def places_of(marks: pa.Scalar) -> Iterator[tuple[int, int]]:
+    """(h, place) of a text's marks, each an anchor with its first place and, if it has more, a list of those."""
+    hs, ats = (marks.values.field(c).to_pylist() for c in ("h", "at"))
+    if marks.values.field("more").null_count == len(hs):
+        yield from zip(hs, ats, strict=True)
+        return
+    for h, at, more in zip(hs, ats, marks.values.field("more").to_pylist(), strict=True):
+        yield h, at
+        for at in more or ():
+            yield h, at
+
+
 def by_keys(table: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     """``table`` with or without the rows of these keys; the keys are broadcast if they are few."""
     return table.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: int, k: int) -> DataFrame:
-    """(key, start, end) around anchors with many places. hot: h, key, at.
+    """(key, found array<struct<start, end>>) around anchors with many places. hot: h, key, at, more.
 
     Equal contexts of a text and then of all texts become one row with a count before anything goes by anchor. Where
     a context has several places, all of it repeats. Others must share a string with another context of the anchor:
@@ -126,15 +138,14 @@ def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: in
     that every such string has; one that is too large is split into the halves of its range.
     """
     width = length - k + 1
-    hot = hot.groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    hot = hot.groupBy("key").agg(F.collect_list(F.struct("h", "at", "more")).alias("marks"))
     texts_ = by_keys(documents.select("key", "text"), hot.select("key"), ["key"], "left_semi").join(hot, "key")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw, places = text.as_py().encode(), {}
-                hs, ats = (marks.values.field(c).to_numpy() for c in ("h", "at"))
-                for h, at in zip(hs.tolist(), ats.tolist(), strict=True):
+                for h, at in places_of(marks):
                     places.setdefault((h, raw[max(0, at - width + 1) : at], raw[at + k : at + k + width - 1]), []).append(at)
                 rows = [(h, xxhash.xxh3_64_intdigest(a + b, seed=len(a)) >> 1, key, at, a, b) for (h, a, b), at in places.items()]
                 for lo in range(0, len(rows), 4096):
@@ -147,13 +158,13 @@ def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: in
         last, size = None, 0
 
         def finish() -> pa.RecordBatch:
-            found = solve([[(a, b) for _, _, a, b in g] for g in groups], width) if groups else []
-            out = [(h, c, int(starts[0]), int(starts[-1])) for g, each in zip(groups, found, strict=True) for (h, c, _, _), starts in zip(g, each, strict=True) if len(starts)]
+            found = solve([[(a, b) for *_, a, b in g] for g in groups], width) if groups else []
+            out = [(h, c, int(starts[0]), int(starts[-1])) for g, each in zip(groups, found, strict=True) for (h, c, n, _, _), starts in zip(g, each, strict=True) if n == 1 and len(starts)]
             groups.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "c", "first", "last"])
 
         for batch in batches:
-            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if g != last:
                     if size >= COLLECTION:
                         yield finish()
@@ -173,8 +184,8 @@ def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: in
     while True:
         sizes = scratch.save(level.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("g", "m"))
         level = level.join(sizes, "g")
-        fits = scratch.save(level.where(F.col("m") <= COLLECTION).select("g", "h", "c", "a", "b").repartition("g").sortWithinPartitions("g").mapInArrow(search, "h long, c long, first int, last int"))
-        whole = level.where((F.col("m") > COLLECTION) & (F.col("lo") == F.col("hi"))).select("h", "c", (left - F.col("lo")).alias("first"), (left - F.col("lo")).alias("last"))
+        fits = scratch.save(level.where(F.col("m") <= COLLECTION).select("g", "h", "c", "n", "a", "b").repartition("g").sortWithinPartitions("g").mapInArrow(search, "h long, c long, first int, last int"))
+        whole = level.where((F.col("m") > COLLECTION) & (F.col("lo") == F.col("hi")) & (F.col("n") == 1)).select("h", "c", (left - F.col("lo")).alias("first"), (left - F.col("lo")).alias("last"))
         decided = decided.union(fits).union(whole)
         if sizes.where(F.col("m") > COLLECTION).isEmpty():
             break
@@ -185,12 +196,16 @@ def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: in
         level = scratch.save(level.select(F.xxhash64("h", "lo", F.expr("right(hex(a), 2 * lo)"), F.expr(f"left(hex(b), 2 * ({width - 1} - hi))")).alias("g"), "lo", "hi", "h", "c", "n", "a", "b"))
         if level.isEmpty():
             break
-    around = places.select("h", "c", "key", "at", F.length("a").alias("left")).join(decided, ["h", "c"]).withColumn("at", F.explode("at"))
-    return scratch.save(around.select("key", (F.col("at") - F.col("left") + F.col("first")).alias("start"), (F.col("at") - F.col("left") + F.col("last") + length).alias("end")))
+    # Starts of a context are less than a string apart, so from the first to the last all is one run.
+    decided = decided.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    around = places.select("h", "c", "key", "at", F.length("a").alias("left")).join(decided, ["h", "c"])
+    run = lambda at: F.struct((at - F.col("left") + F.col("first")).alias("start"), (at - F.col("left") + F.col("last") + length).alias("end"))
+    return scratch.save(around.groupBy("key").agg(F.flatten(F.collect_list(F.transform("at", run))).alias("found")))
 
 
 def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(key, start, end) of repeated strings, merged around each anchor. documents: key long (one for each text), text."""
+    """(key, found array<struct<start, end>>) of repeated strings, merged around each anchor. documents: key long (one for
+    each text), text."""
     width = length - k + 1
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,18 +216,25 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
                 part = offsets[i : j + 1] - offsets[i]
                 at, h = anchors(data[offsets[i] : offsets[j]], part, length, k)
                 row = np.searchsorted(part, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[i:j][row]), pa.array((at - part[row]).astype(np.int32))], ["h", "key", "at"])
+                # An anchor that a text has again and again is one row with a list.
+                order = np.lexsort((h, row))
+                h, row, at = h[order], row[order], (at - part[row])[order].astype(np.int32)
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                ends = np.concatenate(([0], np.cumsum(np.diff(np.append(first, len(h))) - 1))).astype(np.int32)
+                more = pa.ListArray.from_arrays(ends, pa.array(at[~new]), mask=pa.array(ends[1:] == ends[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(keys[i:j][row[first]]), pa.array(at[first]), more], ["h", "key", "at", "more"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by h: rows whose h has another row, and whether it has more than COLLECTION."""
-        held: list[pa.RecordBatch] = []  # the last h's rows, if they are few so far
-        warm = None  # the last h, if its rows are many
+        """Sorted by h: rows whose h has another place, and whether it has more than COLLECTION of them."""
+        held: list[pa.RecordBatch] = []  # the last h's rows, if its places are few so far
+        warm = None  # the last h, if its places are many
 
-        def chosen(rows: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
-            h = rows.column(0).to_numpy()
-            hot = (lengths > COLLECTION) | (h == warm if warm is not None else False)
-            keep = pa.array((lengths > 1) | hot)
-            return pa.RecordBatch.from_arrays([*(c.filter(keep) for c in rows.columns), pa.array(hot).filter(keep)], ["h", "key", "at", "hot"])
+        def chosen(rows: pa.RecordBatch, places: np.ndarray) -> pa.RecordBatch:
+            hot = (places > COLLECTION) | (rows.column(0).to_numpy() == warm if warm is not None else False)
+            keep = pa.array((places > 1) | hot)
+            return pa.RecordBatch.from_arrays([*(c.filter(keep) for c in rows.columns), pa.array(hot).filter(keep)], ["h", "key", "at", "more", "hot"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -220,23 +242,22 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
             rows = pa.concat_batches([*held, batch])
             h = rows.column(0).to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))
-            sizes = np.diff(cuts)
-            many = sizes[-1] > COLLECTION or h[-1] == warm
+            places = np.add.reduceat(1 + rows.column(3).value_lengths().fill_null(0).to_numpy(), cuts[:-1])
+            many = places[-1] > COLLECTION or h[-1] == warm
             done = len(h) if many else int(cuts[-2])
-            yield chosen(rows.slice(0, done), np.repeat(sizes, sizes)[:done])
+            yield chosen(rows.slice(0, done), np.repeat(places, np.diff(cuts))[:done])
             warm = h[-1] if many else None
             held = [] if many else [rows.slice(done)]
+            last = places[-1]
         if held:
-            rows = held[0]
-            yield chosen(rows, np.full(rows.num_rows, rows.num_rows))
+            yield chosen(held[0], np.full(held[0].num_rows, last))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py().encode()
-                hs, places = (marks.values.field(c).to_numpy() for c in ("h", "at"))
-                for h, at in zip(hs.tolist(), places.tolist(), strict=True):
+                for h, at in places_of(marks):
                     low = max(0, at - width + 1)
                     left, right = raw[low:at], raw[at + k : at + k + width - 1]
                     out.append((h, xxhash.xxh3_64_intdigest(left + right, seed=len(left)) >> 1, key, at, left, right))
@@ -312,17 +333,19 @@ def spans(documents: DataFrame, scratch: Scratch, length: int = LENGTH, k: int =
         if held:
             yield finish()
 
-    marks = documents.select("key", "text").mapInArrow(mark, "h long, key long, at int")
-    shared = scratch.save(marks.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, key long, at int, hot boolean"), compression="zstd")
+    marks = documents.select("key", "text").mapInArrow(mark, "h long, key long, at int, more array<int>")
+    shared = scratch.save(marks.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, key long, at int, more array<int>, hot boolean"), compression="zstd")
     scratch.release()
-    by_text = shared.where("not hot").groupBy("key").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    by_text = shared.where("not hot").groupBy("key").agg(F.collect_list(F.struct("h", "at", "more")).alias("marks"))
     once = documents.select("key", "text").join(by_text, "key")
     around = once.mapInArrow(contexts, "h long, c long, key long, at int, a binary, b binary")
     found = scratch.save(around.repartition("h").sortWithinPartitions("h", "c").mapInArrow(search, "key long, start int, end int"), compression="zstd")
     scratch.release()
+    found = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     hot = shared.where("hot").drop("hot")
     if not hot.isEmpty():
-        found = found.union(hot_spans(hot, documents, scratch, length, k))
+        both = found.union(hot_spans(hot, documents, scratch, length, k))
+        found = both.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
     scratch.drop(shared)
     return found
 
@@ -344,8 +367,7 @@ def suffix_dedup(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), leng
     single = by_keys(keyed, twice, pair, "left_anti")
     several = by_keys(keyed, twice, pair, "left_semi")
     one_each = scratch.save(several.select(*pair, "text").where(F.octet_length("text") >= length).dropDuplicates(pair).select("key", "text"), compression="zstd")
-    found = spans(single.select("key", "text").union(one_each), scratch, length, k)
-    by_text = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    by_text = spans(single.select("key", "text").union(one_each), scratch, length, k)
     everything = F.when(F.octet_length("text") >= length, F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end"))))
     n = len(keep)
 
