@@ -32,6 +32,9 @@ COLLECTION = 3000
 #: Up to so many keys (8 or 16 bytes each) are broadcast; more meet the texts by shuffle.
 BROADCAST_KEYS = 500_000
 
+#: No symbol is this: a string's end, seen from its first suffix.
+CLOSED = np.uint16(0xFFFF)
+
 BYTES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0xABCDEF))
 
 
@@ -69,17 +72,20 @@ def column_wise(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     terminators come first, in string order.
     """
     n, most = len(strings), max(map(len, strings))
-    column = np.full((n, most + 1), -1, np.int32)  # symbol before the suffix of that length
+    column = np.full((n, most + 1), CLOSED, np.uint16)  # symbol before the suffix of that length
     for i, s in enumerate(strings):
         column[i, : len(s)] = s[::-1]
-    which, size = np.arange(n), np.zeros(n, np.int64)
+    column = column.ravel()
+    ends = np.arange(n, dtype=np.int32) * np.int32(most + 1)
+    suffix = ends  # in order, each as its string's row and its length
     while True:
-        before = column[which, size]  # the transform, with this round's symbols filled in
-        open_ = np.flatnonzero(before >= 0)
-        order = open_[np.argsort(before[open_].astype(np.uint16), kind="stable")]
-        if n + len(order) == len(which):
-            return which, size, np.concatenate((np.full(n, -1, np.int32), before[order])), np.concatenate((np.arange(n), order))
-        which, size = np.concatenate((np.arange(n), which[order])), np.concatenate((np.zeros(n, np.int64), size[order] + 1))
+        before = column[suffix]  # the transform, with this round's symbols filled in
+        open_ = np.flatnonzero(before != CLOSED).astype(np.int32)
+        order = open_[np.argsort(before[open_], kind="stable")]
+        if n + len(order) == len(suffix):
+            symbols = np.concatenate((np.full(n, -1, np.int32), before[order].astype(np.int32)))
+            return suffix // (most + 1), suffix % (most + 1), symbols, np.concatenate((np.arange(n, dtype=np.int32), order))
+        suffix = np.concatenate((ends, suffix[order] + np.int32(1)))
 
 
 def repeated(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
@@ -88,11 +94,10 @@ def repeated(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
     n = len(strings)
     edge = np.ones(len(which) + 1, bool)  # whether a suffix differs from the one before it, within the rounds so far
     edge[n + 1 : -1] = symbol[n + 1 :] != symbol[n:-1]
-    first = edge.copy()
+    first, here, above = edge.copy(), rest[n + 1 :], rest[n:-1]
     for _ in range(width - 1):
-        upto = np.cumsum(edge)
-        edge = first.copy()
-        edge[n + 1 : -1] |= upto[rest[n + 1 :]] > upto[rest[n:-1]]
+        upto = np.cumsum(edge, dtype=np.int32)
+        edge[n + 1 : -1] = first[n + 1 : -1] | (upto[here] > upto[above])
     again = np.flatnonzero(~edge[:-1] | ~edge[1:])
     again = again[again >= n]
     lengths = np.array([len(s) for s in strings])
