@@ -3,7 +3,10 @@
 A vector is rotated and cut into two blocks; each block has a codebook of random unit vectors, and every pair of
 codes is a filter direction. A vector lies in the caps whose summed block scores exceed a bound; only codes that can
 reach it are paired. Several such codes, independently rotated, even out how many caps a vector gets, and each gives
-it at least its best ones. Vectors at the wanted cosine then share several caps with high probability.
+it at least its best ones. Vectors at the wanted cosine then share several caps with high probability. The codebooks
+grow with the vectors of a label, so that a cap holds as many whatever the table's size: two vectors at cosine 0.93 that
+are above a direction's bound together half the time at one cap in 5,000 still are in more than a quarter of the cases at one in
+a hundred million.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected
 
 COSINE = 0.93
-CODES = 256  # of each of the two blocks
+CODES = 256  # of each of the two blocks, at least
+#: Vectors that a cap holds on average, at most: beyond, the codebooks are doubled.
+HELD = 32
 CAPS = 12  # that a vector lies in, on average, by each code
 LEAST = 2  # by each code
 TABLES = 5  # independent codes
@@ -42,6 +47,18 @@ def codebook(d: int, codes: int, caps: int, table: int) -> tuple[np.ndarray, np.
     return rotation, books[0], books[1], float(bound)
 
 
+def codes_for(n: int, caps: int, codes: int = CODES) -> int:
+    """Codes of a block so that a cap holds HELD of n vectors at most on average."""
+    while n * caps > HELD * codes**2 and codes < 1 << 16:
+        codes *= 2
+    return codes
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their squares neither overflow nor vanish; cosines stay the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def caps_of(unit: np.ndarray, codes: int, caps: int, tables: int, least: int = LEAST) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of all caps it lies in."""
     d = unit.shape[1]
@@ -57,7 +74,7 @@ def caps_of(unit: np.ndarray, codes: int, caps: int, tables: int, least: int = L
             i, j = np.flatnonzero(s >= low - t.max() - 1e-12), np.flatnonzero(t >= low - s.max() - 1e-12)
             p, q = np.nonzero(s[i][:, None] + t[j][None, :] >= low - 1e-12)
             out[k].append(i[p] * codes + j[q] + table * codes**2)
-    return [np.sort(np.concatenate(x)).astype(np.int32) for x in out]
+    return [np.sort(np.concatenate(x)).astype(np.int64) for x in out]
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -74,21 +91,24 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int = CODES, caps: int = CAPS, tables: int = TABLES) -> DataFrame:
+def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int | None = None, caps: int = CAPS, tables: int = TABLES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; only rows with equal, non-null labels and equal dimension link.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing, nor does a row
     with a null id (its component is null and it is not kept). Equal vectors with equal labels are one node that
     counts as many links as it has rows. No cap on partners: caps with many vectors are compared in blocks, and a
-    pair counts in the least cap it shares.
+    pair counts in the least cap it shares. Cosines are taken in double precision from the components as they come,
+    float or double. Without ``codes`` the largest label decides the size of the codebooks. An empty table gives no rows.
     """
     scratch = Scratch(embeddings.sparkSession, "op4")
-    e = F.col("embedding").cast("array<float>")
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    e = F.col("embedding").cast(f"array<{kind}>")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = scratch.save(rows.withColumn("node", F.when(F.col("fine"), F.xxhash64("label", "v"))))
     nodes = rows.where("fine").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = scratch.save(nodes)
+    codes = codes or codes_for(nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, caps)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,12 +116,12 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int =
             found: list = [None] * len(held)
             for d in {len(v) for v in held}:
                 at = [k for k, v in enumerate(held) if len(v) == d]
-                x = np.array([held[k] for k in at], np.float64)
+                x = scaled(np.array([held[k] for k in at], np.float64))
                 for k, c in zip(at, caps_of(x / np.linalg.norm(x, axis=1, keepdims=True), codes, caps, tables), strict=True):
                     found[k] = c
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label").cast(pa.string()), batch.column("weight"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["node", "label", "weight", "v", "caps"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label").cast(pa.string()), batch.column("weight"), batch.column("v"), pa.array(found, pa.list_(pa.int64()))], ["node", "label", "weight", "v", "caps"])
 
-    marked = scratch.save(nodes.select("node", "label", "weight", "v").mapInArrow(mark, "node long, label string, weight long, v array<float>, caps array<int>"))
+    marked = scratch.save(nodes.select("node", "label", "weight", "v").mapInArrow(mark, f"node long, label string, weight long, v array<{kind}>, caps array<long>"))
     spread = marked.select("node", F.explode("caps").alias("cap"), F.xxhash64("label", F.size("v"), "cap").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
     met = spread.join(full, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -144,7 +164,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int =
             out = []
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi - lo > 1:
-                    x = values[ends[lo] : ends[hi]].astype(np.float64).reshape(hi - lo, -1)
+                    x = scaled(values[ends[lo] : ends[hi]].astype(np.float64).reshape(hi - lo, -1))
                     got = meet(node[lo:hi], weight[lo:hi], side[lo:hi], int(cap[lo]), x, lambda r, lo=lo: marks[cuts[lo + r] : cuts[lo + r + 1]])
                     if got is not None:
                         out.append(got)
@@ -168,6 +188,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, codes: int =
             yield from done(pa.Table.from_batches(held))
 
     found = scratch.save(met.repartition("task").sortWithinPartitions("task").select("task", "node", "cap", "side", "weight", "v", "caps").mapInArrow(compare, "node long, links long, root long"))
+    scratch.drop(marked)
     joined = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     known = nodes.select("node", "least", "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(joined, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node"))

@@ -74,11 +74,12 @@ def balance(cells: DataFrame, targets: list[float], names: list[str], means: lis
     return lam, mu
 
 
-def round_to(rows: DataFrame, left: list[float], levels: int = LEVELS, bits: int = BITS) -> tuple[list[int], list[tuple[int, int]]]:
-    """For each source a cut, and one (q, size) more: rows with q < cut add up to at most its ``left`` words, and the
-    row beyond whose size is nearest to what is still wanting closes the gap ((-1, -1) where none does better).
+def round_to(rows: DataFrame, left: list[float], levels: int = LEVELS, bits: int = BITS) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """For each source a cut, and one (q, u, times) more: rows with q < cut add up to at most its ``left`` words, and
+    as many of the equal rows (q, u) beyond as come nearest to what is still wanting close the gap ((-1, 0, 0) where
+    none does better).
 
-    rows: k, q (levels * bits bits), size. Each level is one aggregation into 2^bits buckets a source, refined in the
+    rows: k, q (levels * bits bits), u, size, n (equal rows). Each level is one aggregation into 2^bits buckets a source, refined in the
     bucket where the running sum passes ``left``; only that bucket of each source comes to the driver.
     """
     spark, n = rows.sparkSession, len(left)
@@ -87,7 +88,7 @@ def round_to(rows: DataFrame, left: list[float], levels: int = LEVELS, bits: int
         shift = bits * (levels - 1 - level)
         state = spark.createDataFrame([(k, prefix[k], float(below[k]), float(left[k])) for k in range(n)], "k int, p long, below double, goal double")
         state = F.broadcast(state) if n <= BROADCAST_SOURCES else state
-        sums = rows.join(state, "k").where(F.shiftright("q", shift + bits) == F.col("p")).groupBy("k", "below", "goal", F.shiftright("q", shift).alias("bucket")).agg(F.sum("size").alias("s"))
+        sums = rows.join(state, "k").where(F.shiftright("q", shift + bits) == F.col("p")).groupBy("k", "below", "goal", F.shiftright("q", shift).alias("bucket")).agg(F.sum(F.col("size") * F.col("n")).alias("s"))
         run = sums.withColumn("upto", F.col("below") + F.sum("s").over(Window.partitionBy("k").orderBy("bucket")))
         crossed = {r["k"]: r["x"] for r in run.where("upto > goal").groupBy("k").agg(F.min_by(F.struct("bucket", "upto", "s"), "bucket").alias("x")).collect()}
         passed = passed or set(crossed)
@@ -98,11 +99,12 @@ def round_to(rows: DataFrame, left: list[float], levels: int = LEVELS, bits: int
                 prefix[k] = 1 << (bits * (level + 1))
     state = spark.createDataFrame([(k, prefix[k], float(left[k] - below[k])) for k in passed] or [(-1, 0, 0.0)], "k int, cut long, gap double")
     state = F.broadcast(state) if n <= BROADCAST_SOURCES else state
-    error = F.abs(F.col("size") - F.col("gap"))
-    closest = rows.join(state, "k").where((F.col("q") >= F.col("cut")) & (error < F.col("gap"))).groupBy("k").agg(F.min_by(F.struct("q", "size"), F.struct(error, "q")).alias("x"))
-    extra = [(-1, -1)] * n
+    times = F.greatest(F.lit(1), F.least(F.col("n"), F.round(F.col("gap") / F.col("size")).cast("long")))
+    beyond = rows.join(state, "k").where(F.col("q") >= F.col("cut")).withColumn("times", times).withColumn("error", F.abs(F.col("size") * F.col("times") - F.col("gap")))
+    closest = beyond.where("error < gap").groupBy("k").agg(F.min(F.struct("error", "q", "u", "times")).alias("x"))
+    extra = [(-1, 0, 0)] * n
     for r in closest.collect():
-        extra[r["k"]] = (r["x"]["q"], r["x"]["size"])
+        extra[r["k"]] = (r["x"]["q"], r["x"]["u"], r["x"]["times"])
     return prefix, extra
 
 
@@ -110,16 +112,18 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     """doc_id, size, source_size, target, rate, copies, taken (copies * size) for every document.
 
     Sources in code point order, the null source last, weigh ``weights`` in turn. A null or empty text has size 0 and
-    takes nothing. Copies are the rate rounded down, plus one for the documents that a hash of doc_id (and the text,
-    for repeated ids) puts first, as many as the source's target needs, and one that closes the gap: reruns agree. One row for each source comes
-    to the driver. Covariates (column, mean wanted) are balanced in the mix too; rates stop at ``most``.
+    takes nothing. Copies are the rate rounded down, plus one for the documents that a hash of doc_id and text puts
+    first, as many as the source's target needs, and those that close the gap: reruns agree. Wholly equal rows are
+    counted and rounded together, so no more of them than needed get one more. One row for each source comes to the
+    driver. An empty table gives no rows. Covariates (column, mean wanted) are balanced in the mix too; rates stop at ``most``.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "op9")
     extra = covariates or {}
     sized = documents.select(*keep, "source", F.size(split_words(F.coalesce("text", F.lit("")))).cast("long").alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_u"), *[c.cast("double").alias(f"x_{n}") for n, (c, _) in extra.items()])
-    sized = scratch.save(sized)
-    sources = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).collect()]
+    equal = [*keep, "source", "size", "_u", *[f"x_{n}" for n in extra]]
+    sized = scratch.save(sized.groupBy(*equal).agg(F.count("*").alias("_n")))
+    sources = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("s")).collect()]
     sources = sorted((s for s in sources if s[0] is not None), key=lambda s: s[0]) + [s for s in sources if s[0] is None]
     sizes = [s for _, s in sources]
     targets = share_out(sizes, [weights[k % len(weights)] for k in range(len(sizes))], most)
@@ -127,7 +131,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     known = F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known
     rows = sized.join(known, sized["source"].eqNullSafe(known["s"])).drop("s", "source")
     names = [f"x_{n}" for n in extra]
-    cells = rows.groupBy("k", *names).agg(F.sum("size").cast("double").alias("size"))
+    cells = rows.groupBy("k", *names).agg(F.sum(F.col("size") * F.col("_n")).cast("double").alias("size"))
     lam, mu = balance(scratch.save(cells), targets, names, [m for _, m in extra.values()])
     tilt = spark.createDataFrame([(k, float(x)) for k, x in enumerate(lam)], "k int, lam double")
     tilt = F.broadcast(tilt) if len(sources) <= BROADCAST_SOURCES else tilt
@@ -136,12 +140,13 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     whole = F.floor("rate").cast("long")
     unit = F.pmod("_u", F.lit(PLACES)) / F.lit(float(PLACES))
     key = F.floor((unit - (F.col("rate") - whole) + 1) / 2 * F.lit(float(PLACES))).cast("long")
-    rated = scratch.save(rows.join(tilt, "k").withColumn("rate", rate).withColumn("q", key).withColumn("whole", whole).drop("_u", "lam", *names))
-    floors = {r["k"]: r["s"] for r in rated.groupBy("k").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
+    rated = scratch.save(rows.join(tilt, "k").withColumn("rate", rate).withColumn("q", key).withColumn("whole", whole).drop("lam", *names))
+    floors = {r["k"]: r["s"] for r in rated.groupBy("k").agg(F.sum(F.col("whole") * F.col("size") * F.col("_n")).alias("s")).collect()}
     left = [max(0.0, t - floors.get(k, 0)) for k, t in enumerate(targets)]
-    cuts, extras = round_to(rated.where("size > 0 and rate < %r" % most).select("k", "q", "size"), left)
-    chosen = spark.createDataFrame([(k, c, *x) for k, (c, x) in enumerate(zip(cuts, extras, strict=True))], "k int, cut long, eq long, es long")
+    cuts, extras = round_to(rated.where("size > 0 and rate < %r" % most).select("k", "q", F.col("_u").alias("u"), "size", F.col("_n").alias("n")), left)
+    chosen = spark.createDataFrame([(k, c, *x) for k, (c, x) in enumerate(zip(cuts, extras, strict=True))], "k int, cut long, eq long, eu long, times long")
     chosen = F.broadcast(chosen) if len(sources) <= BROADCAST_SOURCES else chosen
-    copies = F.least(F.col("whole") + F.when(((F.col("q") < F.col("cut")) | (F.col("q") == F.col("eq")) & (F.col("size") == F.col("es"))) & (F.col("rate") < most), 1).otherwise(0), F.lit(math.floor(most)))
-    done = rated.join(chosen, "k").withColumn("copies", copies.cast("long"))
+    more = F.when(F.col("rate") >= most, 0).when(F.col("q") < F.col("cut"), F.col("_n")).when((F.col("q") == F.col("eq")) & (F.col("_u") == F.col("eu")), F.col("times")).otherwise(0)
+    done = rated.join(chosen, "k").withColumn("_more", more).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    done = done.withColumn("copies", F.least(F.col("whole") + F.when(F.col("_i") <= F.col("_more"), 1).otherwise(0), F.lit(math.floor(most))).cast("long"))
     return done.select(*keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -88,8 +88,9 @@ def classify(documents: DataFrame, labels: DataFrame, most_rows: int = 60_000, t
     """doc_id, held_out, score (0 to 1), predicted (score >= threshold) for every whole text.
 
     Fitted on the driver from the statistics of at most about ``most_rows`` labelled rows that are not held out,
-    chosen by a hash of their ids; scores cover all rows. A null text counts as empty; null labels teach nothing;
-    a repeated doc_id is scored row by row. An empty table gives no rows.
+    chosen by a hash of their ids, a row for each id; scores cover all rows. A null text counts as empty; null labels
+    teach nothing; of several labels of an id the least counts; a repeated doc_id is scored row by row. An empty table
+    gives no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "op6")
@@ -97,9 +98,9 @@ def classify(documents: DataFrame, labels: DataFrame, most_rows: int = 60_000, t
     columns = [f"f_{f}" for f in FEATURES]
     held = remainder("doc_id", 5) == 0
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     keep = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most_rows / max(1, known.count())))
-    rows = stats.join(known.where(keep), "doc_id").select(*columns, "y").toPandas()
+    rows = stats.join(known.where(keep), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*columns, "y")).alias("r")).select("r.*").toPandas()
     model = fit(rows[columns].to_numpy(float), rows["y"].to_numpy(float), **options)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -114,7 +114,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, **options) -> DataFra
     """Statistics and verdict of every whole text: doc_id, the base statistics, base_failed, kept, rule (0: none).
 
     A null text counts as empty and fails the base rule. Rows with a repeated or null doc_id each get their own
-    verdict; a label that is null is not learned from. An empty table gives an empty result, no labels no rules.
+    verdict; a label that is null is not learned from, and of several labels of an id the least counts. An empty table gives an empty result, no labels no rules.
     """
     scratch = Scratch(documents.sparkSession, "op1")
     stats = scratch.save(statistics(documents).select("*", *features()))

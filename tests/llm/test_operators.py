@@ -95,6 +95,61 @@ def test_language(spark, edges, nothing):
     assert {r["lang_pred"] for r in language.language_id(edges.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_profile(text):
+    """Shares of n-grams by bin, one at a time; None without a letter."""
+    if not any(c.isalpha() for c in text):
+        return None
+    letters = language.letters()
+    kept = [32]
+    for c in map(ord, text.lower()):
+        c = c if letters[c] else 32
+        if c != 32 or kept[-1] != 32 or len(kept) == 1:
+            kept.append(c)
+    kept.append(32)
+    out = collections.Counter()
+    for n in range(1, language.ORDERS + 1):
+        grams = []
+        for i in range(len(kept) - n + 1):
+            h = kept[i]
+            for c in kept[i + 1 : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+            grams.append(((h + n) * 0xBF58476D1CE4E5B9 % 2**64) >> 51)
+        for g in grams:
+            out[g] += 1 / len(grams) / language.ORDERS
+    return out
+
+
+def test_language_against_loops():
+    """n-gram shares, bit weights and loss-weighted decoding, each as plain sums."""
+    rng = random.Random(41)
+    kinds = {"aa": "bdgk", "bb": "lmnr", "cc": "pqst"}
+    made = [(k, " ".join("".join(rng.choice(kinds[k]) + rng.choice("aeiou") for _ in range(3)) for _ in range(12))) for k in kinds for _ in range(6)]
+    names, matrix = sorted(kinds), language.code_matrix(3)
+    sums = np.zeros((3, language.BINS))
+    for k, text in made:
+        got, want = language.profile(text), brute_profile(text)
+        assert {i: x for i, x in enumerate(got.tolist()) if x} == pytest.approx(dict(want))
+        sums[names.index(k)] += got
+    weights = language.bit_weights(sums, matrix)
+    for b in range(matrix.shape[1]):
+        for g in rng.sample(range(language.BINS), 50):
+            yes, no = ([sums[k, g] / sum(sums[k]) for k in range(3) if matrix[k, b] == side] for side in (1, -1))
+            assert weights[g, b] == pytest.approx(math.log(sum(yes) / len(yes) + 1e-6) - math.log(sum(no) / len(no) + 1e-6))
+    model = language.Codes(names, matrix, weights, np.array([0.5, 1.0, 2.0][: matrix.shape[1]]), np.array([1.0, 0.7, 0.4][: matrix.shape[1]]))
+    for text in [*(t for _, t in made), "bala dama", "x", "lobo pato"]:
+        share = language.profile(text)
+        losses = []
+        for k in range(3):
+            loss = 0.0
+            for b in range(matrix.shape[1]):
+                margin = max(-6.0, min(6.0, sum(share[g] * weights[g, b] for g in np.flatnonzero(share)) / model.scale[b]))
+                loss += model.trust[b] * math.log(1 + math.exp(-matrix[k, b] * margin))
+            losses.append(loss)
+        best = losses.index(min(losses))
+        score = 1 / sum(math.exp(min(losses) - x) for x in losses)
+        assert model.decode(share) == (best, pytest.approx(score), score < 0.5)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 7, 8, 30])
 def test_code_matrix(k):
     m = language.code_matrix(k)
@@ -179,6 +234,40 @@ def test_embeddings(spark):
     assert caps.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    """Components that squares of, or floats, cannot hold; and a cosine that only double precision tells from the threshold."""
+    big, tiny = [1e300, 1e300, 0.0], [1e-300, 1e-300, 0.0]
+    near = [1e300, 1e300, 1e298]
+    one, angle = [1.0, *[0.0] * 63], math.acos(0.93)
+    below, above = ([math.cos(a), math.sin(a), *[0.0] * 62] for a in (angle + 1e-12, angle - 1e-12))
+    rows = [(1, big, 1), (2, big, 1), (3, near, 1), (4, tiny, 1), (5, one, 2), (6, below, 2), (7, one, 3), (8, above, 3), (9, [float("inf"), 1.0, 1.0], 1)]
+    got = {r[0]: tuple(r)[1:3] for r in caps.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+@pytest.mark.parametrize(("size", "codes"), [("sf0.01", None), ("sf0.1", None), ("sf0.1", 4096)])
+def test_embedding_recall(spark, size, codes):
+    """Links found of all links, on whole tables; codebooks of 4096 are those of two hundred million vectors a label."""
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float), r["label"]) for r in df.collect() if r["embedding"] is not None and r["label"] is not None]
+    links = collections.Counter()
+    for label in {r[2] for r in rows}:
+        ids = [r[0] for r in rows if r[2] == label]
+        x = np.stack([r[1] for r in rows if r[2] == label])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+        links.update(ids[k] for k in [*i, *j])
+    got = {r["vec_id"]: r["n_links"] for r in caps.embedding_dedup(df, codes=codes).collect()}
+    assert all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) >= 0.9 * sum(links.values())
+
+
+def test_codes_grow():
+    assert caps.codes_for(10_000, 12) == caps.codes_for(0, 12) == 256
+    for n in (10**6, 10**8, 10**10):
+        assert 8 <= n * 12 / caps.codes_for(n, 12) ** 2 <= caps.HELD
+
+
 # ---- 5: packing
 
 
@@ -221,6 +310,13 @@ def test_packing(spark, tokenizer, edges, edge_rows, nothing):
     assert packing.pack(nothing, *tokenizer).count() == 0
 
 
+def test_encoders_agree_on_a_table(spark, tokenizer):
+    """The ranks give the ids of the JSON tokenizer for every text of a whole table."""
+    fast, exact = packing.encoder(*tokenizer), packing.encoder(tokenizer[0], None, None)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert list(fast(r["text"] or "")) == list(exact(r["text"] or ""))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_first_fit(sizes):
@@ -258,6 +354,53 @@ def test_trees_fit():
     assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
 
 
+def test_trees_against_loops():
+    """The same trees grown by trying every cut of every feature at every node, row by row."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((60, 2)), 1)
+    y = ((x[:, 0] > 0.4) & (x[:, 1] > 0.2)).astype(float)
+    depth, rate, l2 = 2, 0.3, 1.0
+    model = quality_classifier.fit(x, y, trees=3, depth=depth, rate=rate, bins=8, l2=l2, least=0.5)
+    cuts = []
+    for j in range(2):
+        seen = np.unique(np.quantile(x[:, j], np.linspace(0, 1, 8), method="nearest"))
+        cuts.append([(a + b) / 2 for a, b in zip(seen, seen[1:], strict=False)])
+    share = (sum(y) + 1) / (len(y) + 2)
+    margin = [math.log(share / (1 - share))] * 60
+    for _ in range(3):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+
+        def grow(rows, level, p=p):
+            sums = lambda ks: (sum(p[k] - y[k] for k in ks), sum(p[k] * (1 - p[k]) for k in ks))
+            g, h = sums(rows)
+            if level == depth:
+                return {k: -rate * g / (h + l2) for k in rows}
+            best, split = 1e-9, None
+            for j in range(2):
+                for t in cuts[j]:
+                    left = [k for k in rows if x[k, j] <= t]
+                    (a, b), (c, d) = sums(left), sums([k for k in rows if x[k, j] > t])
+                    if b >= 0.5 and d >= 0.5 and a * a / (b + l2) + c * c / (d + l2) - g * g / (h + l2) > best + 1e-12:
+                        best, split = a * a / (b + l2) + c * c / (d + l2) - g * g / (h + l2), (j, t)
+            if split is None:
+                return grow(rows, depth)
+            j, t = split
+            return grow([k for k in rows if x[k, j] <= t], level + 1) | grow([k for k in rows if x[k, j] > t], level + 1)
+
+        leaf = grow(range(60), 0)
+        margin = [m + leaf[k] for k, m in enumerate(margin)]
+    assert model.margin(x).tolist() == pytest.approx(margin, abs=1e-6)
+
+
+def test_labels_of_an_id(spark, edges):
+    """Of several labels of an id the least counts, in both operators; repeated rows of an id are one row to fit on."""
+    several = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    clash = several.withColumn("text", F.lit("clash")).withColumn("n_words", F.lit(1)).withColumn("bad", F.lit("x"))
+    for f in (quality_rules.quality_rules, quality_classifier.classify):
+        once = by_id(f(edges, spark.createDataFrame([(4, 0, 0)], "doc_id long, quality int, toxic int")))
+        assert by_id(f(edges, several)) == once == by_id(f(edges, clash))
+
+
 # ---- 7: pages
 
 
@@ -477,6 +620,34 @@ def test_mixing(spark, corpus, edges, nothing):
     assert mixing.mix(edges).count() == 15 and mixing.mix(nothing).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    """A hundred wholly equal rows: as many of them are taken as come nearest to the target, and reruns agree."""
+    rows = [(5, prose(random.Random(1), 10), "en", "a")] * 100 + [(6, prose(random.Random(2), 15), "en", "b")] * 100
+    first, again = (by_id(mixing.mix(frame(spark, rows))) for _ in range(2))
+    assert first == again and len(first) == 200
+    for r in mixing.mix(frame(spark, rows)).groupBy("doc_id", "size", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["size"] / 2 + 1e-6
+
+
+def test_mixing_targets_in_sql(spark, corpus):
+    """Sizes and targets as SQL has them: the excess above three times a source's size is shared again by weight."""
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame([(r[0], r[1], r[3]) for r in [*corpus, (900, prose(random.Random(4), 20_000), "en", "zz"), (901, None, "en", "zz"), (902, "a b", "en", None)]], columns=["doc_id", "text", "source"])  # noqa: F841
+    sql = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+r(step, source, size, weight, target) AS (SELECT 0, source, size, weight, NULL::DOUBLE FROM s UNION ALL
+  SELECT step + 1, source, size, weight, CASE WHEN target IS NOT NULL THEN target WHEN rest * weight / total > 3 * size THEN 3 * size END FROM
+    (SELECT *, sum(size) OVER () - coalesce(sum(target) OVER (), 0) AS rest, sum(weight) FILTER (target IS NULL) OVER () AS total FROM r) WHERE step < 10),
+z AS (SELECT *, sum(size) OVER () - coalesce(sum(target) OVER (), 0) AS rest, sum(weight) FILTER (target IS NULL) OVER () AS total FROM r WHERE step = 10)
+SELECT d.doc_id, d.size, z.size::BIGINT AS source_size, coalesce(z.target, rest * weight / total) AS target FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    rows = [(int(r.doc_id), None if r.text is None or r.text != r.text else r.text, "en", None if r.source is None or r.source != r.source else r.source) for r in documents.itertuples()]
+    got = {r["doc_id"]: (r["size"], r["source_size"], r["target"]) for r in mixing.mix(frame(spark, rows)).collect()}
+    assert set(got) == set(want) and all(got[i] == (want[i][0], want[i][1], pytest.approx(want[i][2])) for i in want)
+
+
 def test_mixing_balances_covariates(spark, corpus):
     df = frame(spark, corpus)
     got = mixing.mix(df, covariates={"id": (F.col("doc_id") / 100, 0.9)})
