@@ -16,7 +16,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and those whose nearest codeword is in doubt, go. A missing lang becomes the prediction."""
+    """Texts without a letter, and those whose nearest codeword is in doubt, go. A missing lang becomes the prediction.
+
+    Null and repeated ids are rows like others. Without a row that has text and lang nothing can be told, so all go.
+    """
     docs = docs.select(*COLUMNS)
     model = learn(docs.where("lang is not null and text is not null").select("doc_id", "text", "lang"))
     found = identify(docs, model, tuple(COLUMNS)).where("lang_pred <> 'und' and not ambiguous")
@@ -37,7 +40,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out; a document of which nothing but white space is left goes."""
+    """Repeated passages are cut out; a document of which nothing but white space is left goes.
+
+    A document that had no word to begin with stays, null texts as empty ones. Null and repeated ids are rows like others.
+    """
     rest = ("doc_id", "lang", "source", "n_chars")
     found = suffix_dedup(docs.select(*COLUMNS), rest, as_text=True)
     found = found.where((F.size("removed") == 0) | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))
@@ -45,13 +51,20 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks; equal rows fare alike."""
+    """Each document as often as its source's target asks; of equal rows as many copies as they take together.
+
+    Documents without a word take nothing and go. Rows with null or repeated ids are told apart by all their columns.
+    """
     docs = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
-    copies = mix(docs, keep=("doc_id", "_key")).where("copies > 0").select("_key", "copies").dropDuplicates(["_key"])
-    return docs.join(copies, "_key").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    copies = mix(docs, keep=("doc_id", "_key")).groupBy("_key").agg(F.sum("copies").cast("int").alias("_n")).where("_n > 0")
+    return docs.dropDuplicates(["_key"]).join(copies, "_key").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens; a null text is its end token alone.
+
+    A document that the mix repeats is packed as often; rows with a null id are pieces with a null id.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -59,12 +72,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_copies", near_copies), ("repeats", repeats), ("mixing", mixed), ("packing", packed)]
 
-#: Learned languages, hashes and a tokenizer have no SQL form; tests hold the stages against brute force.
+#: Learned languages, hashes and a tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    """The pieces of the last stage; each stage's rows are written and read again. An empty table gives no rows."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
