@@ -448,11 +448,59 @@ def test_versions_of_an_article_stay():
 
 
 def test_wrapper_groups():
-    streams = [pages.fold(pages.parse(f"<div><p>same</p><ul>{'<li>x' + str(n) + '</li>' * 1}{'<li>y</li>' * n}</ul>{'<h2>maybe</h2>' * (n % 2)}</div>")) for n in range(1, 4)]
-    wrapper = pages.infer(streams)
-    assert any(x.key[0] == "repeat" for x in wrapper)
-    assert any(x.optional and x.key == ("h2",) for x in wrapper)
-    assert any(x.key == ("text",) and x.text == "same" and not x.optional for x in wrapper)
+    """Equal numbers are elements, others repeated groups, aligned inside too; what some pages lack is optional."""
+    items = [f"<li><h3>x{n}</h3></li>" + f"<li><h3>y</h3><p>z{n}</p></li>" * n for n in range(1, 4)]
+    read = [pages.parse(f"<div><p>same</p><ul>{x}</ul>{'<h2>maybe</h2>' * (n % 2)}</div>") for n, x in enumerate(items, 1)]
+    for _, texts in read:
+        for t in texts:
+            t.shared = t.text == "same"
+    wrapper, _ = pages.infer([root for root, _ in read])
+    assert "".join(k.expression() for k in wrapper.kids) == "<div><p>same</p><ul>(<li><h3>#</h3>(<p>#</p>)?</li>)*</ul>(<h2>maybe</h2>)?</div>"
+
+
+def test_names_of_whole_pages_and_articles():
+    """A class of the page, of what holds the article or of the article itself says nothing against its text."""
+    body = "<h1>Title</h1><p>Body text.</p>"
+    for page in (f'<body class="single has-sidebar"><article>{body}</article></body>', f'<div class="page no-comments"><main>{body}</main></div>', f'<article class="post category-advertising">{body}</article>', f'<body class="sidebar"><div class="widget"><article class="ad">{body}</article></div></body>'):
+        assert pages.extract([page]) == ["Title\nBody text."]
+    teaser = '<div class="related"><article>Other news</article></div><div class="site-footer">foot</div><div id="comment-list"><p>me too</p></div>'
+    assert pages.extract([f"<article>{body}</article>{teaser}"]) == ["Title\nBody text."]
+
+
+def test_wrapper_against_made_pages():
+    """Pages made from layouts without any telling tag or class: the text is what the maker put there, page by page."""
+    rng = random.Random(47)
+    right = by_tags = n = 0
+    for layout in range(12):
+        fixed = [prose(rng, rng.randrange(2, 8)) for _ in range(4)]
+        links = "".join(f"<li>{prose(rng, 2)} {i}</li>" for i in range(rng.randrange(2, 6)))
+        depth = rng.randrange(1, 4)
+        made, want = [], []
+        for _ in range(rng.choice([2, 3, 6, 9])):
+            parts = [prose(rng, rng.randrange(15, 40)) for _ in range(rng.randrange(2, 7))]
+            text = "".join(f"<p>{x}</p>" if layout % 2 else f"<section><h2>{x[:20].strip()}</h2><p>{x}</p></section>" for x in parts)
+            notice = f"<p>{fixed[3]}</p>" if layout % 3 else ""
+            made.append(f"<body><div><div>{fixed[0]}</div><ul>{links}</ul></div>{'<div>' * depth}{notice}{text}{'</div>' * depth}<div><p>{fixed[1]}</p><p>{fixed[2]}</p></div></body>")
+            want.append("\n".join(x if layout % 2 else f"{x[:20].strip()}\n{x}" for x in parts))
+        right += sum(a == b for a, b in zip(pages.extract(made), want, strict=True))
+        by_tags += sum(a == b for a, b in zip(pages.extract(made, wrapped=False), want, strict=True))
+        n += len(made)
+    assert right == n and by_tags == 0
+
+
+def test_long_pages_in_seconds():
+    import time
+
+    made = ["<body><div>Our site</div>" + "".join(f"<h2>{k} {i}</h2><p>text {k} {i}</p>" if i % 3 else f"<ul><li>item {k} {i}</li></ul>" for i in range(6000)) + "</body>" for k in range(64)]
+    start = time.time()
+    found = pages.extract(made)
+    assert time.time() - start < 60 and found[0].startswith("item 0 0\n0 1\ntext 0 1") and found[63].count("\n") == 9999
+
+
+def test_many_copies_of_a_page(spark):
+    rows = [(1, "http://a.example/1", page("One", "<p>x</p>"))] * 200 + [(2, "http://a.example/2", page("Two", "<p>y</p>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert collections.Counter(r["text"] for r in pages.extract_text(df).collect()) == {"One\nx": 200, "Two\ny": 1}
 
 
 # ---- 8: Jaccard join
