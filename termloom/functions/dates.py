@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 ISO = r"^\d{4}-\d{2}-\d{2}"
 #: Tried in order where values are not all ISO; month first, as dates without a known order are read.
-FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy", "yyyy/MM/dd", "yyyyMMdd"]
+FORMATS = [
+    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy", "d/M/yyyy H:mm:ss",
+    "dd-MM-yyyy", "d.M.yyyy", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy",
+]
 
 
 def formats(dayfirst: bool = False) -> list[str]:
-    return sorted(FORMATS, key=lambda f: not f.startswith("dd")) if dayfirst else FORMATS
+    return sorted(FORMATS, key=lambda f: not f.startswith("d")) if dayfirst else FORMATS
 
 
-def to_date(c: Column, all_iso: Column | bool, dayfirst: bool = False) -> Column:
-    """A text as timestamp, null where it cannot be read. With ``all_iso`` a time part makes it unreadable."""
+def format_of(value: str, dayfirst: bool = False) -> str | None:
+    """The first format that reads this value: one row on the driver's side."""
+    spark = SparkSession.getActiveSession()
+    tried = formats(dayfirst)
+    row = spark.range(1).select(F.array(*[F.try_to_timestamp(F.lit(value), F.lit(f)).isNotNull() for f in tried]).alias("x")).first()
+    return next((f for f, fits in zip(tried, row["x"], strict=True) if fits), None)
+
+
+def to_date(c: Column, all_iso: Column | bool, dayfirst: bool = False, first: str | None = None) -> Column:
+    """A text as timestamp, null where it cannot be read. With ``all_iso`` a time part makes it unreadable.
+
+    The format that reads the column's ``first`` value is the format of all; without one, or if none reads it, each
+    value takes the first format that fits.
+    """
     strict = F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))
-    loose = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats(dayfirst)])
+    known = format_of(first, dayfirst) if first is not None and all_iso is not True else None
+    loose = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ([known] if known else formats(dayfirst))])
     if isinstance(all_iso, bool):
         return strict if all_iso else loose
     return F.when(all_iso, strict).otherwise(loose)

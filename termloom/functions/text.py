@@ -91,8 +91,11 @@ def clean_cell(c: Column) -> Column:
 
 
 def py_str(name: str, kind: T.DataType) -> Column:
-    """The text that Python's str() gives a value: True, 1.0, 1e+16; null stays null."""
-    c = F.col(f"`{name}`")
+    """The text that Python's str() gives a column's values: True, 1.0, 1e+16; null stays null."""
+    return py_text(F.col(f"`{name}`"), kind)
+
+
+def py_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.initcap(c.cast("string"))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -103,4 +106,6 @@ def py_str(name: str, kind: T.DataType) -> Column:
         text = F.lower(d.cast("string"))
         big = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0e", "e"), r"e(\d)", "e+$1"), r"e([+-])(\d)$", "e$10$2")
         return F.when(F.isnan(d), "nan").when(size == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when((d == 0) | ((size >= 1e-4) & (size < 1e16)), plain).otherwise(big)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.000000$", "")
     return c.cast("string")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import to_date
-from ..functions.text import normalize_generic, py_str, strip
-from .predicates import all_iso
+from ..functions.text import normalize_generic, py_str, py_text, strip
+from .predicates import all_iso, first_value
 
 
 def date_stats(df: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -22,7 +22,7 @@ def date_stats(df: DataFrame, columns: list[str], order: str) -> DataFrame:
         elif isinstance(kind, T.NumericType):
             when = F.timestamp_micros((v / 1000).cast("long")).cast("timestamp_ntz")
         else:
-            when = to_date(v.cast("string"), all_iso(df, c, order).first()["all_iso"]).cast("timestamp_ntz")
+            when = to_date(v.cast("string"), all_iso(df, c, order).first()["all_iso"], first=first_value(df, c, order)).cast("timestamp_ntz")
         aggs += [F.min(when).alias(f"lo{i}"), F.max(when).alias(f"hi{i}")]
     text = lambda x: F.coalesce(F.date_format(x, "yyyy-MM-dd HH:mm:ss"), F.lit("NaT"))
     rows = [F.struct(F.lit(c).alias("coluna"), text(f"lo{i}").alias("min"), text(f"hi{i}").alias("max")) for i, c in enumerate(columns)]
@@ -54,18 +54,46 @@ def value_counts(values: DataFrame) -> DataFrame:
     return values.groupBy("coluna", "v").agg(F.count("*").alias("n"), F.min("_pos").alias("first"))
 
 
-def top_values(values: DataFrame, most: int = 200, keep: int = 100) -> DataFrame:
-    """The rows of columns with up to ``most`` distinct values, and of the ``keep`` commonest values of the others."""
-    counts = value_counts(values)
+def counts_by_column(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """The same for whole columns of a table: values are counted as they are and only then written as Python does."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("coluna"), F.col(f"`{c}`").cast("string").alias("raw")) for c in columns])).alias("c")
+    raw = df.select(F.col(f"`{order}`").alias("_pos"), cells).select("c.coluna", "c.raw", "_pos").where("raw is not null").groupBy("coluna", "raw").agg(F.count("*").alias("n"), F.min("_pos").alias("first"))
+    text = F.coalesce(*[F.when(F.col("coluna") == c, py_text(F.col("raw").cast(kinds[c]), kinds[c])) for c in columns])
+    return raw.withColumn("v", text).groupBy("coluna", "v", "raw").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def top_counts(counts: DataFrame, most: int = 200, keep: int = 100) -> DataFrame:
+    """Of value counts, those of columns with up to ``most`` distinct values, and the ``keep`` commonest of the others."""
     rank = F.row_number().over(Window.partitionBy("coluna").orderBy(F.desc("n"), "first", "v"))
     # Ranks stop at most + 1: that tells whether a column has more, and the window never keeps a longer list.
     ranked = counts.withColumn("rn", rank).where(F.col("rn") <= most + 1)
     over = ranked.groupBy("coluna").agg((F.max("rn") > most).alias("over"))
-    chosen = ranked.join(F.broadcast(over), "coluna").where(~F.col("over") | (F.col("rn") <= keep)).select("coluna", "v")
-    return values.join(chosen, ["coluna", "v"], "left_semi")
+    return ranked.join(F.broadcast(over), "coluna").where(~F.col("over") | (F.col("rn") <= keep)).drop("rn", "over")
+
+
+def top_values(values: DataFrame, most: int = 200, keep: int = 100) -> DataFrame:
+    """The rows of columns with up to ``most`` distinct values, and of the ``keep`` commonest values of the others."""
+    return values.join(top_counts(value_counts(values), most, keep).select("coluna", "v"), ["coluna", "v"], "left_semi")
+
+
+def normalised(values: DataFrame) -> DataFrame:
+    trimmed = values.withColumn("orig", strip(F.col("v")))
+    return trimmed.withColumn("norm", normalize_generic(F.col("orig")))
+
+
+def placed(groups: DataFrame) -> DataFrame:
+    """pos as a number of its own for each group, by first place and value, so that groups with one first place stay
+    apart. For columns cut to their commonest values, a few hundred rows each."""
+    rank = F.row_number().over(Window.partitionBy("coluna").orderBy("pos", "norm")) - 1
+    return groups.withColumn("pos", rank.cast("long"))
+
+
+def counted_groups(counts: DataFrame) -> DataFrame:
+    """(coluna, norm, pos, originais, n): each normalised value's originals, first place and rows, from value counts."""
+    return normalised(counts).groupBy("coluna", "norm").agg(F.min("first").alias("pos"), F.sort_array(F.collect_set("orig")).alias("originais"), F.sum("n").alias("n"))
 
 
 def norm_groups(values: DataFrame) -> DataFrame:
     """(coluna, norm, pos, originais, ids): each normalised value's originals, ids and first place."""
-    trimmed = values.withColumn("orig", strip(F.col("v"))).withColumn("norm", normalize_generic(F.col("orig")))
-    return trimmed.groupBy("coluna", "norm").agg(F.min("_pos").alias("pos"), F.sort_array(F.collect_set("orig")).alias("originais"), F.collect_set("id").alias("ids"))
+    return normalised(values).groupBy("coluna", "norm").agg(F.min("_pos").alias("pos"), F.sort_array(F.collect_set("orig")).alias("originais"), F.collect_set("id").alias("ids"))

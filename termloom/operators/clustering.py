@@ -31,12 +31,26 @@ def fuzzy_clusters(terms: DataFrame, threshold: int = 88, max_terms: int = 500)
 
 
 def cluster_table(groups: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(coluna, termo_base, variantes, frequencia, ids): the longest member in capitals, originals, distinct ids."""
+    """(coluna, termo_base, variantes, frequencia, ids): the longest member in capitals, originals, distinct ids.
+
+    In order of frequency and first place within a column. ``ids`` holds all of a cluster's ids in one text; where
+    these are too many for a row, and only their number is wanted, ``counted_cluster_table`` does without.
+    """
     joined = groups.select("coluna", "norm", "pos", "originais", "ids").join(clusters.select("coluna", "pos", "leader"), ["coluna", "pos"])
     base = F.upper(F.max_by("norm", F.struct(F.length("norm"), -F.col("pos"))))
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     out = joined.groupBy("coluna", "leader").agg(base.alias("termo_base"), merged("originais").alias("v"), merged("ids").alias("i"))
-    return out.select("coluna", "termo_base", F.array_join("v", "; ").alias("variantes"), F.size("i").cast("long").alias("frequencia"), F.array_join("i", ",").alias("ids"))
+    out = out.select("coluna", "leader", "termo_base", F.array_join("v", "; ").alias("variantes"), F.size("i").cast("long").alias("frequencia"), F.array_join("i", ",").alias("ids"))
+    return out.orderBy("coluna", F.desc("frequencia"), "leader").drop("leader")
+
+
+def counted_cluster_table(groups: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(coluna, leader, termo_base, variantes, frequencia) of groups with row counts, in order of frequency and first place."""
+    joined = groups.select("coluna", "norm", "pos", "originais", "n").join(clusters.select("coluna", "pos", "leader"), ["coluna", "pos"])
+    base = F.upper(F.max_by("norm", F.struct(F.length("norm"), -F.col("pos"))))
+    variants = F.array_sort(F.array_distinct(F.flatten(F.collect_list("originais"))))
+    out = joined.groupBy("coluna", "leader").agg(base.alias("termo_base"), F.array_join(variants, "; ").alias("variantes"), F.sum("n").alias("frequencia"))
+    return out.orderBy("coluna", F.desc("frequencia"), "leader").select("coluna", "leader", "termo_base", "variantes", "frequencia")
 
 
 def leaders_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:

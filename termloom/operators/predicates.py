@@ -25,15 +25,42 @@ def is_date_name(name: str) -> bool:
     return any(w in bare for w in DATE_WORDS)
 
 
-def column_stats(df: DataFrame) -> DataFrame:
-    """One row for each column: n, n_nulls, n_distinct, is_id, is_numeric, is_categorical, is_date. One aggregation.
+#: Distinct values, by the estimate, up to which a column's are gathered and counted exactly in the same scan.
+FEW = 400
+#: Twenty times the estimate's standard error: what it leaves open beyond that, no table will show.
+ERROR = 0.02
+
+
+def distinct_counts(df: DataFrame, names: list[str], exact: bool) -> dict[str, int]:
+    """Distinct values of each column: estimates in one scan, then exact where a decision hangs on them, or for all.
+
+    Columns with few values are counted exactly by sets of a bounded size, all in one more scan; only columns whose
+    estimate comes near their number of rows, those that may be keys, are shuffled by value, one at a time.
+    """
+    column = {c: F.col(f"`{c}`") for c in names}
+    got = df.agg(F.count("*").alias("n"), *[f(column[c]).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("c", F.count), ("d", lambda x: F.approx_count_distinct(x, ERROR)))]).first()
+    out = {c: got[f"d{i}"] for i, c in enumerate(names)}
+    few = [c for c in names if out[c] <= FEW]
+    if few:
+        sizes = df.agg(*[F.size(F.collect_set(column[c])).alias(f"s{i}") for i, c in enumerate(few)]).first()
+        out |= {c: sizes[i] for i, c in enumerate(few)}
+    for i, c in enumerate(names):
+        if c not in few and (exact or out[c] >= (1 - 20 * ERROR) * (got["n"] - 1)):
+            out[c] = df.select(column[c]).where(column[c].isNotNull()).distinct().count() if got[f"c{i}"] >= got["n"] - 1 or exact else out[c]
+    return out
+
+
+def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row for each column: n, n_nulls, n_distinct, is_id, is_numeric, is_categorical, is_date.
 
     A column is a key by name, or if no value repeats (two nulls do). A number is categorical with fewer distinct
-    values than min(30, rows / 5).
+    values than min(30, rows / 5). Without ``exact``, n_distinct is an estimate where nothing hangs on it. An empty
+    table has no distinct values, and every column of it is a key.
     """
     columns = [f for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-    aggs = [F.count("*").alias("n")] + [x for i, f in enumerate(columns) for x in (F.count(F.col(f"`{f.name}`")).alias(f"c{i}"), F.count_distinct(F.col(f"`{f.name}`")).alias(f"d{i}"))]
-    rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("coluna"), F.col("n"), (F.col("n") - F.col(f"c{i}")).alias("n_nulls"), F.col(f"d{i}").alias("n_distinct"), F.lit(is_numerical(f.dataType)).alias("is_numeric"), F.lit(is_date_name(f.name)).alias("is_date")) for i, f in enumerate(columns)]
+    distinct = distinct_counts(df, [f.name for f in columns], exact)
+    aggs = [F.count("*").alias("n")] + [F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(columns)]
+    rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("coluna"), F.col("n"), (F.col("n") - F.col(f"c{i}")).alias("n_nulls"), F.lit(distinct[f.name]).cast("long").alias("n_distinct"), F.lit(is_numerical(f.dataType)).alias("is_numeric"), F.lit(is_date_name(f.name)).alias("is_date")) for i, f in enumerate(columns)]
     long = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     unique = (F.col("n_nulls") <= 1) & (F.col("n_distinct") + F.col("n_nulls") == F.col("n"))
     named = F.lower("coluna").isin(*ID_NAMES)
@@ -46,6 +73,13 @@ def first_id(df: DataFrame) -> str | None:
     return found["coluna"] if found else None
 
 
+def first_value(df: DataFrame, column: str, order: str) -> str | None:
+    """The first value that is not null, as text."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    row = df.select(py_str(column, kinds[column]).alias("v"), F.col(f"`{order}`").alias("o")).where("v is not null").orderBy("o").first()
+    return row["v"] if row else None
+
+
 def all_iso(df: DataFrame, column: str, order: str, sample: int = 50) -> DataFrame:
     """One row, ``all_iso``: whether the first values all begin like an ISO date; true without values."""
     kinds = {f.name: f.dataType for f in df.schema}

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import date_stats, long_values, norm_groups, numeric_stats, top_values
+from ..operators.aggregates import counted_groups, counts_by_column, date_stats, long_values, norm_groups, normalised, numeric_stats, placed, top_counts, top_values
 from ..operators.cleaning import number_rows
-from ..operators.clustering import cluster_table, fuzzy_clusters
+from ..operators.clustering import cluster_table, counted_cluster_table, fuzzy_clusters
 from ..operators.dictionary import detect_column_types
 from ..operators.predicates import column_stats
+from .checkpoints import cut
 
 UNKNOWN = "desconhecido"
 
@@ -25,7 +26,7 @@ class Profile:
     types: dict[str, str]
     dates: DataFrame | None
     numbers: DataFrame | None
-    tables: DataFrame | None  # coluna, termo_base, variantes, frequencia, ids
+    tables: DataFrame | None  # coluna, termo_base, variantes, frequencia, and ids if they are wanted
 
     def header(self) -> dict:
         return {"id_coluna": self.key, "total_linhas": self.rows, "total_colunas": self.columns}
@@ -33,17 +34,35 @@ class Profile:
 
 def clusters_of(df: DataFrame, columns: list[str], key: str, order: str, threshold: int = 88, max_terms: int = 500) -> DataFrame:
     """The cluster tables of the columns, all in one plan keyed by column."""
-    groups = norm_groups(top_values(long_values(df, columns, key, order)))
+    groups = placed(norm_groups(top_values(long_values(df, columns, key, order))))
     return cluster_table(groups, fuzzy_clusters(groups, threshold, max_terms))
 
 
-def profile(df: DataFrame, order: str | None = None, key: str | None = None, terms: DataFrame | None = None, progress=None) -> Profile:
+def counted_clusters_of(df: DataFrame, columns: list[str], key: str, order: str, unique: bool, threshold: int = 88, max_terms: int = 500) -> DataFrame:
+    """The same without the ids: values are counted before anything else, so what goes on from there is a few hundred
+    rows a column. Only where rows share keys, their distinct keys are counted by cluster in one more pass."""
+    known = df.where(F.col(f"`{key}`").isNotNull())
+    counts = cut(top_counts(counts_by_column(known, columns, order)))
+    groups = cut(placed(counted_groups(counts)))
+    clusters = cut(fuzzy_clusters(groups, threshold, max_terms))
+    table = counted_cluster_table(groups, clusters)
+    if unique:
+        return table.drop("leader")
+    # At most some hundred values of each column are broadcast.
+    named = normalised(counts).join(clusters.select("coluna", "norm", "leader"), ["coluna", "norm"]).select("coluna", "raw", "leader")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("coluna"), F.col(f"`{c}`").cast("string").alias("raw")) for c in columns])).alias("c")
+    ids = known.select(F.col(f"`{key}`").alias("id"), cells).select("c.coluna", "c.raw", "id").join(F.broadcast(named), ["coluna", "raw"]).groupBy("coluna", "leader", "id").agg(F.lit(1).alias("one"))
+    return table.drop("frequencia").join(ids.groupBy("coluna", "leader").agg(F.count("*").alias("frequencia")), ["coluna", "leader"]).orderBy("coluna", F.desc("frequencia"), "leader").drop("leader")
+
+
+def profile(df: DataFrame, order: str | None = None, key: str | None = None, terms: DataFrame | None = None, progress=None, ids: bool = True) -> Profile:
     """Names and types route columns, with one row of counts; then dates, numbers and terms are one plan each.
 
     ``order`` names a column that orders the rows (the key by default). Without a key column, rows are numbered.
-    An empty column has no table. ``progress`` gets (done, total) after each kind of column.
+    An empty column has no table. ``progress`` gets (done, total) after each kind of column. Without ``ids`` the
+    tables of terms have none, and a key without repeats makes them cheap.
     """
-    stats = {r["coluna"]: r for r in column_stats(df).collect()}
+    stats = {r["coluna"]: r for r in column_stats(df, exact=False).collect()}
     key = key or next((c for c, r in stats.items() if r["is_id"]), None)
     if key is None:
         if order is None:
@@ -63,7 +82,8 @@ def profile(df: DataFrame, order: str | None = None, key: str | None = None, ter
         elif columns and kind == "number":
             out.numbers = numeric_stats(df, columns)
         elif columns:
-            out.tables = clusters_of(df, columns, key, order)
+            unique = key not in stats or stats[key]["n_distinct"] == stats[key]["n"] - stats[key]["n_nulls"]
+            out.tables = clusters_of(df, columns, key, order) if ids else counted_clusters_of(df, columns, key, order, unique)
         done += len(columns)
         if progress:
             progress(done, len(names))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions.similarity import indel_ratio
 from .functions.text import format_cep, normalize_generic, slugify, tokens
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
-from .operators.dictionary import column_types, dictionary
+from .operators.dictionary import VOCABULARY, column_types, dictionary
+from .plans.checkpoints import shared_dir
 from .plans.profile import clusters_of, long_report, profile
 from .sources import readers, sinks
 from .streaming.ingest import read_files, running_counts
@@ -47,8 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def place(spark: SparkSession) -> str:
     """A new folder where executors and driver can both write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="termloom-")
-    return f"{root}/termloom-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/termloom-{uuid.uuid4().hex[:12]}"
 
 
 def union(parts: list[str]) -> str:
@@ -159,7 +158,7 @@ def categorical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-NAMES = sorted({c for cs in COLUMNS.values() for c in cs.split()} | {"media", "Diâmetro", "update"})
+NAMES = sorted({c for cs in COLUMNS.values() for c in cs.split()} | {"media", "Diâmetro", "update", "Fornecedor", "Empresa", "Estoque", "Moeda", "Receita", "Salário", "discount", "bank", "hospital", "curso", "peso", "Latitude"})
 NAME_ROWS = ", ".join(f"('{c}')" for c in NAMES)
 
 
@@ -207,52 +206,10 @@ def norm_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("norm", F.array_join("originais", "; ").alias("originais"), F.size("ids").cast("long").alias("n_ids"))
 
 
-# Fixed values of the SQL alone: a part of the vocabulary. It lacks 'Dia', so the SQL leaves Diâmetro without the label
-# 'dia' that the whole vocabulary gives; the query and its SQL differ in that row.
-ORACLE_TERMS = {
-    "regional": ["Regional", "Local", "Típico"],
-    "urbano": ["Urbano", "Urban", "City"],
-    "laboratorio": ["Laboratório", "Laboratory", "Lab"],
-    "venda": ["Venda", "Sale", "Sales Transaction"],
-    "produto_comercial": ["Produto", "Product", "Item", "Merchandise"],
-    "basico": ["Básico", "Basic", "Standard"],
-    "cep": ["CEP", "Código Postal", "Postal Code", "ZIP Code", "Zip"],
-    "cidade": ["Cidade", "Município", "City", "Localidade", "Municipal"],
-    "estado": ["Estado", "UF", "Unidade Federativa", "State", "Província", "Federação"],
-    "pais": ["País", "Country", "Nação", "Nation", "Nacionalidade"],
-    "endereco": ["Endereço", "Address", "Logradouro", "Rua", "Street", "Avenida", "Av", "Endereços"],
-    "rua": ["Rua", "Street", "St", "R"],
-    "avenida": ["Avenida", "Avenue", "Ave", "Av"],
-    "alameda": ["Alameda", "Alameda", "Al"],
-    "bairro": ["Bairro", "Distrito", "Neighborhood", "District", "Zone", "Area"],
-    "numero": ["Número", "Number", "Nº", "No", "Num", "#"],
-    "categoria": ["Categoria", "Tipo", "Segmento", "Category", "Type", "Classification"],
-    "rede": ["Rede", "Network", "LAN", "WAN", "WiFi", "Ethernet"],
-    "cnpj": ["CNPJ", "CPF", "Tax ID", "Corporate ID", "Federal ID"],
-    "usuario": ["Usuário", "User", "Login", "Account", "Username"],
-    "ip": ["IP", "Endereço IP", "IP Address", "Network Address"],
-    "so": ["Sistema Operacional", "SO", "OS", "Operating System"],
-    "dominio": ["Domínio", "Domain", "URL", "Website", "Site"],
-    "doc": ["DOC", "Document Transfer", "Bank Document"],
-    "preco": ["Preço", "Price", "Cost", "Value", "Amount"],
-    "cliente": ["Cliente", "Customer", "Client", "Consumer"],
-    "marca": ["Marca", "Brand", "Trademark", "Label"],
-    "qualidade": ["Qualidade", "Quality", "Standard", "Excellence"],
-    "lote": ["Lote", "Batch", "Lot", "Production Batch"],
-    "data": ["Data", "Date", "Day", "Calendar Date"],
-    "ano": ["Ano", "Year", "Annual"],
-    "mes": ["Mês", "Month", "Monthly"],
-    "id": ["ID", "Identificação", "Código", "Code", "Identifier"],
-    "telefone": ["Telefone", "Phone", "Tel", "Phone Number"],
-    "email": ["Email", "E-mail", "Electronic Mail", "Email Address"],
-}
-
-
 def sql_terms() -> str:
-    quote = lambda s: s.replace("'", "''")
-    rows = ", ".join(f"({i}, '{t}', {j}, '{quote(s)}')" for i, (t, many) in enumerate(ORACLE_TERMS.items()) for j, s in enumerate(many))
+    """The vocabulary as SQL reads it: the data file itself, not what the query makes of it."""
     fold = lambda x: f"lower(replace(strip_accents({x}), 'º', 'o'))"
-    return f"""WITH d AS (SELECT prio, tipo, syn_prio, {fold('synonym')} AS syn FROM (VALUES {rows}) t(prio, tipo, syn_prio, synonym)),
+    return f"""WITH d AS (SELECT prio::int AS prio, tipo, syn_prio::int AS syn_prio, {fold('synonym')} AS syn FROM read_csv('{VOCABULARY}', header = true, all_varchar = true)),
 n AS (SELECT coluna, {fold('coluna')} AS name FROM (VALUES {NAME_ROWS}) t(coluna))
 SELECT n.coluna, arg_min(d.tipo, d.prio * 1000 + d.syn_prio) AS tipo FROM n LEFT JOIN d ON starts_with(n.name, d.syn) GROUP BY n.coluna"""
 
@@ -336,7 +293,7 @@ ORDERS_SQL = union(
 
 @query(ORDERS_SQL)
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_report(profile(table(spark, sf_dir, "orders")), spark)
+    return long_report(profile(table(spark, sf_dir, "orders"), ids=False), spark)
 
 
 @query("SELECT 'p_partkey' AS id_coluna, count(*) AS total_linhas, 6 AS total_colunas FROM part")
@@ -344,15 +301,34 @@ def report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([profile(table(spark, sf_dir, "part")).header()], "id_coluna string, total_linhas long, total_colunas int")
 
 
-@query()
+def sql_terms_profile(t: str, c: str, v: str, k: str) -> str:
+    """A column's clusters in a profile: its values, or the 100 commonest of more than 200, then the clusters of these."""
+    top = f"SELECT v FROM (SELECT v, row_number() OVER (ORDER BY count(*) DESC, min(id), v) AS rn, count(*) OVER () AS m FROM (SELECT {v} AS v, {k} AS id FROM {t}) WHERE v IS NOT NULL GROUP BY v) WHERE m <= 200 OR rn <= 100"
+    inner = sql_clusters(f"(SELECT {v} AS v0, {k} AS id0 FROM {t} WHERE {v} IN ({top}))", "v0", "id0")
+    return f"SELECT '{c}' AS coluna, 'terms' AS kind, item, value FROM (WITH RECURSIVE {inner}\nSELECT termo_base AS item, variantes || '|' || frequencia AS value FROM tab)"
+
+
+def sql_profile(t: str, k: str, dates: list[str], numbers: list[str], words: dict[str, str], types: dict[str, str]) -> str:
+    """A whole profile. A number with few distinct values is profiled by its terms, which ``words`` then has too."""
+    few = lambda c: f"(SELECT count(DISTINCT {c}) < least(30, count(*) // 5) FROM {t})"
+    span = [f"SELECT '{c}' AS coluna, 'date' AS kind, item, strftime(x, '%Y-%m-%d %H:%M:%S') AS value FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {t}), LATERAL (VALUES ('min', lo), ('max', hi)) t(item, x)" for c in dates]
+    stats = [f"SELECT '{c}' AS coluna, 'number' AS kind, item, printf('%.4f', round(x, 4)) AS value FROM (SELECT min({c})::double AS lo, max({c})::double AS hi, avg({c})::double AS m FROM {t}), LATERAL (VALUES ('min', lo), ('max', hi), ('media', m)) t(item, x) WHERE NOT {few(c)}" for c in numbers]
+    tipo = "CASE coluna " + " ".join(f"WHEN '{c}' THEN '{x}'" for c, x in types.items()) + " ELSE 'desconhecido' END"
+    return f"SELECT coluna, {tipo} AS tipo, kind, item, value FROM ({union([*span, *stats, *(sql_terms_profile(t, c, v, k) + (f" WHERE {few(c)}" if c in numbers else "") for c, v in words.items())])})"
+
+
+@query(sql_profile("events", "event_id", [], ["user_id", "value"], {"ts": "replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '.000000', '')", "event_type": "event_type", "props": "props", "user_id": "user_id::varchar"}, {"value": "preco", "user_id": "usuario"}))
 def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_report(profile(table(spark, sf_dir, "events")), spark)
+    return long_report(profile(table(spark, sf_dir, "events"), ids=False), spark)
+
+
+WORDS = {"l_suppkey": "l_suppkey::varchar", "l_linenumber": "l_linenumber::varchar", "l_discount": "l_discount::varchar", "l_tax": "l_tax::varchar", "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}
 
 
-@query()
+@query(sql_profile("lineitem", "(l_orderkey * 8 + l_linenumber)", ["l_shipdate"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], WORDS, {"l_shipdate": "desconhecido"}))
 def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").withColumn("_line", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    return long_report(profile(df, order="_line", key="_line"), spark)
+    return long_report(profile(df, order="_line", key="_line", ids=False), spark)
 
 
 # ---- terms

@@ -44,8 +44,14 @@ def shown_columns(names: list[str]) -> list[str]:
 
 def show(table: DataFrame) -> str:
     """The first rows of a table as text; the top-k is taken on the executors."""
-    first = table.orderBy(F.desc("frequencia"), table.columns[0]).limit(SHOWN).select(*shown_columns(table.columns))
-    return first.toPandas().to_string(index=False)
+    order = [F.desc("frequencia"), table.columns[0]] if "frequencia" in table.columns else [table.columns[0]]
+    shown = [c for c in shown_columns(table.columns) if c in table.columns]
+    return table.orderBy(*order).limit(SHOWN).select(*shown).toPandas().to_string(index=False)
+
+
+def show_stats(stats: dict) -> str:
+    """Statistics as lines, or that there are none."""
+    return "\n".join(["• Estatísticas:", *(f"   - {k:<8}: {v}" for k, v in stats.items())]) if stats else "Sem dados agrupados nem estatísticas."
 
 
 def push(report: dict, url: str, timeout: float = 5.0) -> int:

@@ -225,3 +225,46 @@ def test_query(spark, name):
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
     assert got == sorted(str(tuple(r[names.index(c)] for c in columns)) for r in answer.fetchall())
+
+
+def test_distinct_counts(spark):
+    """Estimates decide nothing: keys, categories and small counts come out as exact counting has them."""
+    df = spark.range(5000).selectExpr("id as a", "id % 29 as b", "id % 30 as c", "cast(nullif(id, 7) as string) as d", "id div 2 as e", "cast(null as int) as f", "id % 1000 as g")
+    whole = {r["coluna"]: r for r in predicates.column_stats(df).collect()}
+    quick = {r["coluna"]: r for r in predicates.column_stats(df, exact=False).collect()}
+    assert [whole[c]["n_distinct"] for c in "abcdefg"] == [5000, 29, 30, 4999, 2500, 0, 1000]
+    assert [(whole[c]["is_id"], whole[c]["is_categorical"]) for c in "abcdefg"] == [(quick[c]["is_id"], quick[c]["is_categorical"]) for c in "abcdefg"]
+    assert [c for c in "abcdefg" if quick[c]["is_id"]] == ["a", "d"] and [c for c in "abcdefg" if quick[c]["is_categorical"]] == ["b", "f"]
+
+
+def test_profile_without_ids(spark):
+    """Frequencies are the same with and without the ids, for keys with and without repeats, and equal first places stay apart."""
+    df = spark.range(600).selectExpr("id as k", "id div 3 as twice", "element_at(array('Apple Inc', 'apple inc.', 'Pear', null), cast(id % 4 + 1 as int)) as x", "id % 5 / 10 as y")
+    for key in ("k", "twice"):
+        a, b = (profile(df, order=key, key=key, ids=i).tables.where("coluna in ('x', 'y')") for i in (True, False))
+        assert a.columns[:4] == b.columns
+        assert [tuple(r)[:4] for r in a.collect()] == [tuple(r) for r in b.collect()]
+    assert [r["frequencia"] for r in b.where("coluna = 'x'").collect()] == [200, 150]
+
+
+def test_show_any_table(spark):
+    assert sinks.show(spark.createDataFrame([(1, "b"), (0, "a")], "n int, v string")).split() == ["n", "v", "0", "a", "1", "b"]
+    assert sinks.show(spark.createDataFrame([("x", "y", 2)], "termo_base string, variantes string, n int")).split() == ["termo_base", "variantes", "x", "y"]
+    assert "min" in sinks.show_stats({"min": 1}) and sinks.show_stats({}).startswith("Sem dados")
+
+
+def test_dates_follow_the_first_value(spark):
+    for values, want in ((["13/02/2020", "01/03/2020", "2020-01-05"], "2020-02-13 00:00:00"), (["02/13/2020", "01/03/2020"], "2020-01-03 00:00:00"), (["5 Jan 2020", "7 Feb 2019"], "2019-02-07 00:00:00"), (["no", "1.5.2020"], "2020-05-01 00:00:00")):
+        df = spark.createDataFrame(list(enumerate(values)), "i int, d string")
+        assert aggregates.date_stats(df, ["d"], "i").first()["min"] == want
+
+
+def test_terms_frequency(spark):
+    df = spark.createDataFrame([(1, "casa azul casa"), (2, "casas azul"), (3, None), (3, "verde")], "id int, t string")
+    vectors = {"casa": [1.0, 0.0], "casas": [0.95, 0.1], "azul": [0.0, 1.0], "verde": [0.7, 0.7]}
+    frequency, ids, bases = terms.terms_frequency(df, ["t"], "id", lambda words: [vectors[w] for w in words], 2)
+    assert [tuple(r) for r in frequency.collect()] == [("azul", 2, 2), ("casa", 2, 1), ("casas", 1, 1), ("verde", 1, 1)]
+    assert {r["termo"]: r["base"] for r in bases.collect()} == {"azul": "azul", "casa": "casa", "casas": "casa", "verde": "verde"}
+    assert {r["termo"]: r["ids"] for r in ids.collect()}["azul"] == [1, 2]
+    unique = df.where("t is not null")
+    assert [tuple(r) for r in terms.term_frequency(unique, ["t"], "id").collect()] == [tuple(r) for r in terms.term_frequency(unique, ["t"], "id", unique=False).collect()]
