@@ -94,8 +94,8 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, pa
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long).
 
     A document is its ids and then ``end``; a null or empty text is ``end`` alone. Whole sequences are cut off first
-    and stand alone; the rests are packed in groups dealt by a hash of doc_id. Rows with the same doc_id are packed
-    as documents of their own. An empty table gives no rows. Odd sequence ids are whole sequences, even ones mixed.
+    and stand alone; the rests are packed in groups dealt by a hash of doc_id and place, so equal rows part too. Rows
+    with the same doc_id are packed as documents of their own. An empty table gives no rows. Odd sequence ids are whole sequences, even ones mixed.
     """
     scratch = Scratch(documents.sparkSession, "op5")
 
@@ -115,7 +115,7 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, pa
     whole = pieces.where(F.col("length") == length).select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rests = pieces.where(F.col("length") < length)
     groups = max(1, -(-rests.count() // group))
-    rests = rests.withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length"), F.lit(groups)))
+    rests = rests.withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("ids_crc32", "ascending")])
