@@ -29,6 +29,8 @@ ANCHOR = 150
 #: Short documents whose suffixes one collection sorts, and places of an anchor that one task holds. Anchors with more
 #: places are hot: their contexts are counted first, and groups of contexts are split by what members must agree in.
 COLLECTION = 3000
+#: Parts that the range of a group of contexts is split into.
+SPLIT = 8
 #: Up to so many keys (8 or 16 bytes each) are broadcast; more meet the texts by shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -140,7 +142,7 @@ def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: in
     Equal contexts of a text and then of all texts become one row with a count before anything goes by anchor. Where
     a context has several places, all of it repeats. Others must share a string with another context of the anchor:
     i bytes of it to the left and width - 1 - i to the right. A group is an anchor and a range of i with the bytes
-    that every such string has; one that is too large is split into the halves of its range.
+    that every such string has; one that is too large is split into parts of its range.
     """
     width = length - k + 1
     hot = hot.groupBy("key").agg(F.collect_list(F.struct("h", "at", "more")).alias("marks"))
@@ -194,8 +196,9 @@ def hot_spans(hot: DataFrame, documents: DataFrame, scratch: Scratch, length: in
         decided = decided.union(fits).union(whole)
         if sizes.where(F.col("m") > COLLECTION).isEmpty():
             break
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        parts = F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))
+        span = F.col("hi") - F.col("lo") + 1
+        cut = lambda i: (F.col("lo") + F.floor(span * i / SPLIT)).cast("int")
+        parts = F.filter(F.array(*[F.struct(cut(i).alias("lo"), (cut(i + 1) - 1).alias("hi")) for i in range(SPLIT)]), lambda x: x["lo"] <= x["hi"])
         level = level.where((F.col("m") > COLLECTION) & (F.col("lo") < F.col("hi"))).withColumn("part", F.explode(parts)).select("h", "c", "n", "a", "b", "part.lo", "part.hi")
         level = level.where((left >= F.col("lo")) & (right >= width - 1 - F.col("hi")))
         level = scratch.save(level.select(F.xxhash64("h", "lo", F.expr("right(hex(a), 2 * lo)"), F.expr(f"left(hex(b), 2 * ({width - 1} - hi))")).alias("g"), "lo", "hi", "h", "c", "n", "a", "b"))
