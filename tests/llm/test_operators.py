@@ -555,6 +555,24 @@ def test_join_repeated_ids(spark):
     assert [r[2] for r in want] == [1] * 10
     assert by_id(join.jaccard_join(frame(spark, rows))) == want
     assert by_id(join.jaccard_join(frame(spark, rows[:4]))) == brute_join(rows[:4])
+    assert sql_rows("JACCARD", rows) == want
+
+
+def sql_rows(name, rows):
+    """What an oracle's SQL gives for these documents."""
+    import duckdb
+
+    from termloom.llm import oracles
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    return sorted(con.execute(getattr(oracles, name)).fetchall(), key=repr)
+
+
+def test_join_oracle(edge_rows, corpus):
+    for rows in (edge_rows, corpus[:60] + corpus[150:]):
+        assert sql_rows("JACCARD", rows) == brute_join(rows)
 
 
 def test_join_large_meeting_without_links(spark, monkeypatch):
