@@ -1,8 +1,9 @@
-"""LM scoring: Katz backoff bigrams. Good-Turing discounts, exactly normalised backoff weights, written count tables.
+"""LM scoring: Katz backoff n-grams. Good-Turing discounts, exactly normalised backoff weights, written count tables.
 
 Texts are read once into written chunks of token numbers. Counts live in buckets by hash: each chunk asks for its own
-distinct words, bigrams and histories once, and gets totals over all training texts back in the same order, so what
-moves is a key for each distinct entry of a chunk, not a row for each token.
+distinct words, n-grams and histories once, and gets totals over all training texts back in the same order, so what
+moves is a key for each distinct entry of a chunk, not a row for each token. Backoff weights of an order need the
+probabilities of the order below, so orders are normalised one after the other, each in a written table.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def tokens(documents: DataFrame, modulus: int, left_out: int) -> DataFrame:
 
 
 class Chunk:
-    """One chunk's tokens, their histories and its distinct pairs; answers are put back into this order."""
+    """One chunk's tokens and, for each order, its distinct n-grams; answers are put back into this order."""
 
     def __init__(self, row: dict):
         self.id = row["chunk"]
@@ -92,38 +93,52 @@ class Chunk:
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
         self.first = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(~self.held, self.lens)
-
-    def pairs(self) -> None:
-        """Histories number from 1 in the order of the vocabulary, the start of a text is 0."""
+        #: The n-gram that ends at each token; keys of n-grams; their histories and last words' lower n-grams; keys of histories.
+        self.gram, self.keys = {1: self.idx}, {1: self.vocab}
+        self.h: dict[int, np.ndarray] = {}
+        self.lower: dict[int, np.ndarray] = {}
+        self.heads: dict[int, np.ndarray] = {}
+
+    def grams(self, order: int) -> Chunk:
+        """A token's history is the n-gram below that ends just before it, from 1 in their order; at a text's start it is 0."""
         v = len(self.vocab)
-        history = np.empty_like(self.idx)
-        history[1:] = self.idx[:-1] + 1
-        history[self.first] = 0
-        both, self.pair = np.unique(history * v + self.idx, return_inverse=True)
-        self.h, self.w = np.divmod(both, v)
-        self.heads = np.concatenate(([START], self.vocab))
-        self.keys = mixed(self.heads[self.h] * np.uint64(STEP) + self.vocab[self.w])
+        for k in range(2, order + 1):
+            below = self.gram[k - 1]
+            history = np.empty_like(below)
+            history[1:] = below[:-1] + 1
+            history[self.first] = 0
+            both, at = np.unique(history * v + self.idx, return_inverse=True)
+            self.h[k], w = np.divmod(both, v)
+            self.lower[k] = np.empty(len(both), np.int64)
+            self.lower[k][at] = below
+            self.heads[k] = np.concatenate(([START], self.keys[k - 1]))
+            self.keys[k] = mixed(self.heads[k][self.h[k]] * np.uint64(STEP) + self.vocab[w])
+            self.gram[k] = at
+        return self
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
+def places(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs and where: time goes with the keys, however many buckets there are."""
+    order = np.argsort(bucket, kind="stable")
+    found, start = np.unique(bucket[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, start[1:]), strict=True)
+
+
 def asked(chunk: int, keys: np.ndarray, n: int, x: np.ndarray, y: np.ndarray | None = None) -> pa.RecordBatch:
     """A row for each bucket that a chunk asks: its keys there, in the chunk's order, and what it adds to them."""
     bucket = bucket_of(keys, n)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    rows = [(k, chunk, keys[o].tobytes(), squeeze(x[o]), squeeze(y[o]) if y is not None else b"") for k in range(n) if len(o := order[at[k] : at[k + 1]])]
+    rows = [(k, chunk, keys[o].tobytes(), squeeze(x[o]), squeeze(y[o]) if y is not None else b"") for k, o in places(bucket)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "x", "y"])
 
 
 def put_back(keys: np.ndarray, n: int, parts: dict[int, bytes], kind: str) -> np.ndarray:
-    bucket, out = bucket_of(keys, n), np.zeros(len(keys), kind)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    for k, raw in parts.items():
-        out[order[at[k] : at[k + 1]]] = unsqueeze(raw, kind)
+    out = np.zeros(len(keys), kind)
+    for k, o in places(bucket_of(keys, n)):
+        out[o] = unsqueeze(parts[k], kind)
     return out
 
 
@@ -163,12 +178,7 @@ def merged(kind: int, counts: bool) -> Callable[[tuple, pa.Table], pa.Table]:
 
 
 def counts_back(keys: np.ndarray, n: int, parts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    bucket = bucket_of(keys, n)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    out = np.zeros(len(keys), np.int64)
-    for k, raw in parts.items():
-        out[order[at[k] : at[k + 1]]] = unsqueeze(raw, "<u8")
+    out = put_back(keys, n, parts, "<u8").astype(np.int64)
     return out >> 1, (out & 1).astype(bool)
 
 
@@ -185,19 +195,19 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Totals and discounts, and what follows from them; N training tokens of V kinds."""
+    """Totals and each order's discounts, and what follows from them; N training tokens of V kinds."""
 
-    def __init__(self, n: int, v: int, texts: int, small: np.ndarray):
-        self.n, self.v, self.texts, self.d = n, v, texts, discounts(small)
+    def __init__(self, n: int, v: int, texts: int, small: dict[int, np.ndarray]):
+        self.n, self.v, self.texts, self.d = n, v, texts, {k: discounts(x) for k, x in small.items()}
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def discounted(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count <= GT_MAX, self.d[np.minimum(count, GT_MAX)], 1.0) * count
+    def discounted(self, k: int, count: np.ndarray) -> np.ndarray:
+        return np.where(count <= GT_MAX, self.d[k][np.minimum(count, GT_MAX)], 1.0) * count
 
     def room(self, histories: np.ndarray, taken: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(denominator, backoff weight) of each history: count, discounted mass taken, unigram mass of its followers.
+        """(denominator, backoff weight) of each history: count, discounted mass taken, lower mass of its followers.
 
         A history whose discounts leave nothing gets one more in its denominator, so that unseen words keep a share.
         """
@@ -207,20 +217,26 @@ class Model:
         return denominator, np.where(histories > 0, (1 - taken / denominator) / np.maximum(1 - seen, 1e-300), 1.0)
 
 
+#: Answers to a chunk are told apart by kind: counts of order k are k, backoff masses of order k are ROOM + k.
+ROOM = 1000
+
+
 def answers(table: pa.Table) -> tuple[Chunk, dict[int, dict[int, tuple[bytes, bytes]]]]:
-    got: dict[int, dict[int, tuple[bytes, bytes]]] = {1: {}, 2: {}, 3: {}}
+    got: dict[int, dict[int, tuple[bytes, bytes]]] = {}
     chunk = None
     for row in table.to_pylist():
         if row["kind"] == 0:
             chunk = Chunk(row)
         else:
-            got[row["kind"]][row["part"]] = row["x"], row["y"]
+            got.setdefault(row["kind"], {})[row["part"]] = row["x"], row["y"]
     return chunk, got
 
 
-def katz_scores(documents: DataFrame, modulus: int = 5, left_out: int = 1) -> DataFrame:
+def katz_scores(documents: DataFrame, modulus: int = 5, left_out: int = 1, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) for every whole text.
 
+    ``order`` is the longest n-gram's length, 1 or more: an n-gram that training has not seen is left for the one below,
+    recursively down to single words. Before a text's first token its history is as many start marks as the order asks.
     Learns from rows whose crc32(doc_id) modulo ``modulus`` is not ``left_out``. A null text is empty: its one token
     is the end. A null doc_id trains. Repeated ids are texts of their own. Without training rows every word is the
     unknown one. Words meet by 64-bit hashes. An empty table gives no rows.
@@ -229,66 +245,63 @@ def katz_scores(documents: DataFrame, modulus: int = 5, left_out: int = 1) -> Da
     corpus = scratch.save(tokens(documents, modulus, left_out), compression="zstd")
     sums = corpus.select(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"), F.size(F.filter("held", lambda x: ~x)).alias("d"), (F.length("vocab") / 8).alias("v")).agg(F.sum("t"), F.sum("d"), F.sum("v")).first()
     total, texts, kinds = (int(x or 0) for x in sums)
-    n_words, n_pairs = max(12, -(-kinds // BUCKET)), max(12, -(-total // BUCKET))
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield Chunk(row)
+    buckets = {k: max(12, -(-(kinds if k == 1 else total) // BUCKET)) for k in range(1, order + 1)}
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            yield asked(c.id, c.vocab, n_words, np.bincount(c.idx, c.train, len(c.vocab)).astype("<u4"))
+    def totals(k: int) -> DataFrame:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    c = Chunk(row).grams(k)
+                    yield asked(c.id, c.keys[k], buckets[k], np.bincount(c.gram[k], c.train, len(c.keys[k])).astype("<u4"))
 
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            c.pairs()
-            yield asked(c.id, c.keys, n_pairs, np.bincount(c.pair, c.train, len(c.keys)).astype("<u4"))
-
-    def totals(ask, kind: int) -> DataFrame:
-        out = corpus.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(merged(kind, True), ANSWER)
-        return scratch.save(out, compression="zstd")
+        return scratch.save(corpus.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(merged(k, True), ANSWER), compression="zstd")
 
     def stats(answer: DataFrame) -> np.ndarray:
         rows = [np.frombuffer(r["x"], "<i8") for r in answer.where("chunk = -1").select("x").toLocalIterator()]
         return np.sum(rows, axis=0) if rows else np.zeros(GT_MAX + 3, np.int64)
 
-    word_totals = totals(ask_words, 1)
-    pair_totals = totals(ask_pairs, 2)
+    counted = {k: totals(k) for k in buckets}
     scratch.release()
-    words, pairs = stats(word_totals), stats(pair_totals)
-    model = Model(int(words[-1]), int(words[-2]), texts, pairs[: GT_MAX + 1])
+    found = {k: stats(x) for k, x in counted.items()}
+    model = Model(int(found[1][-1]), int(found[1][-2]), texts, {k: found[k][: GT_MAX + 1] for k in range(2, order + 1)})
 
-    def with_counts(table: pa.Table):
+    def known(table: pa.Table, upto: int, ahead: bool):
+        """A chunk, the counts of its n-grams and their probabilities up to an order; ``ahead`` adds the next order's n-grams."""
         c, got = answers(table)
-        c.pairs()
-        count, _ = counts_back(c.vocab, n_words, {k: v[0] for k, v in got[1].items()})
-        pair, owner = counts_back(c.keys, n_pairs, {k: v[0] for k, v in got[2].items()})
-        return c, got, count, np.concatenate(([model.texts], count)), pair, owner
-
-    def ask_room(table: pa.Table) -> pa.Table:
-        c, _, count, _, pair, owner = with_counts(table)
-        own = owner & (pair > 0)
-        taken = np.bincount(c.h[own], model.discounted(pair[own]), len(c.heads))
-        seen = np.bincount(c.h[own], model.unigram(count[c.w[own]]), len(c.heads))
-        return pa.Table.from_batches([asked(c.id, c.heads, n_words, taken.astype("<f8"), seen.astype("<f8"))])
+        c.grams(upto + ahead)
+        count = {k: counts_back(c.keys[k], buckets[k], {b: v[0] for b, v in got[k].items()}) for k in c.keys}
+        p = {1: model.unigram(count[1][0])}
+        for k in range(2, upto + 1):
+            taken, seen = (put_back(c.heads[k], buckets[k - 1], {b: v[i] for b, v in got[ROOM + k].items()}, "<f8") for i in (0, 1))
+            denominator, backoff = model.room(np.concatenate(([model.texts], count[k - 1][0])), taken, seen)
+            here = count[k][0]
+            p[k] = np.where(here > 0, model.discounted(k, here) / denominator[c.h[k]], backoff[c.h[k]] * p[k - 1][c.lower[k]])
+        return c, count, p
+
+    def ask_room(k: int) -> Callable[[pa.Table], pa.Table]:
+        def ask(table: pa.Table) -> pa.Table:
+            c, count, p = known(table, k - 1, True)
+            here, owner = count[k]
+            own = owner & (here > 0)
+            taken = np.bincount(c.h[k][own], model.discounted(k, here[own]), len(c.heads[k]))
+            seen = np.bincount(c.h[k][own], p[k - 1][c.lower[k][own]], len(c.heads[k]))
+            return pa.Table.from_batches([asked(c.id, c.heads[k], buckets[k - 1], taken.astype("<f8"), seen.astype("<f8"))])
+
+        return ask
 
     def score(table: pa.Table) -> pa.Table:
-        c, got, count, histories, pair, _ = with_counts(table)
-        taken = put_back(c.heads, n_words, {k: v[0] for k, v in got[3].items()}, "<f8")
-        seen = put_back(c.heads, n_words, {k: v[1] for k, v in got[3].items()}, "<f8")
-        denominator, backoff = model.room(histories, taken, seen)
-        unigram = np.log10(model.unigram(count))
-        known = np.log10(np.maximum(model.discounted(pair), 1e-300) / denominator[c.h])
-        value = np.where(pair > 0, known, np.log10(backoff)[c.h] + unigram[c.w])
-        add = lambda x: np.add.reduceat(x, c.first)
+        c, count, p = known(table, order, False)
+        add = lambda k, x: np.add.reduceat(x[c.gram[k]], c.first)
         n = len(c.docs)
-        return pa.table({"doc_id": pa.array(c.docs, pa.int64()), "held_out": pa.array(c.held), "n_tokens": pa.array(c.lens), "n_known": pa.array(add((count > 0)[c.idx].astype(np.int64))), "train_tokens": pa.array([model.n] * n, pa.int64()), "base_score": pa.array(add(unigram[c.idx])), "score": pa.array(add(value[c.pair]))})
-
-    whole = functools.reduce(DataFrame.unionByName, [corpus.selectExpr("chunk", "0 as kind", "0 as part", "cast(null as binary) as x", "cast(null as binary) as y", "docs", "lens", "held", "idx", "vocab")] + [a.where("chunk >= 0").selectExpr("chunk", "kind", "part", "x", "y", "cast(null as array<long>) as docs", "cast(null as array<long>) as lens", "cast(null as array<boolean>) as held", "cast(null as binary) as idx", "cast(null as binary) as vocab") for a in (word_totals, pair_totals)])
-    room = whole.groupBy("chunk").applyInArrow(ask_room, ASK).groupBy("bucket").applyInArrow(merged(3, False), ANSWER)
-    room = scratch.save(room, compression="zstd")
-    scratch.release()
-    last = room.selectExpr("chunk", "kind", "part", "x", "y", "cast(null as array<long>) as docs", "cast(null as array<long>) as lens", "cast(null as array<boolean>) as held", "cast(null as binary) as idx", "cast(null as binary) as vocab")
+        return pa.table({"doc_id": pa.array(c.docs, pa.int64()), "held_out": pa.array(c.held), "n_tokens": pa.array(c.lens), "n_known": pa.array(add(1, (count[1][0] > 0).astype(np.int64))), "train_tokens": pa.array([model.n] * n, pa.int64()), "base_score": pa.array(add(1, np.log10(p[1]))), "score": pa.array(add(order, np.log10(np.maximum(p[order], 1e-300))))})
+
+    empty = ["cast(null as array<long>) as docs", "cast(null as array<long>) as lens", "cast(null as array<boolean>) as held", "cast(null as binary) as idx", "cast(null as binary) as vocab"]
+    whole = corpus.selectExpr("chunk", "0 as kind", "0 as part", "cast(null as binary) as x", "cast(null as binary) as y", "docs", "lens", "held", "idx", "vocab")
+    parts = {k: x.where("chunk >= 0").selectExpr("chunk", "kind", "part", "x", "y", *empty) for k, x in counted.items()}
+    for k in range(2, order + 1):
+        rows = functools.reduce(DataFrame.unionByName, [whole, *[x for j, x in parts.items() if j <= k or j > ROOM]])
+        room = rows.groupBy("chunk").applyInArrow(ask_room(k), ASK).groupBy("bucket").applyInArrow(merged(ROOM + k, False), ANSWER)
+        parts[ROOM + k] = scratch.save(room, compression="zstd").selectExpr("chunk", "kind", "part", "x", "y", *empty)
+        scratch.release()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.unionByName(last).groupBy("chunk").applyInArrow(score, schema)
+    return functools.reduce(DataFrame.unionByName, [whole, *parts.values()]).groupBy("chunk").applyInArrow(score, schema)

@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -159,44 +160,70 @@ def test_code_matrix(k):
 # ---- 3: Katz
 
 
-def brute_katz(rows):
+def brute_katz(rows, order=2):
+    """Plain loops: P of a word after a tuple of words, recursively over shorter tuples."""
     texts = [(d, [*split((t or "").translate(LOWER)), "</s>"], held(d, 5) == 1) for d, t, *_ in rows]
-    uni, bi = collections.Counter(), collections.Counter()
-    history = collections.Counter()
+    grams = {k: collections.Counter() for k in range(1, order + 1)}
+    padded = lambda w: ["<s>"] * (order - 1) + w
     for _, w, out in texts:
         if not out:
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w, strict=False))
-            history.update(["<s>", *w[:-1]])
+            for k, counts in grams.items():
+                counts.update(tuple(padded(w)[i - k + 1 : i + 1]) for i in range(order - 1, len(w) + order - 1))
+    uni = {g[0]: c for g, c in grams[1].items()}
     n, v = sum(uni.values()), len(uni)
-    small = np.array([sum(c == r for c in bi.values()) for r in range(1, 7)])
-    d = katz.discounts(small)
-    disc = lambda c: (d[c] if c <= katz.GT_MAX else 1.0) * c
-    p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+    d = {k: katz.discounts(np.array([sum(c == r for c in grams[k].values()) for r in range(1, 7)])) for k in grams if k > 1}
+    disc = lambda k, c: (d[k][c] if c <= katz.GT_MAX else 1.0) * c
     followers = collections.defaultdict(list)
-    for (h, w), c in bi.items():
-        followers[h].append((w, c))
+    for k in d:
+        for g, c in grams[k].items():
+            followers[g[:-1]].append((g[-1], c))
 
-    def prob(h, w):
-        if not history[h]:
-            return p(w)
-        taken, seen = sum(disc(c) for _, c in followers[h]), sum(p(x) for x, _ in followers[h])
-        den = history[h] + (taken >= history[h] * (1 - 1e-9))
-        return disc(bi[h, w]) / den if (h, w) in bi else (1 - taken / den) / (1 - seen) * p(w)
+    @functools.cache
+    def room(h):
+        k, whole = len(h) + 1, sum(c for _, c in followers[h])
+        taken, seen = sum(disc(k, c) for _, c in followers[h]), sum(prob(h[1:], x) for x, _ in followers[h])
+        den = whole + (taken >= whole * (1 - 1e-9))
+        return den, (1 - taken / den) / (1 - seen)
 
-    out = [(i, o, len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10(prob(h, x)) for h, x in zip(["<s>", *w], w, strict=False))) for i, w, o in texts]
+    def prob(h, w):
+        if not h:
+            return (uni.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+        if h not in followers:
+            return prob(h[1:], w)
+        den, backoff = room(h)
+        c = grams[len(h) + 1][(*h, w)]
+        return disc(len(h) + 1, c) / den if c else backoff * prob(h[1:], w)
+
+    def whole(w):
+        p = padded(w)
+        return sum(math.log10(prob(tuple(p[i - order + 1 : i]), p[i])) for i in range(order - 1, len(p)))
+
+    out = [(i, o, len(w), sum(x in uni for x in w), n, sum(math.log10(prob((), x)) for x in w), whole(w)) for i, w, o in texts]
     return out, prob, uni
 
 
-def test_katz(spark, corpus, edges, edge_rows, nothing, monkeypatch):
-    for df, rows in ((frame(spark, corpus), corpus), (edges, edge_rows)):
-        want, prob, uni = brute_katz(rows)
-        got = sorted(map(tuple, katz.katz_scores(df).collect()), key=lambda r: (repr(r[0]), r[2]))
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(spark, corpus, edges, edge_rows, nothing, order):
+    both = ((frame(spark, corpus), corpus), (edges, edge_rows))
+    for df, rows in both if order in (2, 3) else both[:1]:
+        want, prob, uni = brute_katz(rows, order)
+        got = sorted(map(tuple, katz.katz_scores(df, order=order).collect()), key=lambda r: (repr(r[0]), r[2]))
         for g, w in zip(got, sorted(want, key=lambda r: (repr(r[0]), r[2])), strict=True):
             assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
-        for h in ("<s>", next(iter(uni)), WORDS[3]):
+        seen = [*uni, WORDS[3]]
+        for h in (("<s>",) * (order - 1), tuple(seen[: order - 1]), tuple(split(rows[5][1])[: order - 1])):
             assert sum(prob(h, w) for w in [*uni, "\0unknown"]) == pytest.approx(1)
-    assert katz.katz_scores(nothing).count() == 0
+    assert katz.katz_scores(nothing, order=order).count() == 0
+
+
+def test_katz_in_many_chunks_and_buckets(spark, corpus, monkeypatch):
+    """What chunks and buckets hold must not show: a chunk a text, more buckets than keys."""
+    want = sorted(map(tuple, katz.katz_scores(frame(spark, corpus), order=3).collect()), key=repr)
+    monkeypatch.setattr(katz, "CHUNK", 60)
+    monkeypatch.setattr(katz, "BUCKET", 40)
+    got = sorted(map(tuple, katz.katz_scores(frame(spark, corpus).repartition(2), order=3).collect()), key=repr)
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
 # ---- 4: embeddings
