@@ -2,6 +2,7 @@ import collections
 import functools
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -530,6 +531,79 @@ def test_many_copies_of_a_page(spark):
     assert collections.Counter(r["text"] for r in pages.extract_text(df).collect()) == {"One\nx": 200, "Two\ny": 1}
 
 
+def odd_host(rng, n):
+    """Pages of one layout with repeated groups, optional parts, copies, equal texts in other markup and empty pages."""
+    fixed = [prose(rng, rng.randrange(2, 6)) for _ in range(5)]
+    tags = rng.sample(["div", "section", "ul", "td"], 2)
+    article = rng.random() < 0.4
+    made = []
+    for k in range(n):
+        if rng.random() < 0.08:
+            made.append("<div></div>" * rng.randrange(6))
+            continue
+        if made and rng.random() < 0.15:
+            other = rng.choice(made)
+            made.append(other if rng.random() < 0.5 else other.replace("h3", "h4"))
+            continue
+        cards = "".join(f"<div><h3>{prose(rng, 4)}</h3><p>{fixed[0]}</p></div>" for _ in range(rng.randrange(1, 4 if rng.random() < 0.9 else 9)))
+        body = "".join(f"<p>{prose(rng, rng.randrange(3, 15))}</p>" for _ in range(rng.randrange(1, 5)))
+        once = f"<{tags[0]}><h2>{fixed[1]}</h2></{tags[0]}>" * (1 if rng.random() < 0.93 else 2)
+        maybe = f"<p>{fixed[2]}</p>" if rng.random() < 0.97 else ""
+        inner = f"<p>{fixed[3]}</p>{body}"
+        made.append(f"<body><{tags[1]}>{fixed[4]}</{tags[1]}>{once}{maybe}{f'<article>{inner}</article>' if article else inner}{cards}<text>{fixed[1]}</text></body>")
+    return made
+
+
+def test_a_host_has_one_wrapper(spark, monkeypatch):
+    """Pages of a host in many groups get the text that all pages of the host, read at once, give."""
+    rng = random.Random(91)
+    hosts = [odd_host(rng, n) for n in (3, 9, 15, 30, 40, 60, 60)]
+    hosts += [[f"<body><p>{'same' if k else 'rare'} start</p><p>{prose(rng, 9)}</p></body>" for k in range(40)], ["<p>One</p>"] * 50 + ["<p>One</p><p>Two</p>"] * 30]
+    body = "".join(f"<p>the same paragraph {i}</p>" for i in range(4))
+    hosts.append([f"<body><main>{body}<p>seen {k}</p></main></body>" for k in range(25)])
+    want = {(h, k): t for h, made in enumerate(hosts) for k, t in enumerate(pages.extract(made))}
+    by_tags = {(h, k): t for h, made in enumerate(hosts) for k, t in enumerate(pages.extract(made, wrapped=False))}
+    assert sum(want[x] != by_tags[x] for x in want) > 50
+    rows = [(1000 * h + k, f"http://h{h}.example/{k}", x) for h, made in enumerate(hosts) for k, x in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (1, 8):
+        monkeypatch.setattr(pages, "GROUP", group)
+        got = pages.extract_text(df).collect()
+        assert len(got) == len(rows)
+        assert {(r["page_id"] // 1000, r["page_id"] % 1000): r["text"] for r in got} == want
+
+
+def test_tasks_pass_on_what_they_hold(monkeypatch):
+    """A task that holds one host or a few bytes at a time tells the same of its hosts in the end."""
+    import pyarrow as pa
+
+    rng = random.Random(92)
+    made = [(f"h{k % 3}", x) for k, x in enumerate(odd_host(rng, 60))]
+    batch = pa.RecordBatch.from_arrays([pa.array([h for h, _ in made]), pa.array([x for _, x in made])], ["_host", "html"])
+
+    def told():
+        out = {}
+        for part in pages.joined(pages.Seen)(pages.see([batch])):
+            for host, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                out.setdefault(host, pages.Seen()).join(pickle.loads(x))
+        return {host: x.result() for host, x in out.items()}
+
+    want = told()
+    assert len(want) == 3 and all(want.values())
+    for name in ("HELD", "HELD_BYTES"):
+        with monkeypatch.context() as patch:
+            patch.setattr(pages, name, 1)
+            assert told() == want
+
+
+def test_template_of_a_large_host(spark):
+    """What 64 pages have in common is no template where another page of the host lacks it, and a page is never alone."""
+    same = [(k, "http://a.example/", f"<body><div>Welcome</div><p>{k} is a text</p></body>") for k in range(150)]
+    other = [(k, "http://b.example/", f"<body><div>{'Welcome' if k else 'Hello'}</div><p>{k} is a text</p></body>") for k in range(150)]
+    got = {(r["url"], r["page_id"]): r["text"] for r in pages.extract_text(spark.createDataFrame(same + other, "page_id long, url string, html string")).collect()}
+    assert got == {(u, k): f"{k} is a text" if "a." in u else f"{'Welcome' if k else 'Hello'}\n{k} is a text" for k, u, _ in same + other}
+
+
 # ---- 8: Jaccard join
 
 
