@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
+from .centroids import centroid_clusters
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .html_extraction import extract_text
 from .jaccard_join import jaccard_join
 from .katz import katz_scores
 from .language import language_id
+from .merkle import folded, merkle_manifest, proof_hash, tampered
 from .mixing import mix
 from .packing import pack
 from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .sentencepieces import sentencepieces
 from .suffix_dedup import digest, suffix_dedup
 
 
@@ -60,9 +64,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op11_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sentencepieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle_manifest(table(spark, sf_dir, "documents"), {"tampered": tampered()})
+    root = folded(F.col("tampered"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": oracles.EMBEDDINGS, "op8_jaccard_join": oracles.JACCARD, "op10_suffix_dedup": oracles.REPEATS}
+    return {"op4_embedding_dedup": oracles.EMBEDDINGS, "op8_jaccard_join": oracles.JACCARD, "op10_suffix_dedup": oracles.REPEATS, "op12_centroids": oracles.CENTROIDS, "op13_merkle_manifest": oracles.MERKLE}
