@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from .common import Scratch
 MARK = "▁"
 #: A chunk is a run of markers and what follows up to the next one; every text begins with a marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Texts of about this many characters form a block with chunk numbers of its own.
+#: Texts of about this many bytes form a block with chunk numbers of its own; a longer text is one by itself.
 BLOCK = 1 << 23
+#: Answers that a task holds before it packs them.
+ASKED = 1 << 21
 #: Ids that are gathered at once.
 GATHER = 1 << 20
 _loaded: dict = {}
@@ -36,51 +39,90 @@ def processor(model: str):
     return _loaded[model]
 
 
-class Numbers(dict):
-    """Numbers given to keys in order of appearance."""
+def chunks(text: str) -> list[str]:
+    """The chunks of a text, each without its first marker."""
+    return [c[1:] for c in CHUNK.findall(MARK + text.replace(" ", MARK))] if text else []
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
 
+def cut_texts(texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+    """(order, chunks): texts in another order, and the chunks of each. Where no two markers meet, and none starts a
+    text, a chunk is what lies between two spaces."""
+    odd = pc.fill_null(pc.match_substring_regex(texts, f"^$|^ |  |{MARK}"), True)
+    rest, few = np.flatnonzero(~np.asarray(odd)), np.flatnonzero(np.asarray(odd))
+    plain = pc.split_pattern(texts.take(pa.array(rest)), " ")
+    slow = pa.array([chunks(t or "") for t in texts.take(pa.array(few)).to_pylist()], pa.list_(pa.string()))
+    return np.r_[rest, few], pa.concat_arrays([plain.cast(slow.type), slow])
 
-def chunks(text: str) -> list[str]:
-    """The chunks of a text, each without its first marker."""
-    if not text:
-        return []
-    marked = text.replace(" ", MARK)
-    if marked[0] != MARK and MARK + MARK not in marked:
-        return marked.split(MARK)
-    return [c[1:] for c in CHUNK.findall(MARK + marked)]
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of significance, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> a row for each block: its rows, their numbers of chunks, the chunks' numbers in order of the texts, the distinct chunks."""
-    rows, counts, places, numbers, size, at = [], [], [], Numbers(), 0, TaskContext.get().partitionId() << 33
+    """(row, text) -> a row for each block: its rows, their numbers of chunks, the chunks' numbers in order of the texts, the distinct chunks, commonest first."""
+    rows, size, at = [], 0, TaskContext.get().partitionId() << 33
 
     def block() -> pa.RecordBatch:
-        flat = np.concatenate([*places, np.zeros(0, np.uint32)])
-        flat = flat.astype("<u2" if len(numbers) <= 1 << 16 else "<u4")
-        packed = pa.compress(flat.tobytes(), "zstd", asbytes=True)
-        held = pa.StructArray.from_arrays([pa.concat_arrays(rows), pa.array(np.array(counts, np.int64))], ["doc_id", "n"])
-        lists = [pa.array([at]), pa.ListArray.from_arrays([0, len(held)], held), pa.array([packed], pa.binary()), pa.array([flat.itemsize], pa.int32()), pa.array([list(numbers)], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(lists, ["block", "held", "places", "width", "chunks"])
+        ids, texts = (pa.concat_arrays([r.column(i) for r in rows]) for i in (0, 1))
+        order, lists = cut_texts(texts)
+        coded = lists.flatten().dictionary_encode()
+        numbers = coded.indices.to_numpy()
+        common = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+        rank = np.empty(len(common), np.uint32)
+        rank[common] = np.arange(len(common))
+        held = pa.StructArray.from_arrays([ids.take(pa.array(order)), pa.array(np.diff(np.asarray(lists.offsets)).astype(np.int64))], ["doc_id", "n"])
+        words = coded.dictionary.take(pa.array(common))
+        one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
+        return pa.RecordBatch.from_arrays([pa.array([at]), one(held), pa.array([packed(rank[numbers])], pa.binary()), one(words)], ["block", "held", "places", "chunks"])
 
     for batch in batches:
-        for n, text in enumerate(batch.column(1)):
-            text = text.as_py() or ""
-            rows.append(batch.column(0).slice(n, 1))
-            found = chunks(text)
-            counts.append(len(found))
-            places.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
-            size += len(text)
-            if size >= BLOCK or len(rows) >= BLOCK >> 6:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        first = 0
+        while first < batch.num_rows:
+            last = first + max(1, int(np.searchsorted(np.cumsum(lengths[first:]), BLOCK - size, "right")))
+            rows.append(batch.slice(first, last - first))
+            size, first = size + int(lengths[first:last].sum()), last
+            if size >= BLOCK or first < batch.num_rows:
                 yield block()
-                rows, counts, places, numbers, size, at = [], [], [], Numbers(), 0, at + 1
+                rows, size, at = [], 0, at + 1
     if rows:
         yield block()
 
 
+class Parts:
+    """The answers of a task for each block, packed when they become many."""
+
+    def __init__(self):
+        self.held, self.n = {}, 0
+
+    def add(self, blocks: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(blocks, kind="stable")
+        starts = np.cumsum(lengths) - lengths
+        cuts = np.flatnonzero(np.r_[True, np.diff(blocks[order]) != 0, True]) if len(order) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[a:z]
+            values = ids[np.repeat(starts[at] - np.cumsum(lengths[at]) + lengths[at], lengths[at]) + np.arange(lengths[at].sum())]
+            self.held.setdefault(int(blocks[at[0]]), []).append((numbers[at], lengths[at], values))
+        self.n += len(order)
+
+    def flush(self) -> pa.RecordBatch:
+        rows = []
+        for block, parts in self.held.items():
+            numbers, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(numbers, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(ids))
+            rows.append((block, len(numbers), len(ids), packed(np.diff(numbers[order], prepend=0)), packed(lengths[order]), packed(gathered(lists, order)[1])))
+        self.held, self.n = {}, 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "n", "n_ids", "numbers", "lengths", "ids"])
+
+
 def gathered(lists: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, values) of the lists at these places, one after the other."""
     starts = np.asarray(lists.offsets).astype(np.int64)
@@ -90,6 +132,22 @@ def gathered(lists: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, np.nd
     return lengths, np.asarray(lists.values)[at]
 
 
+def surfaces(sp) -> list[bytes]:
+    """What each id decodes to: a byte, or the piece with spaces for markers."""
+    piece = lambda i: bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
+    return [piece(i) for i in range(sp.get_piece_size())]
+
+
+def bucketed(df: DataFrame, scratch: Scratch, column: str) -> DataFrame:
+    """``df`` written in buckets by ``column``, so that a join on it moves the other side only. The files stay, no name does."""
+    spark = df.sparkSession
+    name = f"pieces_{scratch.root.rpartition('-')[2]}"
+    df.write.option("path", f"{scratch.root}/{name}").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def sentencepieces(documents: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (array<int>), decoded: each text as the model encodes it, without begin and end, and these ids decoded.
 
@@ -97,49 +155,56 @@ def sentencepieces(documents: DataFrame, model: str) -> DataFrame:
     like any other. An empty table gives no rows. A text of any length is one row; without white space it is one
     chunk. Columns of other names are not read, whatever these are.
 
-    Blocks of texts give numbers to their distinct chunks and keep the texts as these numbers. Distinct chunks of all
-    blocks are segmented once; what a block needs goes back to it as one row for each of its distinct chunks.
+    Blocks of texts give numbers to their distinct chunks and keep the texts as these numbers. The chunks of all blocks
+    are brought together, each distinct one is segmented once, and what a block needs goes back to it, packed. The
+    blocks themselves are written in buckets and never shuffled.
     """
     scratch = Scratch(documents.sparkSession, "op11")
     processor(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, held array<struct<doc_id:{kind},n:long>>, places binary, width int, chunks array<string>"
-    blocks = scratch.save(documents.select("doc_id", "text").mapInArrow(numbered, schema))
+    schema = f"block long, held array<struct<doc_id:{kind},n:long>>, places binary, chunks array<string>"
+    blocks = bucketed(documents.select("doc_id", "text").mapInArrow(numbered, schema), scratch, "block")
     asked = blocks.select("block", F.posexplode("chunks").alias("number", "chunk"))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(model)
+        sp, parts, last, known = processor(model), Parts(), None, None
         for batch in batches:
-            texts = batch.column(0).to_pylist()  # the model puts the first marker back
-            ids = [sp.encode(t) if t else [sp.piece_to_id(MARK)] for t in texts]
-            decoded = [" " + sp.decode(i) for i in ids]  # decoding drops the first marker
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["chunk", "ids", "decoded"])
-
-    table = asked.select("chunk").distinct().mapInArrow(segment, "chunk string, ids array<int>, decoded string")
-    answers = asked.join(table, "chunk").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", "ids", "decoded"))).alias("a"))
-    answers = answers.select("block", F.col("a.ids").alias("ids"), F.col("a.decoded").alias("decoded"))
+            coded = batch.column(2).dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            fresh = texts[texts[:1] == [last] :]  # a chunk whose rows go on from the batch before is known
+            ids = ([known] if len(fresh) < len(texts) else []) + sp.encode(fresh)  # the model puts the first marker back
+            ids = [i or [sp.piece_to_id(MARK)] for i in ids]
+            last, known = (texts[-1], ids[-1]) if texts else (last, known)
+            lists = pa.array(ids, pa.list_(pa.int32()))
+            lengths, values = gathered(lists, coded.indices.to_numpy())
+            parts.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), lengths, values)
+            if parts.n >= ASKED:
+                yield parts.flush()
+        yield parts.flush()
+
+    answers = asked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(segment, "block long, n long, n_ids long, numbers binary, lengths binary, ids binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("n", "n_ids", "numbers", "lengths", "ids")).alias("parts"))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surface = surfaces(processor(model))
         for batch in batches:
-            for n in range(batch.num_rows):
-                row = batch.slice(n, 1)
-                held, lists = row.column("held").flatten(), row.column("ids").flatten()
-                decoded = np.array(row.column("decoded").flatten().to_pylist() if len(lists) else [], object)
-                width, size = row.column("width")[0].as_py(), held.field("n").to_numpy()
-                places = np.frombuffer(pa.decompress(row.column("places")[0].as_py(), int(size.sum()) * width, "zstd", asbytes=True), f"<u{width}")
-                ends = np.cumsum(size)
-                first = 0
+            for row in (batch.slice(n, 1) for n in range(batch.num_rows)):
+                held, parts = row.column("held").flatten(), row.column("parts")[0].as_py() or []
+                numbers = np.concatenate([np.cumsum(unpacked(p["numbers"], p["n"]), dtype=np.int64) for p in parts] or [np.zeros(0, np.int64)])
+                lengths = np.concatenate([unpacked(p["lengths"], p["n"]) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
+                values = np.concatenate([unpacked(p["ids"], p["n_ids"]) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
+                lists, order = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values)), np.argsort(numbers)
+                size = held.field("n").to_numpy()
+                places = unpacked(row.column("places")[0].as_py(), int(size.sum()))
+                ends, first = np.cumsum(size), 0
                 while first < len(size):
-                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + GATHER, "right")))
                     low = int(ends[first] - size[first])
-                    part = places[low : ends[last - 1]]
-                    if len(part):
-                        lengths, values = gathered(lists, part)
-                    else:
-                        lengths, values = np.zeros(0, np.int64), np.zeros(0, np.int32)
-                    tokens = np.r_[0, np.cumsum(lengths)][np.r_[0, ends[first:last] - low]]
-                    texts = ["".join(decoded[part[a - low : e - low]])[1:] for a, e in zip(ends[first:last] - size[first:last], ends[first:last], strict=True)]
-                    yield pa.RecordBatch.from_arrays([held.field("doc_id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(values, pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                    last = max(first + 1, int(np.searchsorted(ends, low + GATHER, "right")))
+                    lengths, values = gathered(lists, order[places[low : ends[last - 1]]])
+                    cuts = np.r_[0, np.cumsum(lengths)][np.r_[0, ends[first:last] - low]]
+                    every = values.tolist()
+                    texts = [b"".join([surface[i] for i in every[a:z]])[1:].decode() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]  # without the first marker
+                    yield pa.RecordBatch.from_arrays([held.field("doc_id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values)), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
                     first = last
 
     whole = blocks.drop("chunks").join(answers, "block", "left")

@@ -25,7 +25,7 @@ def model():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
 
-ODD = ["", " ", "   ", "a", " a", "a ", "  a  b   ", "▁", "a▁b ▁ c", "a　b\xa0c", "\n\n\t x\r\n", "<s> </s> <unk> <0x0A>", "é é ß", "﻿a￿", "😀 ‍ x", "\x00 a\x00b", "中文字 かな 한글", "0123 4567", "x" * 3000, "ab" * 5000 + " " + "▁" * 40, " " * 300 + "z", "\U0010ffff퟿"]
+ODD = ["", " ", "   ", "a", " a", "a ", "  a  b   ", "▁", "a▁b ▁ c", "a　b\xa0c", "\n\n\t x\r\n", "<s> </s> <unk> <0x0A>", "é é ß", "﻿a￿", "😀 ‍ x", "\x00 a\x00b", "中文字 かな 한글", "0123 4567", "x" * 3000, "ab" * 5000 + " " + "▁" * 40, "  ", "a  ▁ b", " " * 300 + "z", "\U0010ffff퟿"]
 
 
 def direct(texts):
@@ -55,13 +55,12 @@ def test_small_blocks(spark, corpus, monkeypatch):
     seen = []
     for b in blocks:
         held, words = b.column("held")[0].as_py(), b.column("chunks")[0].as_py()
-        width, n = b.column("width")[0].as_py(), sum(h["n"] for h in held)
-        places = np.frombuffer(pa.decompress(b.column("places")[0].as_py(), n * width, "zstd", asbytes=True), f"<u{width}")
+        places = sentencepieces.unpacked(b.column("places")[0].as_py(), sum(h["n"] for h in held))
         assert len(set(words)) == len(words)
         for h in held:
             seen.append((h["doc_id"], " ".join(words[p] for p in places[: h["n"]])))
             places = places[h["n"] :]
-    assert seen == rows
+    assert sorted(seen) == rows
 
 
 @settings(max_examples=200, deadline=None)
