@@ -12,10 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..plans.checkpoints import cut
-from .clustering import leaders_by_rounds, place
-
-#: Vectors of a side in one block of the pairwise comparison.
-BLOCK = 2048
+from .clustering import place
+from .vectors import class_links, leaders, vector_classes
 
 
 def term_rows(df: DataFrame, columns: list[str], key: str, custom: list[str] | None = None) -> DataFrame:
@@ -62,34 +60,14 @@ def term_ids(df: DataFrame, columns: list[str], key: str, custom: list[str] | No
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vectors (pos, v) -> (pos, earlier, cosine) of all pairs at the threshold or above, in double precision.
-
-    Exact: blocks of vectors meet each other once, as one matrix product; a task holds two blocks. Null and zero
-    vectors and vectors of another length pair with nothing.
-    """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    fine = vectors.where("v is not null and exists(v, x -> x <> 0)").select("pos", F.transform("v", lambda x: x.cast("double")).alias("v"), F.size("v").alias("d"))
-    dealt = fine.withColumn("mine", F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1))
-    dealt = dealt.select(F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "d", "pos", "v", side.alias("side"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        pos, side = table.column("pos").to_numpy(), table.column("side").to_numpy()
-        v = np.array(table.column("v").to_pylist())
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        a, b = (np.flatnonzero(side <= 0), np.flatnonzero((side == 1) | (side == -1)))
-        c = v[a] @ v[b].T
-        i, j = np.nonzero((c >= threshold) & ((side[a] == 0)[:, None] | (pos[a][:, None] > pos[b][None, :])))
-        p, q = pos[a[i]], pos[b[j]]
-        return pa.table({"pos": np.maximum(p, q), "earlier": np.minimum(p, q), "cosine": c[i, j]})
-
-    return dealt.groupBy("x", "y", "d").applyInArrow(compare, "pos long, earlier long, cosine double")
+    """vectors (pos, v) -> (pos, earlier, cosine) of all pairs of different vectors at the threshold or above, in double
+    precision. Equal vectors are one, at its first place: ``vectors.vector_classes`` tells which, ``link_counts`` how many."""
+    return class_links(vector_classes(vectors)[0], threshold)
 
 
 def embedding_clusters(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     """vectors (pos, v) -> (pos, leader): leader clustering in order of pos."""
-    return leaders_by_rounds(vectors, cosine_pairs(vectors, threshold))
+    return leaders(vectors, threshold)
 
 
 def embed(df: DataFrame, column: str, model, size: int) -> DataFrame:
