@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Texts of about this many bytes form a block with chunk numbers of its own; a longer text is one by itself.
 BLOCK = 1 << 23
-#: Answers that a task holds before it packs them.
-ASKED = 1 << 21
+#: Bytes of text for which there is one bucket of chunks: what a task holds of all blocks' chunks at once.
+SHARE = 1 << 24
 #: Ids that are gathered at once.
 GATHER = 1 << 20
 _loaded: dict = {}
@@ -64,22 +65,40 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> a row for each block: its rows, their numbers of chunks, the chunks' numbers in order of the texts, the distinct chunks, commonest first."""
+#: Chunks of a block that lie in one bucket: how many, their lengths in bytes, their bytes.
+ASKS = pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("lengths", pa.binary()), ("size", pa.int64()), ("words", pa.binary())]))
+
+
+def strings(words: pa.Array) -> dict:
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if words.buffers()[2] else b""
+    return {"lengths": packed(np.diff(offsets)), "size": len(data), "words": pa.compress(data, "zstd", asbytes=True)}
+
+
+def unpacked_strings(row: dict) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(unpacked(row["lengths"], row["n"]))].astype(np.int32)
+    return pa.StringArray.from_buffers(row["n"], pa.py_buffer(offsets), pa.decompress(row["words"], row["size"], "zstd"))
+
+
+def numbered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(row, text) -> a row for each block: its rows, their numbers of chunks, the chunks' numbers in order of the texts,
+    and the distinct chunks by bucket. A chunk's number is its place in order of bucket and text."""
     rows, size, at = [], 0, TaskContext.get().partitionId() << 33
 
     def block() -> pa.RecordBatch:
         ids, texts = (pa.concat_arrays([r.column(i) for r in rows]) for i in (0, 1))
         order, lists = cut_texts(texts)
         coded = lists.flatten().dictionary_encode()
-        numbers = coded.indices.to_numpy()
-        common = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
-        rank = np.empty(len(common), np.uint32)
-        rank[common] = np.arange(len(common))
+        bucket = np.array([crc32(c.encode()) % buckets for c in coded.dictionary.to_pylist()], np.int32)
+        by = pc.sort_indices(pa.table({"b": bucket, "c": coded.dictionary}), [("b", "ascending"), ("c", "ascending")]).to_numpy()
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by))
         held = pa.StructArray.from_arrays([ids.take(pa.array(order)), pa.array(np.diff(np.asarray(lists.offsets)).astype(np.int64))], ["doc_id", "n"])
-        words = coded.dictionary.take(pa.array(common))
-        one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
-        return pa.RecordBatch.from_arrays([pa.array([at]), one(held), pa.array([packed(rank[numbers])], pa.binary()), one(words)], ["block", "held", "places", "chunks"])
+        words, bucket = coded.dictionary.take(pa.array(by)), bucket[by]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
+        asks = [{"bucket": int(bucket[a]), "n": int(z - a), **strings(words.slice(a, z - a))} for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        one = pa.ListArray.from_arrays([0, len(held)], held)
+        return pa.RecordBatch.from_arrays([pa.array([at]), one, pa.array([packed(rank[coded.indices.to_numpy()])], pa.binary()), pa.array([asks], ASKS)], ["block", "held", "places", "asks"])
 
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
@@ -95,32 +114,20 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-class Parts:
-    """The answers of a task for each block, packed when they become many."""
-
-    def __init__(self):
-        self.held, self.n = {}, 0
-
-    def add(self, blocks: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(blocks, kind="stable")
-        starts = np.cumsum(lengths) - lengths
-        cuts = np.flatnonzero(np.r_[True, np.diff(blocks[order]) != 0, True]) if len(order) else [0]
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            at = order[a:z]
-            values = ids[np.repeat(starts[at] - np.cumsum(lengths[at]) + lengths[at], lengths[at]) + np.arange(lengths[at].sum())]
-            self.held.setdefault(int(blocks[at[0]]), []).append((numbers[at], lengths[at], values))
-        self.n += len(order)
-
-    def flush(self) -> pa.RecordBatch:
-        rows = []
-        for block, parts in self.held.items():
-            numbers, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(numbers, kind="stable")
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(ids))
-            rows.append((block, len(numbers), len(ids), packed(np.diff(numbers[order], prepend=0)), packed(lengths[order]), packed(gathered(lists, order)[1])))
-        self.held, self.n = {}, 0
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "n", "n_ids", "numbers", "lengths", "ids"])
+def answer(sp, asks: list[dict]) -> pa.RecordBatch:
+    """What all blocks ask of one bucket -> for each block the ids of its chunks, in their order. Equal chunks are segmented once."""
+    coded = pa.concat_arrays([unpacked_strings(r) for r in asks]).dictionary_encode()
+    lists = []
+    for at in range(0, len(coded.dictionary), 1 << 16):
+        ids = sp.encode(coded.dictionary.slice(at, 1 << 16).to_pylist())  # the model puts the first marker back
+        lists.append(pa.array([i or [sp.piece_to_id(MARK)] for i in ids], pa.list_(pa.int32())))
+    table, numbers, rows, at = pa.concat_arrays(lists), coded.indices.to_numpy(), [], 0
+    for r in asks:
+        lengths, ids = gathered(table, numbers[at : at + r["n"]])
+        rows.append((r["block"], r["bucket"], r["n"], len(ids), packed(lengths), packed(ids)))
+        at += r["n"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "n", "n_ids", "lengths", "ids"])
 
 
 def gathered(lists: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,57 +162,53 @@ def sentencepieces(documents: DataFrame, model: str) -> DataFrame:
     like any other. An empty table gives no rows. A text of any length is one row; without white space it is one
     chunk. Columns of other names are not read, whatever these are.
 
-    Blocks of texts give numbers to their distinct chunks and keep the texts as these numbers. The chunks of all blocks
-    are brought together, each distinct one is segmented once, and what a block needs goes back to it, packed. The
-    blocks themselves are written in buckets and never shuffled.
+    Blocks of texts give numbers to their distinct chunks and keep the texts as these numbers. The distinct chunks of
+    all blocks meet in buckets, as many as the texts are long; there each is segmented once, and what a block asked for
+    goes back to it. The blocks themselves are written in buckets of a join and never shuffled.
     """
     scratch = Scratch(documents.sparkSession, "op11")
     processor(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, held array<struct<doc_id:{kind},n:long>>, places binary, chunks array<string>"
-    blocks = bucketed(documents.select("doc_id", "text").mapInArrow(numbered, schema), scratch, "block")
-    asked = blocks.select("block", F.posexplode("chunks").alias("number", "chunk"))
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = -(-total // SHARE) or 1
+    schema = f"block long, held array<struct<doc_id:{kind},n:long>>, places binary, asks array<struct<bucket:int,n:long,lengths:binary,size:long,words:binary>>"
+    blocks = bucketed(documents.select("doc_id", "text").mapInArrow(lambda batches: numbered(batches, buckets), schema), scratch, "block")
+    asked = blocks.select("block", F.explode("asks").alias("a")).select("block", "a.*")
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, parts, last, known = processor(model), Parts(), None, None
+        sp, held = processor(model), []
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
-            texts = coded.dictionary.to_pylist()
-            fresh = texts[texts[:1] == [last] :]  # a chunk whose rows go on from the batch before is known
-            ids = ([known] if len(fresh) < len(texts) else []) + sp.encode(fresh)  # the model puts the first marker back
-            ids = [i or [sp.piece_to_id(MARK)] for i in ids]
-            last, known = (texts[-1], ids[-1]) if texts else (last, known)
-            lists = pa.array(ids, pa.list_(pa.int32()))
-            lengths, values = gathered(lists, coded.indices.to_numpy())
-            parts.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), lengths, values)
-            if parts.n >= ASKED:
-                yield parts.flush()
-        yield parts.flush()
-
-    answers = asked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(segment, "block long, n long, n_ids long, numbers binary, lengths binary, ids binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("n", "n_ids", "numbers", "lengths", "ids")).alias("parts"))
+            for row in batch.to_pylist():
+                if held and held[-1]["bucket"] != row["bucket"]:
+                    yield answer(sp, held)
+                    held = []
+                held.append(row)
+        if held:
+            yield answer(sp, held)
+
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(segment, "block long, bucket int, n long, n_ids long, lengths binary, ids binary")
+    answers = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "n_ids", "lengths", "ids"))).alias("parts"))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surface = surfaces(processor(model))
         for batch in batches:
             for row in (batch.slice(n, 1) for n in range(batch.num_rows)):
                 held, parts = row.column("held").flatten(), row.column("parts")[0].as_py() or []
-                numbers = np.concatenate([np.cumsum(unpacked(p["numbers"], p["n"]), dtype=np.int64) for p in parts] or [np.zeros(0, np.int64)])
                 lengths = np.concatenate([unpacked(p["lengths"], p["n"]) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
                 values = np.concatenate([unpacked(p["ids"], p["n_ids"]) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
-                lists, order = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values)), np.argsort(numbers)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values))
                 size = held.field("n").to_numpy()
                 places = unpacked(row.column("places")[0].as_py(), int(size.sum()))
                 ends, first = np.cumsum(size), 0
                 while first < len(size):
                     low = int(ends[first] - size[first])
                     last = max(first + 1, int(np.searchsorted(ends, low + GATHER, "right")))
-                    lengths, values = gathered(lists, order[places[low : ends[last - 1]]])
+                    lengths, values = gathered(lists, places[low : ends[last - 1]])
                     cuts = np.r_[0, np.cumsum(lengths)][np.r_[0, ends[first:last] - low]]
                     every = values.tolist()
                     texts = [b"".join([surface[i] for i in every[a:z]])[1:].decode() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]  # without the first marker
                     yield pa.RecordBatch.from_arrays([held.field("doc_id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values)), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
                     first = last
 
-    whole = blocks.drop("chunks").join(answers, "block", "left")
+    whole = blocks.drop("asks").join(answers, "block", "left")
     return whole.mapInArrow(assembled, f"doc_id {kind}, ids array<int>, decoded string")

@@ -42,6 +42,12 @@ def test_pieces_equal_the_library(spark, edges, edge_rows, corpus, nothing):
     assert sentencepieces.sentencepieces(nothing, model()).count() == 0
 
 
+def test_many_buckets(spark, corpus, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "SHARE", 700)
+    got = by_id(sentencepieces.sentencepieces(frame(spark, corpus), model()))
+    assert got == sorted(((r[0], *x) for r, x in zip(corpus, direct([r[1] for r in corpus]), strict=True)), key=repr)
+
+
 def test_small_blocks(spark, corpus, monkeypatch):
     """Blocks of a few texts, gathered a few ids at a time, in this process."""
     import pyarrow as pa
@@ -50,13 +56,14 @@ def test_small_blocks(spark, corpus, monkeypatch):
     monkeypatch.setattr(sentencepieces.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
     rows = [(r[0], r[1]) for r in corpus]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
-    blocks = list(sentencepieces.numbered(iter([batch.slice(0, 70), batch.slice(70)])))
+    blocks = list(sentencepieces.numbered(iter([batch.slice(0, 70), batch.slice(70)]), 3))
     assert len(blocks) > 20 and len({b.column("block")[0].as_py() for b in blocks}) == len(blocks)
     seen = []
     for b in blocks:
-        held, words = b.column("held")[0].as_py(), b.column("chunks")[0].as_py()
+        held, asks = b.column("held")[0].as_py(), b.column("asks")[0].as_py()
+        words = [w for a in asks for w in sentencepieces.unpacked_strings(a).to_pylist()]
         places = sentencepieces.unpacked(b.column("places")[0].as_py(), sum(h["n"] for h in held))
-        assert len(set(words)) == len(words)
+        assert len(set(words)) == len(words) and [a["bucket"] for a in asks] == sorted({a["bucket"] for a in asks})
         for h in held:
             seen.append((h["doc_id"], " ".join(words[p] for p in places[: h["n"]])))
             places = places[h["n"] :]
