@@ -55,9 +55,13 @@ def cut_texts(texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     return np.r_[rest, few], pa.concat_arrays([plain.cast(slow.type), slow])
 
 
+def squeezed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, byte by byte of significance, compressed."""
-    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    return squeezed(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
@@ -72,7 +76,7 @@ ASKS = pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("lengths"
 def strings(words: pa.Array) -> dict:
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
     data = words.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if words.buffers()[2] else b""
-    return {"lengths": packed(np.diff(offsets)), "size": len(data), "words": pa.compress(data, "zstd", asbytes=True)}
+    return {"lengths": packed(np.diff(offsets)), "size": len(data), "words": squeezed(data)}
 
 
 def unpacked_strings(row: dict) -> pa.Array:
@@ -124,12 +128,16 @@ def answer(sp, asks: list[dict]) -> pa.RecordBatch:
     table, numbers, rows, at = pa.concat_arrays(lists), coded.indices.to_numpy(), [], 0
     for r in asks:
         lengths, ids = gathered(table, numbers[at : at + r["n"]])
-        rows.append((r["block"], r["bucket"], r["n"], len(ids), packed(lengths), packed(ids)))
+        rows.append((r["block"], r["bucket"], r["n"], len(ids), packed(lengths), squeezed(ids.astype(width_of(sp)).tobytes())))
         at += r["n"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "bucket", "n", "n_ids", "lengths", "ids"])
 
 
+def width_of(sp) -> str:
+    return "<u2" if sp.get_piece_size() <= 1 << 16 else "<u4"
+
+
 def gathered(lists: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, values) of the lists at these places, one after the other."""
     starts = np.asarray(lists.offsets).astype(np.int64)
@@ -190,12 +198,13 @@ def sentencepieces(documents: DataFrame, model: str) -> DataFrame:
     answers = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "n_ids", "lengths", "ids"))).alias("parts"))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = surfaces(processor(model))
+        sp = processor(model)
+        surface, width = surfaces(sp), np.dtype(width_of(sp))
         for batch in batches:
             for row in (batch.slice(n, 1) for n in range(batch.num_rows)):
                 held, parts = row.column("held").flatten(), row.column("parts")[0].as_py() or []
                 lengths = np.concatenate([unpacked(p["lengths"], p["n"]) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
-                values = np.concatenate([unpacked(p["ids"], p["n_ids"]) for p in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
+                values = np.concatenate([np.frombuffer(pa.decompress(p["ids"], p["n_ids"] * width.itemsize, "zstd"), width) for p in parts] or [np.zeros(0, width)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values))
                 size = held.field("n").to_numpy()
                 places = unpacked(row.column("places")[0].as_py(), int(size.sum()))
