@@ -2,6 +2,7 @@
 
 A term is a leader exactly if no earlier leader is like it. For the bounded fuzzy case a fold over neighbour lists
 decides; for any number of terms rounds do: a term whose earlier neighbours are all decided decides itself.
+``fuzzy`` and ``vectors`` find the neighbours of any number of terms.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_at_least
 from ..plans.checkpoints import cut
+from .fuzzy import fuzzy_leaders
 
 
-def fuzzy_clusters(terms: DataFrame, threshold: int = 88, max_terms: int = 500) -> DataFrame:
+def fuzzy_clusters(terms: DataFrame, threshold: int = 88, max_terms: int | None = 500) -> DataFrame:
     """terms (coluna, norm, pos) -> the same and leader, the place of its cluster's leader.
 
     Columns with more than ``max_terms`` terms are not clustered: each leads itself. So the lists that the fold
-    handles are bounded.
+    handles are bounded. With None all columns are, whatever their number of terms.
     """
+    if max_terms is None:
+        return fuzzy_leaders(terms, threshold)
     counts = terms.groupBy("coluna").agg(F.count("*").alias("_n"))
     small = terms.join(counts.where(F.col("_n") <= max_terms).select("coluna"), "coluna", "left_semi").select("coluna", "norm", "pos")
     a, b = small.select("coluna", F.col("pos").alias("pos"), F.col("norm").alias("a")), small.select("coluna", F.col("pos").alias("p2"), F.col("norm").alias("b"))

@@ -222,7 +222,11 @@ def column_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- fuzzy clustering
 
-SQL_LCS = """list_last(list_reduce(string_split(a.n, ''), lambda prev, ch: list_reduce(range(1, length(b.n) + 1), lambda acc, j: list_append(acc, CASE WHEN ch = substr(b.n, j::int, 1) THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0::bigint]), list_transform(range(length(b.n) + 1), lambda x: 0::bigint)))"""
+def sql_lcs(a: str, b: str) -> str:
+    return f"""list_last(list_reduce(string_split({a}, ''), lambda prev, ch: list_reduce(range(1, length({b}) + 1), lambda acc, j: list_append(acc, CASE WHEN ch = substr({b}, j::int, 1) THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0::bigint]), list_transform(range(length({b}) + 1), lambda x: 0::bigint)))"""
+
+
+SQL_LCS = sql_lcs("a.n", "b.n")
 
 
 def sql_clusters(t: str, v: str, k: str) -> str:
@@ -276,6 +280,24 @@ def fuzzy_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.fuzzy_clusters(groups, max_terms=50).select("norm", (F.col("leader") == F.col("pos")).alias("leads"))
 
 
+def sql_all_clusters(t: str, v: str, k: str) -> str:
+    """Leader clustering of all of a column's terms, one after the other: each is held against the leaders so far."""
+    fits = f"100 * levenshtein(l.n, x.n) <= 12 * (length(l.n) + length(x.n)) AND 200 * {sql_lcs('l.n', 'x.n')} >= 88 * (length(l.n) + length(x.n))"
+    return f"""SELECT * FROM (WITH RECURSIVE x AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY min(id), n) - 1 AS pos FROM (SELECT {sql_norm(v)} AS n, {k} AS id FROM {t} WHERE {v} IS NOT NULL) GROUP BY n),
+rec(pos, leader, ld) AS (SELECT -1::bigint, -1::bigint, []::STRUCT(pos bigint, n varchar)[] UNION ALL
+  SELECT pos, coalesce(hit, pos), CASE WHEN hit IS NULL THEN list_append(ld, {{'pos': pos, 'n': n}}) ELSE ld END FROM (SELECT x.pos, x.n, ld, list_min(list_transform(list_filter(ld, lambda l: {fits}), lambda l: l.pos)) AS hit FROM rec JOIN x ON x.pos = rec.pos + 1))
+SELECT '{v}' AS coluna, x.n AS norm, h.n AS leader_norm FROM rec JOIN x USING (pos) JOIN x h ON h.pos = rec.leader)"""
+
+
+@query(union([sql_all_clusters("customer", "c_name", "c_custkey"), sql_all_clusters("part", "p_name", "p_partkey")]))
+def fuzzy_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of two columns, without the cut to the commonest values and without a limit on their number."""
+    parts = [aggregates.normalised(aggregates.long_values(table(spark, sf_dir, t), [c], k, k)) for t, c, k in (("customer", "c_name", "c_custkey"), ("part", "p_name", "p_partkey"))]
+    found = clustering.fuzzy_clusters(parts[0].union(parts[1]).groupBy("coluna", "norm").agg(F.min("_pos").alias("pos")), max_terms=None)
+    leaders = found.where("pos = leader").select("coluna", "leader", F.col("norm").alias("leader_norm"))
+    return found.join(leaders, ["coluna", "leader"]).select("coluna", "norm", "leader_norm")
+
+
 @query(f"WITH m AS (SELECT n_nationkey AS k, {sql_norm('n_name')} AS n FROM nation) SELECT a.k AS a_key, b.k AS b_key, round(200.0 * {SQL_LCS} / (length(a.n) + length(b.n)), 6) AS ratio FROM m a JOIN m b ON a.k < b.k")
 def indel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.lit("n_name").alias("coluna"), "n_nationkey", normalize_generic(F.col("n_name")).alias("n"))
