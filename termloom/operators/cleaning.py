@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_cell, format_cep, is_cep, py_str
+from ..plans.checkpoints import cut
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -49,9 +50,10 @@ def number_rows(df: DataFrame, order: list[str], name: str = "_id") -> DataFrame
     """Texts "1" to "n" in the order given.
 
     Each partition of the sorted rows is numbered by itself and shifted by the rows before it, so no task holds all;
-    the driver gets one count for each partition.
+    the driver gets one count for each partition. The sorted rows are written first: counts and numbers are of the
+    same partitions, however the sort is run.
     """
-    placed = df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    placed = cut(df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
     counts = {r["_part"]: (r["n"], r["first"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_mono").alias("first")).collect()}
     before, shifts = 0, {}
     for part in sorted(counts):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, unaccent
 
+# The whole vocabulary, in the order that decides.
 VOCABULARY = resources.files(__package__) / "domain_terms.csv"
 
 
@@ -39,10 +40,15 @@ def folded(terms: DataFrame) -> DataFrame:
 
 
 def column_types(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """names (coluna) -> (coluna, tipo), null where no synonym is a prefix. As many names as a table has columns."""
+    """names (coluna) -> (coluna, tipo), null where no synonym is a prefix. Names may be as many as rows hold.
+
+    Every prefix of a name, up to the longest synonym, is looked up as it is; of those found the first entry counts.
+    """
+    known = terms.groupBy("syn").agg(F.min(F.struct("prio", "syn_prio", "tipo")).alias("entry"))
+    longest = terms.agg(F.max(F.length("syn"))).first()[0] or 0
     keyed = names.select("coluna").distinct().withColumn("_n", strip(F.lower(unaccent(F.col("coluna")))))
-    hits = keyed.join(F.broadcast(terms), F.col("_n").startswith(F.col("syn")))
-    first = hits.groupBy("coluna").agg(F.min_by("tipo", F.struct("prio", "syn_prio")).alias("tipo"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.length("_n"), F.lit(longest))), lambda i: F.substring("_n", F.lit(1), i))
+    first = keyed.select("coluna", F.explode(prefixes).alias("syn")).join(known, "syn").groupBy("coluna").agg(F.min("entry")["tipo"].alias("tipo"))
     return keyed.join(first, "coluna", "left").select("coluna", "tipo")
 
 

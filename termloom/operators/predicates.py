@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import ISO
-from ..functions.text import py_str
+from ..functions.text import py_str, unaccent
 
 # Names that make a column the key, and parts of names that make it a date.
 ID_NAMES = ["id", "codigo", "identificacao", "code"]
@@ -25,6 +27,12 @@ def is_date_name(name: str) -> bool:
     return any(w in bare for w in DATE_WORDS)
 
 
+def date_name(name: Column) -> Column:
+    """The same of names held in rows."""
+    bare = F.lower(unaccent(name))
+    return reduce(lambda a, b: a | b, [bare.contains(w) for w in DATE_WORDS])
+
+
 #: Distinct values, by the estimate, up to which a column's are gathered and counted exactly in the same scan.
 FEW = 400
 #: Twenty times the estimate's standard error: what it leaves open beyond that, no table will show.

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..plans.checkpoints import cut
-from .clustering import place
+from .cleaning import number_rows
 from .vectors import class_links, leaders, vector_classes
 
 
@@ -48,9 +48,9 @@ def terms_frequency(df: DataFrame, columns: list[str], key: str, model, size: in
     ``model`` maps a list of terms to vectors; a term's place is its rank, so the commonest terms lead.
     """
     frequency = cut(term_frequency(df, columns, key, custom))
-    ranked = cut(place(frequency, [F.desc("frequencia"), F.asc("termo")]).select("pos", "termo"))
-    leaders = embedding_clusters(embed(ranked, "termo", model, size).select("pos", "v"), threshold)
-    named = leaders.join(ranked, "pos").join(ranked.select(F.col("pos").alias("leader"), F.col("termo").alias("base")), "leader")
+    ranked = cut(number_rows(frequency, [F.desc("frequencia"), F.asc("termo")], "pos").select((F.col("pos").cast("long") - 1).alias("pos"), "termo"))
+    found = embedding_clusters(embed(ranked, "termo", model, size).select("pos", "v"), threshold)
+    named = found.join(ranked, "pos").join(ranked.select(F.col("pos").alias("leader"), F.col("termo").alias("base")), "leader")
     return frequency, term_ids(df, columns, key, custom), named.select("termo", "base")
 
 

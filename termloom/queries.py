@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,10 @@ def sql_norm(x: str) -> str:
     return f"regexp_replace({sql_clean(x)}, '[^\\w\\s-]', '', 'g')"
 
 
+def sql_fold(x: str) -> str:
+    return f"trim(lower(replace(replace(strip_accents({x}), 'º', 'o'), 'ß', 'ss')))"
+
+
 def sql_tokens(x: str, custom: tuple[str, ...] = ()) -> str:
     from .functions.text import STOP_WORDS
 
@@ -159,13 +164,21 @@ def categorical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-NAMES = sorted({c for cs in COLUMNS.values() for c in cs.split()} | {"media", "Diâmetro", "update", "Fornecedor", "Empresa", "Estoque", "Moeda", "Receita", "Salário", "discount", "bank", "hospital", "curso", "peso", "Latitude"})
-NAME_ROWS = ", ".join(f"('{c}')" for c in NAMES)
+WORDS_OF = ["SELECT p_name FROM part", "SELECT event_type FROM events", "SELECT source FROM documents", "SELECT unnest(string_split(text, ' ')) FROM conversations"]
+NAMES_SQL = "SELECT DISTINCT coluna FROM (" + " UNION ALL ".join([f"SELECT column_name AS coluna FROM (DESCRIBE {t})" for t in COLUMNS] + [f"SELECT * FROM ({w}) t(coluna)" for w in WORDS_OF]) + ") WHERE coluna IS NOT NULL"
+
 
+def all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(coluna): the columns of every table, and names that rows hold: products, events, sources, words of conversations."""
+    schemas = spark.createDataFrame([(c,) for t in COLUMNS for c in table(spark, sf_dir, t).columns], "coluna string")
+    held = [table(spark, sf_dir, t).select(F.col(c).alias("coluna")) for t, c in (("part", "p_name"), ("events", "event_type"), ("documents", "source"))]
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("coluna"))
+    return reduce(DataFrame.union, [schemas, *held, words]).where("coluna is not null").distinct()
 
-@query(f"SELECT coluna, x AS is_date FROM (SELECT coluna, contains(n, 'data') OR contains(n, 'date') OR contains(n, 'day') OR contains(n, 'dia') AS x FROM (SELECT coluna, lower(strip_accents(coluna)) AS n FROM (VALUES {NAME_ROWS}) t(coluna)))")
+
+@query(f"SELECT coluna, contains(n, 'data') OR contains(n, 'date') OR contains(n, 'day') OR contains(n, 'dia') AS is_date FROM (SELECT coluna, {sql_fold('coluna')} AS n FROM ({NAMES_SQL}))")
 def date_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c, predicates.is_date_name(c)) for c in NAMES], "coluna string, is_date boolean")
+    return all_names(spark, sf_dir).withColumn("is_date", predicates.date_name(F.col("coluna")))
 
 
 @query(union([f"SELECT '{c}' AS coluna, strftime(min({c}), '%Y-%m-%d %H:%M:%S') AS min, strftime(max({c}), '%Y-%m-%d %H:%M:%S') AS max FROM {t}" for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]))
@@ -209,15 +222,14 @@ def norm_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_terms() -> str:
     """The vocabulary as SQL reads it: the data file itself, not what the query makes of it."""
-    fold = lambda x: f"lower(replace(strip_accents({x}), 'º', 'o'))"
-    return f"""WITH d AS (SELECT prio::int AS prio, tipo, syn_prio::int AS syn_prio, {fold('synonym')} AS syn FROM read_csv('{VOCABULARY}', header = true, all_varchar = true)),
-n AS (SELECT coluna, {fold('coluna')} AS name FROM (VALUES {NAME_ROWS}) t(coluna))
+    return f"""WITH d AS (SELECT prio::int AS prio, tipo, syn_prio::int AS syn_prio, {sql_fold('synonym')} AS syn FROM read_csv('{VOCABULARY}', header = true, all_varchar = true)),
+n AS (SELECT coluna, {sql_fold('coluna')} AS name FROM ({NAMES_SQL}))
 SELECT n.coluna, arg_min(d.tipo, d.prio * 1000 + d.syn_prio) AS tipo FROM n LEFT JOIN d ON starts_with(n.name, d.syn) GROUP BY n.coluna"""
 
 
 @query(sql_terms())
 def column_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_types(spark.createDataFrame([(c,) for c in NAMES], "coluna string"), dictionary(spark))
+    return column_types(all_names(spark, sf_dir), dictionary(spark))
 
 
 # ---- fuzzy clustering
@@ -377,6 +389,27 @@ def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("termo", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+def letters(words: list[str]) -> list[list[int]]:
+    """A stand-in for a language model: how often a word has each letter."""
+    return [[w.count(chr(97 + i)) for i in range(26)] for w in words]
+
+
+def sql_bases(t: str, key: str) -> str:
+    like = "list_cosine_similarity(a.v, b.v) >= 0.905"
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY frequencia DESC, termo) - 1 AS pos, list_transform(range(26), lambda i: (length(termo) - length(replace(termo, chr((97 + i)::int), '')))::double) AS v FROM ({sql_frequency(t, key)})),
+nb AS MATERIALIZED (SELECT a.pos, list(b.pos) AS nb FROM f a JOIN f b ON b.pos < a.pos AND list_sum(a.v) > 0 AND list_sum(b.v) > 0 WHERE {like} GROUP BY a.pos),
+x AS MATERIALIZED (SELECT f.pos, coalesce(nb.nb, []::bigint[]) AS nb FROM f LEFT JOIN nb USING (pos)),
+rec(pos, ld, lead) AS (SELECT -1::bigint, []::bigint[], -1::bigint UNION ALL SELECT pos, CASE WHEN hit IS NULL THEN list_append(ld, pos) ELSE ld END, coalesce(hit, pos) FROM (SELECT x.pos, ld, list_min(list_intersect(ld, nb)) AS hit FROM rec JOIN x ON x.pos = rec.pos + 1))
+SELECT f.termo, f.frequencia, f.ids_unicos, b.termo AS base FROM rec JOIN f USING (pos) JOIN f b ON b.pos = rec.lead"""
+
+
+@query(sql_bases("benchmark", "item_id"))
+def terms_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of terms and the first term, in order of frequency, that each is like (no two counts of letters have just this cosine)."""
+    frequency, _, bases = terms.terms_frequency(table(spark, sf_dir, "benchmark"), ["text"], "item_id", letters, 26, 0.905)
+    return frequency.join(bases, "termo")
+
+
 SQL_COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 
