@@ -13,7 +13,7 @@ copies are made. Each pair of cells meets in one of the two, each pair of vector
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ..plans.checkpoints import cut
 
 #: Vectors of a cell, about, and the most pivots: these go to every task, the bound is 4096 rows of a vector each.
-CELL, PIVOTS = 2048, 4096
-#: Vectors of a side in one comparison: a larger cell meets itself in blocks of so many.
-BLOCK = 2048
+CELL, PIVOTS = 4096, 4096
+#: Vectors of a cell that a task holds; a larger cell lies in blocks of about so many. Others pass by STEP at a time.
+BLOCK, STEP = 8192, 1024
 #: Slack of all bounds, far above the rounding of a product of unit vectors.
 SLACK = 1e-9
 
@@ -44,7 +44,7 @@ def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vectors (pos, v) -> (d, pos, v, n): each different vector once, at its first place, with its number of rows;
     and (pos, class_id): the class of every row. Vectors that are null, zero or not finite are left out of both."""
     fine = vectors.where("v is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    fine = fine.select(F.col("pos").cast("long").alias("pos"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    fine = fine.select(F.col("pos").cast("long").alias("pos"), "v")  # in its own type: floats are half as long
     classes = cut(fine.groupBy("v").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).select(F.size("v").alias("d"), "pos", "v", "n"))
     return classes, fine.join(classes.select("v", F.col("pos").alias("class_id")), "v").select("pos", "class_id")
 
@@ -79,7 +79,7 @@ def reached(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, narrow: np.ndar
 
 def in_cells(vectors: DataFrame, size: int, threshold: float) -> DataFrame:
     """vectors (pos, v, n) of one size -> pos, v, n, home, cells: where each is and where it goes, cut."""
-    vectors = vectors.select("pos", "v", "n")
+    vectors, kind = vectors.select("pos", "v", "n"), vectors.schema["v"].dataType.simpleString()
     pivots = pivots_of(vectors, max(1, vectors.count()), size)
     m = len(pivots)
 
@@ -90,7 +90,7 @@ def in_cells(vectors: DataFrame, size: int, threshold: float) -> DataFrame:
             angle = np.arccos(np.clip(products[np.arange(len(home)), home], -1, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "home", "angle"])
 
-    placed = cut(vectors.mapInArrow(nearest, "pos long, v array<double>, n long, home int, angle double"))
+    placed = cut(vectors.mapInArrow(nearest, f"pos long, v {kind}, n long, home int, angle double"))
     narrow, wide = np.full(m, np.inf), np.full(m, -np.inf)  # a cell without vectors is never reached
     for r in placed.groupBy("home").agg(F.min("angle").alias("a"), F.max("angle").alias("z")).collect():  # a row a pivot
         narrow[r["home"]], wide[r["home"]] = r["a"], r["z"]
@@ -105,50 +105,95 @@ def in_cells(vectors: DataFrame, size: int, threshold: float) -> DataFrame:
                 cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(to)[1].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], cells], ["pos", "v", "n", "home", "cells"])
 
-    return cut(placed.mapInArrow(spread, "pos long, v array<double>, n long, home int, cells array<int>"))
+    return cut(placed.mapInArrow(spread, f"pos long, v {kind}, n long, home int, cells array<int>"))
+
+
+def meetings(batches: Iterator[pa.RecordBatch], size: int, threshold: float, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows by cell, block and kind -> the links of each block's own vectors (kind 0) among themselves and with those
+    that come by (kind 1), batch by batch: pairs (pos, earlier, cosine), or how many each vector has (pos, k)."""
+    key, own, x = None, [], None
+    pos = n = k = None
+
+    def told(a, b, n_a, n_b, like, cosines) -> Iterator[pa.RecordBatch]:
+        if pairs:
+            i, j = np.nonzero(like)
+            p, q = a[i], b[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(cosines[i, j])], ["pos", "earlier", "cosine"])
+        else:
+            k[:] += like @ n_b
+            yield from counted(b, n_a @ like)
+
+    def counted(at, many) -> Iterator[pa.RecordBatch]:
+        some = many > 0
+        yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(many[some].astype(np.int64))], ["pos", "k"])
+
+    def begin() -> Iterator[pa.RecordBatch]:
+        """The block is complete: its vectors meet each other."""
+        nonlocal x, pos, n, k
+        x, pos, n = (np.concatenate(part) for part in zip(*own, strict=True))
+        k = np.zeros(len(x))
+        for at in range(0, len(x), STEP):
+            c = x @ x[at : at + STEP].T
+            yield from told(pos, pos[at : at + STEP], n, n[at : at + STEP], (c >= threshold) & (pos[:, None] > pos[None, at : at + STEP]), c)
+
+    def end() -> Iterator[pa.RecordBatch]:
+        if own and x is None:
+            yield from begin()
+        if k is not None and not pairs:
+            yield from counted(pos, k)
+
+    for batch in batches:
+        cell, block, kind = (batch.column(i).to_numpy() for i in range(3))
+        cuts = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0), True])
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if (cell[at], block[at]) != key:
+                yield from end()
+                key, own, x, k = (cell[at], block[at]), [], None, None
+            part = batch.slice(at, to - at)
+            v = unit(matrix(part.column(4), size))
+            if not kind[at]:
+                own.append((v, part.column(3).to_numpy(), part.column(5).to_numpy()))
+                continue
+            if own and x is None:
+                yield from begin()
+            for low in range(0, len(v) if own else 0, STEP):
+                c = x @ v[low : low + STEP].T
+                yield from told(pos, part.column(3).to_numpy()[low : low + STEP], n, part.column(5).to_numpy()[low : low + STEP], c >= threshold, c)
+    yield from end()
+
+
+def dealt(placed: DataFrame) -> DataFrame:
+    """cell, block, kind, pos, v, n: a cell's own vectors once, in blocks (kind 0), and those that come to a block:
+    each block's to the other blocks of its cell one way, and every vector to all blocks of the cells it goes to."""
+    counts = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # A row a pivot: PIVOTS at most.
+    mine = F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int")
+    own = placed.select(F.col("home").alias("cell"), "pos", "v", "n").join(F.broadcast(counts), "cell").select("cell", mine.alias("block"), F.lit(0).alias("kind"), "pos", "v", "n")
+    come = placed.select(F.explode("cells").alias("cell"), "home", "pos", "v", "n").join(F.broadcast(counts), "cell").withColumn("mine", mine)
+    to = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (F.col("home") != F.col("cell")) | ((b < F.col("mine")) == ((b + F.col("mine")) % 2 == 1)) & (b != F.col("mine")))
+    return own.union(come.select("cell", F.explode(to).alias("block"), F.lit(1).alias("kind"), "pos", "v", "n"))
 
 
-def compared(placed: DataFrame, size: int, threshold: float, tell: Callable, schema: str) -> DataFrame:
-    """What ``tell`` makes of the links (pos a, pos b, n a, n b, cosine) of each meeting of two blocks of a cell."""
-    counts = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    # A row a pivot: PIVOTS at most.
-    rows = placed.select(F.explode("cells").alias("cell"), "pos", "v", "n", "home").join(F.broadcast(counts), "cell")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1))
-    rows = rows.select("cell", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "pos", "v", "n", (F.col("home") == F.col("cell")).alias("own"), side.alias("side"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        pos, side, n = (table.column(c).to_numpy() for c in ("pos", "side", "n"))
-        own, v = np.asarray(table.column("own").combine_chunks()).astype(bool), unit(matrix(table.column("v"), size))
-        a, b = np.flatnonzero(side <= 0), np.flatnonzero((side == 1) | (side == -1))
-        found = []
-        for at in range(0, len(a), BLOCK):
-            part = a[at : at + BLOCK]
-            c = v[part] @ v[b].T
-            i, j = np.nonzero((c >= threshold) & (own[part][:, None] | own[b][None, :]) & ((side[part] == 0)[:, None] | (pos[part][:, None] > pos[b][None, :])))
-            found.append(tell(pos[part[i]], pos[b[j]], n[part[i]], n[b[j]], c[i, j]))
-        return pa.concat_tables(found) if found else tell(pos[:0], pos[:0], n[:0], n[:0], np.zeros(0))
-
-    return rows.groupBy("cell", "x", "y").applyInArrow(meet, schema)
-
-
-def by_size(classes: DataFrame, threshold: float, tell: Callable, schema: str) -> DataFrame:
+def compared(placed: DataFrame, size: int, threshold: float, pairs: bool) -> DataFrame:
+    """Links of vectors in cells, see ``meetings``. Only a block's own vectors are held, the others stream past them."""
+    rows = dealt(placed).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+    return rows.mapInArrow(lambda batches: meetings(batches, size, threshold, pairs), PAIRS if pairs else COUNTS)
+
+
+PAIRS, COUNTS = "pos long, earlier long, cosine double", "pos long, k long"
+
+
+def by_size(classes: DataFrame, threshold: float, pairs: bool) -> DataFrame:
     """Vectors of different sizes never meet: one join for each size."""
-    sizes = [r["d"] for r in classes.select("d").distinct().collect()]
-    out = None
-    for d in sizes:
-        part = compared(in_cells(classes.where(F.col("d") == d), d, threshold), d, threshold, tell, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else classes.sparkSession.createDataFrame([], schema)
+    out = classes.sparkSession.createDataFrame([], PAIRS if pairs else COUNTS)
+    for d in [r["d"] for r in classes.select("d").distinct().collect()]:
+        out = out.union(compared(in_cells(classes.where(F.col("d") == d), d, threshold), d, threshold, pairs))
+    return out
 
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """classes (d, pos, v, n) -> (pos, earlier, cosine) of all pairs of different vectors at the threshold or above."""
-
-    def pairs(a, b, _n, _m, c) -> pa.Table:
-        return pa.table({"pos": np.maximum(a, b), "earlier": np.minimum(a, b), "cosine": c})
-
-    return by_size(classes, threshold, pairs, "pos long, earlier long, cosine double")
+    return by_size(classes, threshold, True)
 
 
 def link_counts(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -156,12 +201,7 @@ def link_counts(vectors: DataFrame, threshold: float) -> DataFrame:
     a cosine of the threshold or more, in double precision; equal vectors have. Null for vectors that are null, zero or
     not finite. Meetings tell counts, never pairs, so a group of like vectors of any size costs a row a vector."""
     classes, members = vector_classes(vectors)
-
-    def counts(a, b, n, m, _c) -> pa.Table:
-        at, where = np.unique(np.r_[a, b], return_inverse=True)
-        return pa.table({"pos": at, "k": np.bincount(where, np.r_[m, n], len(at)).astype(np.int64)})
-
-    found = by_size(classes, threshold, counts, "pos long, k long").groupBy("pos").agg(F.sum("k").alias("k"))
+    found = by_size(classes, threshold, False).groupBy("pos").agg(F.sum("k").alias("k"))
     total = classes.join(found, "pos", "left").select(F.col("pos").alias("class_id"), (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     linked = members.join(total, "class_id").select("pos", "class_id", "n_links")
     return vectors.select(F.col("pos").cast("long").alias("pos")).join(linked, "pos", "left")
@@ -202,7 +242,7 @@ def leaders(vectors: DataFrame, threshold: float, batch: int = 2048) -> DataFram
                         leader[at], found[at] = heads[like.argmax(axis=1)], like.any(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leader, mask=~found)], [*b.schema.names, "leader"])
 
-        now = cut(open_.mapInArrow(follow, "d int, pos long, v array<double>, n long, leader long"))
+        now = cut(open_.mapInArrow(follow, f"d int, pos long, v {open_.schema['v'].dataType.simpleString()}, n long, leader long"))
         settled = now.where("leader is not null").select("pos", "leader")
         done = settled if done is None else done.union(settled)
         open_ = now.where("leader is null").drop("leader")

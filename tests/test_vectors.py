@@ -36,6 +36,7 @@ def frame(spark, rows):
 def test_links_equal_brute_force(spark, monkeypatch, threshold):
     monkeypatch.setattr(vectors, "CELL", 12)
     monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "STEP", 5)
     rows = rows_of(1)
     got = {r["pos"]: (r["class_id"], r["n_links"]) for r in vectors.link_counts(frame(spark, rows), threshold).collect()}
     good = [(i, v) for i, v in rows if fine(v)]
@@ -67,17 +68,19 @@ def test_linked_vectors_meet_once(seed, size, m, threshold):
             assert len(both) <= 1 and (len(both) == 1 or x[i] @ x[j] < threshold)
 
 
-def test_copies_are_few(spark, monkeypatch):
-    """On clusters a vector goes to few cells, never twice to one, and few pairs are looked at."""
-    monkeypatch.setattr(vectors, "CELL", 40)
+@pytest.mark.parametrize("threshold,most", [(0.9, 6), (0.0, 60)])
+def test_copies_are_few(spark, monkeypatch, threshold, most):
+    """On clusters a vector goes to few cells, never twice to one; where the threshold rules nothing out, to half the cells."""
+    monkeypatch.setattr(vectors, "CELL", 20)
     classes, _ = vectors.vector_classes(frame(spark, rows_of(2, 2000, 32, 0.1)[:2000]))
-    placed = vectors.in_cells(classes, 32, 0.9).select("home", "cells").collect()
-    m = len({c for r in placed for c in r["cells"]})
-    assert len(placed) == 2000 and m > 20
-    assert all(len(set(r["cells"])) == len(r["cells"]) <= m and r["home"] in r["cells"] for r in placed)
-    assert sum(len(r["cells"]) for r in placed) < 6 * len(placed)
-    own, all_ = ({c: sum(f(r, c) for r in placed) for c in range(m + 9)} for f in (lambda r, c: r["home"] == c, lambda r, c: c in r["cells"]))
-    assert sum(own[c] * all_[c] for c in own) < 2000 * 2000 / 6
+    placed = vectors.in_cells(classes, 32, threshold)
+    cells = [set(r["cells"]) for r in placed.select("cells").collect()]
+    m = len(set().union(*cells))
+    assert len(cells) == 2000 and m > 50
+    assert vectors.dealt(placed).count() == sum(map(len, cells)) <= min(most, (m + 3) / 2) * 2000  # one block a cell
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    rows = [tuple(r) for r in vectors.dealt(placed).select("cell", "block", "kind", "pos").collect()]
+    assert len(rows) == len(set(rows)) and sum(r[2] == 0 for r in rows) == 2000
 
 
 @pytest.mark.parametrize("batch", [4, 40, 5000])
