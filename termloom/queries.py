@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dates import to_date
 from .functions.similarity import indel_ratio
 from .functions.text import format_cep, normalize_generic, slugify, tokens
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
@@ -192,6 +193,31 @@ def date_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.date_stats(df, ["d"], "o_orderkey")
 
 
+#: A spelling in Spark's letters and in DuckDB's.
+SPELLINGS = {"M/d/yyyy": "%-m/%-d/%Y", "dd/MM/yyyy": "%d/%m/%Y", "dd.MM.yyyy HH:mm": "%d.%m.%Y %H:%M", "yyyyMMdd": "%Y%m%d", "d MMM yyyy": "%-d %b %Y", "MMMM d, yyyy": "%B %-d, %Y", "yyyy-MMM-dd": "%Y-%b-%d", "MM/dd/yy": "%m/%d/%y"}
+
+
+def sql_spelled(how: str, duck: str) -> str:
+    """The first value decides: days up to 12 in front are months, May is a whole name, two-digit years tell nothing."""
+    read, ok = "o_orderdate", "true"
+    if how.startswith("dd"):
+        read = f"CASE WHEN day(first) > 12 THEN o_orderdate ELSE try_strptime(strftime(o_orderdate, '{duck}'), '{duck.replace('%d', '#').replace('%m', '%d').replace('#', '%m')}') END"
+    elif "MMM" in how and "MMMM" not in how:
+        ok = "month(first) <> 5 OR month(o_orderdate) = 5"
+    return f"SELECT '{how}' AS spelling, o_orderkey, CASE WHEN {ok} THEN ({read})::date END AS d FROM orders, (SELECT arg_min(o_orderdate, o_orderkey) AS first FROM orders)"
+
+
+@query(union([sql_spelled(*x) for x in SPELLINGS.items()]))
+def date_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in eight ways, each column read back by what its first value shows."""
+    orders, parts = table(spark, sf_dir, "orders"), []
+    for how in SPELLINGS:
+        text = orders.select("o_orderkey", F.date_format("o_orderdate", how).alias("t"))
+        read = to_date(F.col("t"), False, first=predicates.first_value(text, "t", "o_orderkey"))
+        parts.append(text.select(F.lit(how).alias("spelling"), "o_orderkey", read.cast("date").alias("d")))
+    return reduce(DataFrame.union, parts)
+
+
 @query(union([f"SELECT '{c}' AS coluna, min({c}) AS min, max({c}) AS max, round(avg({c}), 4) AS media FROM lineitem" for c in NUMBERS]))
 def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.numeric_stats(table(spark, sf_dir, "lineitem"), NUMBERS).withColumn("media", F.round("media", 4))

@@ -99,12 +99,14 @@ def read_excel(spark: SparkSession, path: str, legacy_nulls: bool = False) -> Da
 
 
 def clean_sheet(df: DataFrame, legacy_nulls: bool = False) -> DataFrame:
-    """Empty rows and columns dropped, names and cells cleaned, columns named data or date as timestamps."""
+    """Empty rows and columns dropped, names and cells cleaned, columns named data or date as timestamps, in the format
+    of their first value."""
     from ..functions.dates import to_date
 
     out = clean_cells(trim_names(drop_null_columns(drop_null_rows(df))), legacy_nulls)
     dated = [c for c in text_columns(out) if "data" in c.lower() or "date" in c.lower()]
-    return out.withColumns({c: to_date(F.col(f"`{c}`"), False) for c in dated})
+    first = {c: out.select(f"`{c}`").where(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`") != "nan")).first() for c in dated}
+    return out.withColumns({c: to_date(F.col(f"`{c}`"), False, first=first[c] and first[c][0]) for c in dated})
 
 
 def load(spark: SparkSession, path: str, progress=None, **options) -> DataFrame:

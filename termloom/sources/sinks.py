@@ -43,10 +43,10 @@ def shown_columns(names: list[str]) -> list[str]:
 
 
 def show(table: DataFrame) -> str:
-    """The first rows of a table as text; the top-k is taken on the executors."""
-    order = [F.desc("frequencia"), table.columns[0]] if "frequencia" in table.columns else [table.columns[0]]
+    """The first rows of a table as text: the most frequent, taken on the executors, or without frequencies as they come."""
+    table = table.orderBy(F.desc("frequencia"), table.columns[0]) if "frequencia" in table.columns else table
     shown = [c for c in shown_columns(table.columns) if c in table.columns]
-    return table.orderBy(*order).limit(SHOWN).select(*shown).toPandas().to_string(index=False)
+    return table.limit(SHOWN).select(*shown).toPandas().to_string(index=False)
 
 
 def show_stats(stats: dict) -> str:

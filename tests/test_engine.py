@@ -248,13 +248,13 @@ def test_profile_without_ids(spark):
 
 
 def test_show_any_table(spark):
-    assert sinks.show(spark.createDataFrame([(1, "b"), (0, "a")], "n int, v string")).split() == ["n", "v", "0", "a", "1", "b"]
+    assert sinks.show(spark.createDataFrame([(1, "b"), (0, "a")], "n int, v string").coalesce(1)).split() == ["n", "v", "1", "b", "0", "a"]
     assert sinks.show(spark.createDataFrame([("x", "y", 2)], "termo_base string, variantes string, n int")).split() == ["termo_base", "variantes", "x", "y"]
     assert "min" in sinks.show_stats({"min": 1}) and sinks.show_stats({}).startswith("Sem dados")
 
 
 def test_dates_follow_the_first_value(spark):
-    for values, want in ((["13/02/2020", "01/03/2020", "2020-01-05"], "2020-02-13 00:00:00"), (["02/13/2020", "01/03/2020"], "2020-01-03 00:00:00"), (["5 Jan 2020", "7 Feb 2019"], "2019-02-07 00:00:00"), (["no", "1.5.2020"], "2020-05-01 00:00:00")):
+    for values, want in ((["13/02/2020", "01/03/2020", "2020-01-05"], "2020-02-13 00:00:00"), (["02/13/2020", "01/03/2020"], "2020-01-03 00:00:00"), (["5 Jan 2020", "7 Feb 2019"], "2019-02-07 00:00:00"), (["no", "1.5.2020"], "2020-01-05 00:00:00")):
         df = spark.createDataFrame(list(enumerate(values)), "i int, d string")
         assert aggregates.date_stats(df, ["d"], "i").first()["min"] == want
 
