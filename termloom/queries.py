@@ -327,11 +327,14 @@ rec(pos, leader, ld) AS (SELECT -1::bigint, -1::bigint, []::STRUCT(pos bigint, n
 SELECT '{v}' AS coluna, x.n AS norm, h.n AS leader_norm FROM rec JOIN x USING (pos) JOIN x h ON h.pos = rec.leader)"""
 
 
-@query(union([sql_all_clusters("customer", "c_name", "c_custkey"), sql_all_clusters("part", "p_name", "p_partkey")]))
+ALL_TERMS = [("customer", "c_name", "c_custkey"), ("part", "p_name", "p_partkey"), ("pages", "url", "page_id")]
+
+
+@query(union([sql_all_clusters(*x) for x in ALL_TERMS]))
 def fuzzy_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All terms of two columns, without the cut to the commonest values and without a limit on their number."""
-    parts = [aggregates.normalised(aggregates.long_values(table(spark, sf_dir, t), [c], k, k)) for t, c, k in (("customer", "c_name", "c_custkey"), ("part", "p_name", "p_partkey"))]
-    found = clustering.fuzzy_clusters(parts[0].union(parts[1]).groupBy("coluna", "norm").agg(F.min("_pos").alias("pos")), max_terms=None)
+    """All terms of three columns, without the cut to the commonest values and without a limit on their number."""
+    parts = [aggregates.normalised(aggregates.long_values(table(spark, sf_dir, t), [c], k, k)) for t, c, k in ALL_TERMS]
+    found = clustering.fuzzy_clusters(reduce(DataFrame.union, parts).groupBy("coluna", "norm").agg(F.min("_pos").alias("pos")), max_terms=None)
     leaders = found.where("pos = leader").select("coluna", "leader", F.col("norm").alias("leader_norm"))
     return found.join(leaders, ["coluna", "leader"]).select("coluna", "norm", "leader_norm")
 
@@ -395,8 +398,8 @@ def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- terms
 
 
-def sql_frequency(t: str, key: str, custom: tuple[str, ...] = ()) -> str:
-    return f"SELECT termo, count(*) AS frequencia, count(DISTINCT id) AS ids_unicos FROM (SELECT {key} AS id, unnest({sql_tokens('text', custom)}) AS termo FROM {t}) GROUP BY termo"
+def sql_frequency(t: str, key: str, custom: tuple[str, ...] = (), text: str = "text") -> str:
+    return f"SELECT termo, count(*) AS frequencia, count(DISTINCT id) AS ids_unicos FROM (SELECT {key} AS id, unnest({sql_tokens(text, custom)}) AS termo FROM {t}) GROUP BY termo"
 
 
 @query(sql_frequency("documents", "doc_id"))
@@ -420,19 +423,19 @@ def letters(words: list[str]) -> list[list[int]]:
     return [[w.count(chr(97 + i)) for i in range(26)] for w in words]
 
 
-def sql_bases(t: str, key: str) -> str:
+def sql_bases(t: str, key: str, text: str) -> str:
     like = "list_cosine_similarity(a.v, b.v) >= 0.905"
-    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY frequencia DESC, termo) - 1 AS pos, list_transform(range(26), lambda i: (length(termo) - length(replace(termo, chr((97 + i)::int), '')))::double) AS v FROM ({sql_frequency(t, key)})),
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY frequencia DESC, termo) - 1 AS pos, list_transform(range(26), lambda i: (length(termo) - length(replace(termo, chr((97 + i)::int), '')))::double) AS v FROM ({sql_frequency(t, key, text=text)})),
 nb AS MATERIALIZED (SELECT a.pos, list(b.pos) AS nb FROM f a JOIN f b ON b.pos < a.pos AND list_sum(a.v) > 0 AND list_sum(b.v) > 0 WHERE {like} GROUP BY a.pos),
 x AS MATERIALIZED (SELECT f.pos, coalesce(nb.nb, []::bigint[]) AS nb FROM f LEFT JOIN nb USING (pos)),
 rec(pos, ld, lead) AS (SELECT -1::bigint, []::bigint[], -1::bigint UNION ALL SELECT pos, CASE WHEN hit IS NULL THEN list_append(ld, pos) ELSE ld END, coalesce(hit, pos) FROM (SELECT x.pos, ld, list_min(list_intersect(ld, nb)) AS hit FROM rec JOIN x ON x.pos = rec.pos + 1))
 SELECT f.termo, f.frequencia, f.ids_unicos, b.termo AS base FROM rec JOIN f USING (pos) JOIN f b ON b.pos = rec.lead"""
 
 
-@query(sql_bases("benchmark", "item_id"))
+@query(sql_bases("pages", "page_id", "url"))
 def terms_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies of terms and the first term, in order of frequency, that each is like (no two counts of letters have just this cosine)."""
-    frequency, _, bases = terms.terms_frequency(table(spark, sf_dir, "benchmark"), ["text"], "item_id", letters, 26, 0.905)
+    """Frequencies of addresses and the first one, in order of frequency, that each is like (no two counts of letters have just this cosine)."""
+    frequency, _, bases = terms.terms_frequency(table(spark, sf_dir, "pages"), ["url"], "page_id", letters, 26, 0.905)
     return frequency.join(bases, "termo")
 
 
