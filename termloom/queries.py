@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import to_date
+from .functions.encodings import detect_encodings
 from .functions.similarity import indel_ratio
 from .functions.text import format_cep, normalize_generic, slugify, tokens
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
@@ -115,6 +117,24 @@ def delimiter_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", readers.delimiter_of(F.col("text")).alias("delimiter"))
 
 
+#: Encodings a text is written in: the bytes in front, Python's name, the name to be found.
+WRITTEN = {"utf8": (b"", "utf-8", "UTF-8"), "utf8_mark": (b"\xef\xbb\xbf", "utf-8", "UTF-8"), "utf16le": (b"", "utf-16-le", "UTF-16LE"), "utf16be": (b"", "utf-16-be", "UTF-16BE"), "utf16le_mark": (b"\xff\xfe", "utf-16-le", "UTF-16LE"), "utf16be_mark": (b"\xfe\xff", "utf-16-be", "UTF-16BE"), "latin1": (b"", "latin-1", "ISO-8859-1"), "dos850": (b"", "cp850", "IBM850")}
+
+
+@query(union([f"SELECT doc_id, '{w}' AS written, CASE WHEN false THEN '' {'' if mark else "WHEN text = '' THEN 'UTF-8' "}{'' if mark or 'utf16' in w else "WHEN NOT regexp_matches(text, '[^\x00-\x7F]') THEN 'US-ASCII' "}ELSE '{name}' END AS encoding FROM documents WHERE text IS NOT NULL" for w, (mark, _, name) in WRITTEN.items()]))
+def encoding_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text written in eight encodings, and which one its bytes show."""
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                made = [(row["doc_id"], w, mark + row["text"].encode(code, "ignore")) for w, (mark, code, _) in WRITTEN.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "written", "head"])
+
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null").mapInArrow(write, "doc_id long, written string, head binary")
+    return detect_encodings(texts, "head").drop("head")
+
+
 # ---- shaping
 
 

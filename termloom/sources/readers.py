@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.encodings import PYTHON, detect_encoding
 from ..functions.text import count_text
 from ..operators.cleaning import clean_cells, drop_null_columns, drop_null_rows, text_columns, trim_names
 
@@ -35,20 +36,6 @@ def file_head(spark: SparkSession, path: str, size: int) -> bytes:
         stream.close()
 
 
-def detect_encoding(raw: bytes) -> str:
-    """By byte order mark, else UTF-8 if the bytes are, else Latin-1. A character cut at the end does not count."""
-    for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
-        if raw.startswith(mark):
-            return name
-    for cut in range(4):
-        try:
-            raw[: len(raw) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
-
-
 def detect_delimiter(sample: str) -> str:
     return max(DELIMITERS, key=lambda d: (sample.count(d), -DELIMITERS.index(d)))
 
@@ -75,8 +62,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """A CSV with a header. Without a schema, types are inferred in one more pass, dates staying text."""
     head = file_head(spark, path, 4 * HEAD_CHARS)
     encoding = detect_encoding(head[:HEAD_BYTES])
-    delimiter = detect_delimiter(head.decode(encoding.replace("ISO-8859-1", "latin-1"), "replace")[:HEAD_CHARS])
+    encoding = "UTF-8" if encoding == "US-ASCII" else encoding  # what comes after the head may be more
+    delimiter = detect_delimiter(head.decode(PYTHON[encoding], "replace")[:HEAD_CHARS])
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("escape", '"').option("nanValue", "NaN")
+    if encoding.startswith("UTF-16") or encoding.startswith("UTF-32"):
+        reader = reader.option("multiLine", True)  # lines are not split by bytes
+    elif encoding not in ("UTF-8", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark reads other encodings only so
     if schema is not None:
         return missing_as_null(reader.schema(schema).csv(path))
     return missing_as_null(reader.option("inferSchema", True).option("preferDate", False).option("timestampFormat", "'none'").csv(path))
