@@ -95,5 +95,5 @@ def counted_groups(counts: DataFrame) -> DataFrame:
 
 
 def norm_groups(values: DataFrame) -> DataFrame:
-    """(coluna, norm, pos, originais, ids): each normalised value's originals, ids and first place."""
-    return normalised(values).groupBy("coluna", "norm").agg(F.min("_pos").alias("pos"), F.sort_array(F.collect_set("orig")).alias("originais"), F.collect_set("id").alias("ids"))
+    """(coluna, norm, pos, originais): each normalised value's originals and first place. Its ids are ``postings``."""
+    return normalised(values).groupBy("coluna", "norm").agg(F.min("_pos").alias("pos"), F.sort_array(F.collect_set("orig")).alias("originais"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import ratio_at_least
 from ..plans.checkpoints import cut
 from .fuzzy import fuzzy_leaders
+from .postings import counted, ids_text
 
 
 def fuzzy_clusters(terms: DataFrame, threshold: int = 88, max_terms: int | None = 500) -> DataFrame:
@@ -34,18 +35,22 @@ def fuzzy_clusters(terms: DataFrame, threshold: int = 88, max_terms: int | None
     return terms.join(found, ["coluna", "pos"], "left").withColumn("leader", F.coalesce("leader", "pos"))
 
 
-def cluster_table(groups: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(coluna, termo_base, variantes, frequencia, ids): the longest member in capitals, originals, distinct ids.
+def cluster_table(groups: DataFrame, clusters: DataFrame, ids: DataFrame) -> DataFrame:
+    """(coluna, termo_base, variantes, frequencia, leader): the longest member in capitals, originals, number of distinct ids.
 
-    In order of frequency and first place within a column. ``ids`` holds all of a cluster's ids in one text; where
-    these are too many for a row, and only their number is wanted, ``counted_cluster_table`` does without.
+    ``ids`` are the clusters' ``postings`` by coluna and leader. In order of frequency and first place within a column.
     """
-    joined = groups.select("coluna", "norm", "pos", "originais", "ids").join(clusters.select("coluna", "pos", "leader"), ["coluna", "pos"])
+    joined = groups.select("coluna", "norm", "pos", "originais").join(clusters.select("coluna", "pos", "leader"), ["coluna", "pos"])
     base = F.upper(F.max_by("norm", F.struct(F.length("norm"), -F.col("pos"))))
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    out = joined.groupBy("coluna", "leader").agg(base.alias("termo_base"), merged("originais").alias("v"), merged("ids").alias("i"))
-    out = out.select("coluna", "leader", "termo_base", F.array_join("v", "; ").alias("variantes"), F.size("i").cast("long").alias("frequencia"), F.array_join("i", ",").alias("ids"))
-    return out.orderBy("coluna", F.desc("frequencia"), "leader").drop("leader")
+    out = joined.groupBy("coluna", "leader").agg(base.alias("termo_base"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("originais")))), "; ").alias("variantes"))
+    out = out.join(counted(ids, ["coluna", "leader"]), ["coluna", "leader"]).orderBy("coluna", F.desc("frequencia"), "leader")
+    return out.select("coluna", "termo_base", "variantes", "frequencia", "leader")
+
+
+def with_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """A cluster table as it is written: the ids of each cluster joined in one text, and no leader."""
+    out = table.join(ids_text(ids, ["coluna", "leader"]), ["coluna", "leader"]).orderBy("coluna", F.desc("frequencia"), "leader")
+    return out.select("coluna", "termo_base", "variantes", "frequencia", "ids")
 
 
 def counted_cluster_table(groups: DataFrame, clusters: DataFrame) -> DataFrame:

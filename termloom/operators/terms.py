@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import tokens
 from ..plans.checkpoints import cut
 from .cleaning import number_rows
+from .postings import postings
 from .vectors import class_links, leaders, vector_classes
 
 
@@ -55,8 +56,8 @@ def terms_frequency(df: DataFrame, columns: list[str], key: str, model, size: in
 
 
 def term_ids(df: DataFrame, columns: list[str], key: str, custom: list[str] | None = None) -> DataFrame:
-    """(termo, ids): the distinct ids of each term, sorted. Use ``term_rows`` where a term's ids are too many for a row."""
-    return term_rows(df, columns, key, custom).groupBy("termo").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """The distinct ids of each term as ``postings`` by termo: sorted blocks of a bounded size."""
+    return postings(term_rows(df, columns, key, custom).select("termo", "id"), ["termo"])
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:

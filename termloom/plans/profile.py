@@ -11,6 +11,7 @@ from ..operators.aggregates import counted_groups, counts_by_column, date_stats,
 from ..operators.cleaning import number_rows
 from ..operators.clustering import cluster_table, counted_cluster_table, fuzzy_clusters
 from ..operators.dictionary import detect_column_types
+from ..operators.postings import postings
 from ..operators.predicates import column_stats
 from .checkpoints import cut
 
@@ -26,16 +27,21 @@ class Profile:
     types: dict[str, str]
     dates: DataFrame | None
     numbers: DataFrame | None
-    tables: DataFrame | None  # coluna, termo_base, variantes, frequencia, and ids if they are wanted
+    tables: DataFrame | None  # coluna, termo_base, variantes, frequencia, and leader with ids
+    ids: DataFrame | None = None  # if they are wanted: postings by coluna and leader
 
     def header(self) -> dict:
         return {"id_coluna": self.key, "total_linhas": self.rows, "total_colunas": self.columns}
 
 
-def clusters_of(df: DataFrame, columns: list[str], key: str, order: str, threshold: int = 88, max_terms: int = 500) -> DataFrame:
-    """The cluster tables of the columns, all in one plan keyed by column."""
-    groups = placed(norm_groups(top_values(long_values(df, columns, key, order))))
-    return cluster_table(groups, fuzzy_clusters(groups, threshold, max_terms))
+def clusters_of(df: DataFrame, columns: list[str], key: str, order: str, threshold: int = 88, max_terms: int | None = 500) -> tuple[DataFrame, DataFrame]:
+    """(table, ids): the cluster tables of the columns, all in one plan keyed by column, and the clusters' ids as postings."""
+    values = top_values(long_values(df, columns, key, order))
+    groups = cut(placed(norm_groups(values)))
+    clusters = cut(fuzzy_clusters(groups, threshold, max_terms))
+    named = clusters.select("coluna", "norm", "leader")
+    ids = cut(postings(normalised(values).select("coluna", "norm", "id").join(named, ["coluna", "norm"]), ["coluna", "leader"]))
+    return cluster_table(groups, clusters, ids), ids
 
 
 def counted_clusters_of(df: DataFrame, columns: list[str], key: str, order: str, unique: bool, threshold: int = 88, max_terms: int = 500) -> DataFrame:
@@ -59,7 +65,8 @@ def profile(df: DataFrame, order: str | None = None, key: str | None = None, ter
     """Names and types route columns, with one row of counts; then dates, numbers and terms are one plan each.
 
     ``order`` names a column that orders the rows (the key by default). Without a key column, rows are numbered.
-    An empty column has no table. ``progress`` gets (done, total) after each kind of column. Without ``ids`` the
+    An empty column has no table. With ``ids`` the clusters' ids are in ``ids``, in blocks; ``clustering.with_ids`` writes
+    them into the tables. ``progress`` gets (done, total) after each kind of column. Without ``ids`` the
     tables of terms have none, and a key without repeats makes them cheap.
     """
     stats = {r["coluna"]: r for r in column_stats(df, exact=False).collect()}
@@ -83,7 +90,10 @@ def profile(df: DataFrame, order: str | None = None, key: str | None = None, ter
             out.numbers = numeric_stats(df, columns)
         elif columns:
             unique = key not in stats or stats[key]["n_distinct"] == stats[key]["n"] - stats[key]["n_nulls"]
-            out.tables = clusters_of(df, columns, key, order) if ids else counted_clusters_of(df, columns, key, order, unique)
+            if ids:
+                out.tables, out.ids = clusters_of(df, columns, key, order)
+            else:
+                out.tables = counted_clusters_of(df, columns, key, order, unique)
         done += len(columns)
         if progress:
             progress(done, len(names))

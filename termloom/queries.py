@@ -15,6 +15,7 @@ from .functions.similarity import indel_ratio
 from .functions.text import format_cep, normalize_generic, slugify, tokens
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
 from .operators.dictionary import VOCABULARY, column_types, dictionary
+from .operators.postings import counted, ids_text, postings
 from .operators.vectors import link_counts
 from .plans.checkpoints import shared_dir
 from .plans.profile import clusters_of, long_report, profile
@@ -262,8 +263,9 @@ def topk_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT norm, array_to_string(list_sort(list_distinct(list(trim(p_brand)))), '; ') AS originais, count(DISTINCT p_partkey) AS n_ids FROM (SELECT *, {sql_norm('p_brand')} AS norm FROM part) GROUP BY norm")
 def norm_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = aggregates.norm_groups(aggregates.long_values(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_partkey"))
-    return groups.select("norm", F.array_join("originais", "; ").alias("originais"), F.size("ids").cast("long").alias("n_ids"))
+    values = aggregates.long_values(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_partkey")
+    ids = counted(postings(aggregates.normalised(values).select("norm", "id"), ["norm"]), ["norm"], "n_ids")
+    return aggregates.norm_groups(values).join(ids, "norm").select("norm", F.array_join("originais", "; ").alias("originais"), "n_ids")
 
 
 def sql_terms() -> str:
@@ -302,7 +304,7 @@ P_NAME = f"WITH RECURSIVE {sql_clusters('part', 'p_name', 'p_partkey')}\n"
 
 
 def part_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters_of(table(spark, sf_dir, "part"), ["p_name"], "p_partkey", "p_partkey")
+    return clustering.with_ids(*clusters_of(table(spark, sf_dir, "part"), ["p_name"], "p_partkey", "p_partkey"))
 
 
 @query(P_NAME + "SELECT * FROM tab")
@@ -434,8 +436,7 @@ def term_frequency_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT termo, array_to_string(list_sort(list_distinct(list(id))), ',') AS ids FROM (SELECT conv_id AS id, unnest({sql_tokens('text')}) AS termo FROM conversations) GROUP BY termo")
 def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = terms.term_ids(table(spark, sf_dir, "conversations"), ["text"], "conv_id")
-    return found.select("termo", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return ids_text(terms.term_ids(table(spark, sf_dir, "conversations"), ["text"], "conv_id"), ["termo"])
 
 
 def letters(words: list[str]) -> list[list[int]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
+from ..operators.clustering import with_ids
 
 SHOWN = 12
 
@@ -25,8 +26,9 @@ def write_header(header: DataFrame, path: str) -> None:
     header.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_tables(table: DataFrame, path: str) -> None:
-    """A folder for each column, named by its slug."""
+def write_tables(table: DataFrame, path: str, ids: DataFrame | None = None) -> None:
+    """A folder for each column, named by its slug. ``ids``, a profile's postings, are written as a text beside each cluster."""
+    table = with_ids(table, ids) if ids is not None else table
     table.withColumn("slug", slugify(F.col("coluna"))).write.mode("overwrite").partitionBy("slug").option("header", True).csv(path)
 
 

@@ -12,7 +12,7 @@ from termloom import queries
 from termloom.functions.dates import to_date
 from termloom.functions.similarity import cosine, indel_ratio
 from termloom.functions.text import count_text, format_cep, normalize_generic, py_str, slugify, tokens
-from termloom.operators import aggregates, charts, cleaning, clustering, predicates, terms
+from termloom.operators import aggregates, charts, cleaning, clustering, postings, predicates, terms
 from termloom.operators.dictionary import detect_column_types, dictionary
 from termloom.plans.profile import profile
 from termloom.sources import readers, sinks
@@ -145,6 +145,7 @@ def test_profile(spark):
     assert found.kinds == {"zona": "terms", "data": "date", "valor": "number", "vazio": "terms"}
     table = found.tables.collect()
     assert [(r["coluna"], r["termo_base"], r["variantes"], r["frequencia"]) for r in table] == [("zona", "SUL", "Sul; sul", 12)]
+    assert clustering.with_ids(found.tables, found.ids).first()["ids"] == "1,10,11,12,2,3,4,5,6,7,8,9"
     assert found.dates.first()["max"] == "2024-01-12 00:00:00" and found.numbers.first()["media"] == pytest.approx(9.75)
     assert seen[-1] == (4, 4)
 
@@ -265,6 +266,6 @@ def test_terms_frequency(spark):
     frequency, ids, bases = terms.terms_frequency(df, ["t"], "id", lambda words: [vectors[w] for w in words], 2)
     assert [tuple(r) for r in frequency.collect()] == [("azul", 2, 2), ("casa", 2, 1), ("casas", 1, 1), ("verde", 1, 1)]
     assert {r["termo"]: r["base"] for r in bases.collect()} == {"azul": "azul", "casa": "casa", "casas": "casa", "verde": "verde"}
-    assert {r["termo"]: r["ids"] for r in ids.collect()}["azul"] == [1, 2]
+    assert {r["termo"]: r["ids"] for r in ids.select("termo", postings.ids_of(ids).alias("ids")).collect()}["azul"] == [1, 2]
     unique = df.where("t is not null")
     assert [tuple(r) for r in terms.term_frequency(unique, ["t"], "id").collect()] == [tuple(r) for r in terms.term_frequency(unique, ["t"], "id", unique=False).collect()]
