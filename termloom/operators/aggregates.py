@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.dates import to_date
 from ..functions.text import normalize_generic, py_str, py_text, strip
 from .predicates import all_iso, first_value
+from .quantiles import quantiles
 
 
 def date_stats(df: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -37,9 +38,9 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quartiles(df: DataFrame, by: str, column: str) -> DataFrame:
-    steps = [0.0, 0.25, 0.5, 0.75, 1.0]
-    out = df.groupBy(by).agg(F.percentile(column, steps).alias("q"))
-    return out.select(F.col(by).alias("label"), *[F.col("q")[i].alias(n) for i, n in enumerate(["lo", "q1", "median", "q3", "hi"])])
+    """(label, lo, q1, median, q3, hi): exact, with a bounded state for any number of different values."""
+    out = quantiles(df, by, column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return out.select("label", *[F.col("q")[i].alias(n) for i, n in enumerate(["lo", "q1", "median", "q3", "hi"])])
 
 
 def long_values(df: DataFrame, columns: list[str], key: str, order: str) -> DataFrame:
