@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import ISO
 from ..functions.text import py_str, unaccent
+from ..plans.checkpoints import cut
 
 # Names that make a column the key, and parts of names that make it a date.
 ID_NAMES = ["id", "codigo", "identificacao", "code"]
@@ -42,8 +43,8 @@ ERROR = 0.02
 def distinct_counts(df: DataFrame, names: list[str], exact: bool) -> dict[str, int]:
     """Distinct values of each column: estimates in one scan, then exact where a decision hangs on them, or for all.
 
-    Columns with few values are counted exactly by sets of a bounded size, all in one more scan; only columns whose
-    estimate comes near their number of rows, those that may be keys, are shuffled by value, one at a time.
+    Columns with few values are counted exactly by sets of a bounded size, all in one more scan; the others that may be
+    keys, by their estimate, go through ``exact_counts`` together.
     """
     column = {c: F.col(f"`{c}`") for c in names}
     got = df.agg(F.count("*").alias("n"), *[f(column[c]).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("c", F.count), ("d", lambda x: F.approx_count_distinct(x, ERROR)))]).first()
@@ -52,9 +53,33 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool) -> dict[str, i
     if few:
         sizes = df.agg(*[F.size(F.collect_set(column[c])).alias(f"s{i}") for i, c in enumerate(few)]).first()
         out |= {c: sizes[i] for i, c in enumerate(few)}
-    for i, c in enumerate(names):
-        if c not in few and (exact or out[c] >= (1 - 20 * ERROR) * (got["n"] - 1)):
-            out[c] = df.select(column[c]).where(column[c].isNotNull()).distinct().count() if got[f"c{i}"] >= got["n"] - 1 or exact else out[c]
+    close = lambda i, c: out[c] >= (1 - 20 * ERROR) * (got["n"] - 1) and got[f"c{i}"] >= got["n"] - 1
+    return out | exact_counts(df, [c for i, c in enumerate(names) if c not in few and (exact or close(i, c))])
+
+
+def exact_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Exact distinct values of many columns with one shuffle of hashes, whatever their number.
+
+    Every value becomes its 64-bit hash, a row for each column. A hash seen once is one value. Only the rows whose hash
+    was seen again are looked at once more, as values: a key has next to none, and where copies abound they are counted
+    before they are shuffled.
+    """
+    if not names:
+        return {}
+    floats = [f.name for f in df.schema if f.name in names and isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    df = df.withColumns({c: F.col(f"`{c}`") + F.lit(0.0).cast(df.schema[c].dataType) for c in floats})  # the two zeros are one value
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))).alias("h")) for i, c in enumerate(names)])).alias("x")
+    seen = cut(df.select(cells).select("x.*").where("h is not null").groupBy("i", "h").agg(F.count("*").alias("n")))
+    once = {r["i"]: r["n"] for r in seen.where("n = 1").groupBy("i").agg(F.count("*").alias("n")).collect()}
+    again = seen.where("n > 1").select("i", "h")
+    out = {c: once.get(i, 0) for i, c in enumerate(names)}
+    if not again.isEmpty():
+        kinds = {f.name: f.dataType for f in df.schema}
+        as_text = lambda c: F.base64(F.col(f"`{c}`")) if isinstance(kinds[c], T.BinaryType) else F.col(f"`{c}`").cast("string")
+        values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.col(f"`{c}`")).alias("h"), as_text(c).alias("v")) for i, c in enumerate(names)])).alias("x")
+        both = df.select(values).select("x.*").where("v is not null").join(again, ["i", "h"], "left_semi")
+        for r in both.groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n")).collect():  # a row a column
+            out[names[r["i"]]] += r["n"]
     return out
 
 

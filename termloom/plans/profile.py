@@ -66,7 +66,8 @@ def profile(df: DataFrame, order: str | None = None, key: str | None = None, ter
 
     ``order`` names a column that orders the rows (the key by default). Without a key column, rows are numbered.
     An empty column has no table. With ``ids`` the clusters' ids are in ``ids``, in blocks; ``clustering.with_ids`` writes
-    them into the tables. ``progress`` gets (done, total) after each kind of column. Without ``ids`` the
+    them into the tables. With ``progress`` the parts are computed at once, and it gets (columns done, columns) when
+    those of a kind are. Without ``ids`` the
     tables of terms have none, and a key without repeats makes them cheap.
     """
     stats = {r["coluna"]: r for r in column_stats(df, exact=False).collect()}
@@ -95,7 +96,9 @@ def profile(df: DataFrame, order: str | None = None, key: str | None = None, ter
             else:
                 out.tables = counted_clusters_of(df, columns, key, order, unique)
         done += len(columns)
-        if progress:
+        if progress and columns:
+            part = {"date": "dates", "number": "numbers", "terms": "tables"}[kind]
+            setattr(out, part, cut(getattr(out, part)))
             progress(done, len(names))
     return out
 

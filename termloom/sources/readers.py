@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.encodings import PYTHON, detect_encoding
 from ..functions.text import count_text
 from ..operators.cleaning import clean_cells, drop_null_columns, drop_null_rows, text_columns, trim_names
+from ..plans.progress import counting
 
 # Delimiters in order of preference, how much of a file is looked at, and limits.
 DELIMITERS = [",", ";", "\t", "|", ":"]
@@ -102,7 +103,8 @@ def clean_sheet(df: DataFrame, legacy_nulls: bool = False) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, progress=None, **options) -> DataFrame:
-    """By suffix: .csv, .xlsx, .parquet; anything else is refused. ``progress`` gets the number of rows."""
+    """By suffix: .csv, .xlsx, .parquet; anything else is refused. ``progress`` gets the number of rows from the first
+    job that reads them all; none is run for it."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".csv":
         out = read_csv(spark, path, **options)
@@ -112,9 +114,7 @@ def load(spark: SparkSession, path: str, progress=None, **options) -> DataFrame:
         out = spark.read.parquet(path)
     else:
         raise ValueError(UNSUPPORTED)
-    if progress:
-        progress(out.count())
-    return out
+    return counting(out, progress) if progress else out
 
 
 TABLE = "array<struct<termo_base: string, variantes: string, frequencia: bigint, ids: string>>"

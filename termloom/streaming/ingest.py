@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.progress import streaming
+
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files: int = 1, **options) -> DataFrame:
     """A folder's files as a stream, ``files`` at a time; a single file is a stream of one."""
@@ -20,22 +22,20 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, kind: str =
 
 
 def running_counts(stream: DataFrame, by: str, place: str, progress: Callable[[int], None] | None = None) -> DataFrame:
-    """Runs the stream to its end and returns (by, n). ``progress`` gets the rows so far after each batch.
+    """Runs the stream to its end and returns (by, n). ``progress`` gets the rows so far as the stream reports each batch.
 
     Each batch writes its own pre-aggregated counts under its number, so a batch that runs again replaces them; the
     total adds the batches up.
     """
     spark = stream.sparkSession
-    seen = {"rows": 0}
 
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy(by).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/counts/batch={number}")
-        if progress:
-            seen["rows"] += spark.read.parquet(f"{place}/counts/batch={number}").agg(F.sum("n")).first()[0] or 0
-            progress(seen["rows"])
 
-    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with streaming(spark, progress) as follow:
+        query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
+        follow(query)
+        query.awaitTermination()
     return spark.read.schema(T.StructType([stream.schema[by], T.StructField("n", T.LongType()), T.StructField("batch", T.LongType())])).parquet(f"{place}/counts").groupBy(by).agg(F.sum("n").alias("n"))
 
 

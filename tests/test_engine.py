@@ -269,3 +269,20 @@ def test_terms_frequency(spark):
     assert {r["termo"]: r["ids"] for r in ids.select("termo", postings.ids_of(ids).alias("ids")).collect()}["azul"] == [1, 2]
     unique = df.where("t is not null")
     assert [tuple(r) for r in terms.term_frequency(unique, ["t"], "id").collect()] == [tuple(r) for r in terms.term_frequency(unique, ["t"], "id", unique=False).collect()]
+
+
+def test_exact_counts_of_many_columns(spark):
+    """Keys, near keys, repeated values, nulls, numbers and texts; equal hashes of different values stay apart."""
+    rows = [(i, f"k{i}" if i != 77 else "k3", i % 600, float(i) if i % 9 else None, "é" * (i % 3), bytes([i % 256]), i % 2 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a long, `b c` string, d int, e double, f string, g binary, h boolean").repartition(5)
+    want = {c: len({r[i] for r in rows} - {None}) for i, c in enumerate(df.columns)}
+    assert predicates.exact_counts(df, df.columns) == want
+    assert predicates.distinct_counts(df, df.columns, exact=True) == want
+    assert predicates.exact_counts(spark.createDataFrame([(0.0,), (-0.0,), (1.5,), (1.5,)], "a double"), ["a"]) == {"a": 2}
+    assert predicates.exact_counts(df, []) == {} and predicates.exact_counts(df.limit(0), ["a", "f"]) == {"a": 0, "f": 0}
+
+
+def test_clashing_hashes(spark, monkeypatch):
+    monkeypatch.setattr(predicates.F, "xxhash64", lambda c: F.lit(7).cast("long"))
+    df = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "a string")
+    assert predicates.exact_counts(df, ["a"]) == {"a": 2}
