@@ -29,11 +29,56 @@ def folding() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
+# How letters of other scripts are written in Latin, in the order of their alphabets.
+CYRILLIC = "а a б b в v г g д d е e ё io ж zh з z и i й i к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh щ shch ы y э e ю iu я ia є ie і i ї yi ў u ґ g"
+GREEK = "α a β b γ g δ d ε e ζ z η e θ th ι i κ k λ l μ m ν n ξ x ο o π p ρ r ς s σ s τ t υ u φ ph χ kh ψ ps ω o"
+SYLLABLES = {"": "あいうえお", "k": "かきくけこ", "g": "がぎぐげご", "s": "さしすせそ", "z": "ざじずぜぞ", "t": "たちつてと", "d": "だぢづでど", "n": "なにぬねの", "h": "はひふへほ", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ", "m": "まみむめも", "y": "や ゆ よ", "r": "らりるれろ", "w": "わゐ ゑを"}
+ODD_SYLLABLES = {"し": "shi", "じ": "ji", "ち": "chi", "ぢ": "ji", "つ": "tsu", "づ": "zu", "ふ": "fu", "ん": "n"}
+INITIALS, VOWELS = "g gg n d dd r m b bb s ss  j jj c k t p h".split(" "), "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split(" ")
+FINALS = " g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split(" ")
+
+
+@cache
+def romanised() -> dict[str, str]:
+    """Letters of Cyrillic, Greek and the kana with what they become; capitals begin with one, marks of vowels fall away."""
+    out = {}
+    for text in (CYRILLIC, GREEK):
+        words = text.split()
+        for a, b in zip(words[::2], words[1::2], strict=True):
+            out |= {a: b, a.upper(): b.capitalize()}
+    for code in [*range(0x386, 0x3D0), *range(0x1F00, 0x2000)]:  # with marks, as the bare letter
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if bare in out:
+            out.setdefault(chr(code), out[bare])
+    out |= {"ъ": "", "Ъ": "", "ь": "'", "Ь": "'"}
+    kana = {}
+    for first, row in SYLLABLES.items():
+        for letter, vowel in zip(row, "aiueo", strict=True):
+            kana[letter] = first + vowel
+    kana = {k: v for k, v in kana.items() if k != " "} | ODD_SYLLABLES
+    small = {chr(ord(k) - 1): v for k, v in kana.items() if k in "あいうえおやゆよわ"}
+    kana |= small | {"っ": "tsu"}
+    return out | kana | {chr(ord(k) + 0x60): v for k, v in kana.items()} | {"ー": "-", "ヴ": "vu"}
+
+
+def romanise(c: Column) -> Column:
+    """Greek, Cyrillic, kana and Hangul letter by letter in Latin; Hangul by arithmetic on its syllables."""
+    table = F.str_to_map(F.lit("|".join(f"{a}={b}" for a, b in romanised().items())), F.lit("[|]"), F.lit("="))  # one literal
+    part = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    code = lambda x: F.ascii(x) - 0xAC00
+    hangul = lambda x: F.concat(part(INITIALS, F.floor(code(x) / 588)), part(VOWELS, F.floor(code(x) % 588 / 28)), part(FINALS, code(x) % 28))
+    letter = lambda x: F.when((x >= "\uac00") & (x <= "\ud7a3"), hangul(x)).otherwise(F.coalesce(F.try_element_at(table, x), x))
+    # As an argument, so that the text is made once; one that is ASCII by now is not taken apart.
+    whole = lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(F.array_join(F.transform(F.split(t, ""), letter), ""))
+    return F.transform(F.array(c), whole)[0]
+
+
 def unaccent(c: Column) -> Column:
-    """Latin letters folded to ASCII; other scripts stay as they are. Null stays null."""
+    """Latin letters folded to ASCII, Greek, Cyrillic, kana and Hangul written in Latin; other scripts stay as they
+    are. Null stays null."""
     for letter, pair in MANY.items():
         c = F.replace(c, F.lit(letter), F.lit(pair))
-    return F.translate(c, *folding())
+    return romanise(F.translate(c, *folding()))
 
 
 def strip(c: Column) -> Column:

@@ -24,8 +24,11 @@ def head(df: DataFrame, n: int, order: list) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def bar(df: DataFrame, order: list) -> DataFrame:
+def bar(df: DataFrame, order: list) -> DataFrame | None:
+    """None, no chart, for a table without a label column."""
     label = label_column(df)
+    if label is None:
+        return None
     return head(df, BAR, order).select(F.col(label).alias("label"), "frequencia")
 
 

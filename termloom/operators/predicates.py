@@ -54,32 +54,44 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool) -> dict[str, i
         sizes = df.agg(*[F.size(F.collect_set(column[c])).alias(f"s{i}") for i, c in enumerate(few)]).first()
         out |= {c: sizes[i] for i, c in enumerate(few)}
     close = lambda i, c: out[c] >= (1 - 20 * ERROR) * (got["n"] - 1) and got[f"c{i}"] >= got["n"] - 1
-    return out | exact_counts(df, [c for i, c in enumerate(names) if c not in few and (exact or close(i, c))])
+    return out | exact_counts(df, [c for i, c in enumerate(names) if c not in few and (exact or close(i, c))], exact)
 
 
-def exact_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+def exact_counts(df: DataFrame, names: list[str], whole: bool = True) -> dict[str, int]:
     """Exact distinct values of many columns with one shuffle of hashes, whatever their number.
 
     Every value becomes its 64-bit hash, a row for each column. A hash seen once is one value. Only the rows whose hash
     was seen again are looked at once more, as values: a key has next to none, and where copies abound they are counted
-    before they are shuffled.
+    before they are shuffled. Without ``whole`` a column with a repeated value counts its different hashes, fewer than
+    its rows, and nothing more is looked at.
     """
     if not names:
         return {}
     floats = [f.name for f in df.schema if f.name in names and isinstance(f.dataType, (T.FloatType, T.DoubleType))]
     df = df.withColumns({c: F.col(f"`{c}`") + F.lit(0.0).cast(df.schema[c].dataType) for c in floats})  # the two zeros are one value
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))).alias("h")) for i, c in enumerate(names)])).alias("x")
-    seen = cut(df.select(cells).select("x.*").where("h is not null").groupBy("i", "h").agg(F.count("*").alias("n")))
-    once = {r["i"]: r["n"] for r in seen.where("n = 1").groupBy("i").agg(F.count("*").alias("n")).collect()}
-    again = seen.where("n > 1").select("i", "h")
-    out = {c: once.get(i, 0) for i, c in enumerate(names)}
-    if not again.isEmpty():
-        kinds = {f.name: f.dataType for f in df.schema}
-        as_text = lambda c: F.base64(F.col(f"`{c}`")) if isinstance(kinds[c], T.BinaryType) else F.col(f"`{c}`").cast("string")
-        values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.col(f"`{c}`")).alias("h"), as_text(c).alias("v")) for i, c in enumerate(names)])).alias("x")
-        both = df.select(values).select("x.*").where("v is not null").join(again, ["i", "h"], "left_semi")
-        for r in both.groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n")).collect():  # a row a column
-            out[names[r["i"]]] += r["n"]
+    seen = df.select(cells).select("x.*").where("h is not null").groupBy("i", "h").agg(F.count("*").alias("n"))
+    seen = cut(seen) if whole else seen
+    many = F.col("n") > 1
+    found = {r["i"]: r for r in seen.groupBy("i").agg(F.count_if(~many).alias("once"), F.count_if(many).alias("again"), F.min(F.when(many, F.col("h"))).alias("h")).collect()}  # a row a column
+    out = {c: found[i]["once"] if i in found else 0 for i, c in enumerate(names)}
+    repeated = [i for i in found if found[i]["again"]]
+    if not repeated:
+        return out
+    kinds = {f.name: f.dataType for f in df.schema}
+    as_text = lambda c: F.base64(F.col(f"`{c}`")) if isinstance(kinds[c], T.BinaryType) else F.col(f"`{c}`").cast("string")
+    hashed = lambda i: F.struct(F.lit(i).alias("i"), F.xxhash64(F.col(f"`{names[i]}`")).alias("h"), as_text(names[i]).alias("v"))
+    if not whole:  # one hash a column that was seen again: rows of the same value settle that it is no key
+        cells = F.explode(F.filter(F.array(*[hashed(i) for i in repeated]), lambda x: F.array_contains(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(found[i]["h"]).cast("long").alias("h")) for i in repeated]), F.struct(x["i"].alias("i"), x["h"].alias("h")))))
+        rows = df.select(cells.alias("x")).select("x.*").where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(F.max("n").alias("n")).collect()
+        sure = {r["i"] for r in rows if r["n"] > 1}
+        out |= {names[i]: out[names[i]] + found[i]["again"] for i in sure}
+        rest = [names[i] for i in repeated if i not in sure]
+        return out | exact_counts(df, rest) if rest else out
+    values = F.explode(F.array(*[hashed(i) for i in repeated])).alias("x")
+    both = df.select(values).select("x.*").where("v is not null").join(seen.where(many).select("i", "h"), ["i", "h"], "left_semi")
+    for r in both.groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n")).collect():  # a row a column
+        out[names[r["i"]]] += r["n"]
     return out
 
 

@@ -18,10 +18,13 @@ def quantiles(df: DataFrame, by: str, column: str, steps: list[float]) -> DataFr
 
     A rank's interval starts as the group's whole span. Each round counts the interval's values in BINS bins, one
     aggregation for all groups and ranks, and goes on with what its bin really spans. Intervals of one value are done,
-    those of FEW values or less are listed. So a task never holds more than bins, whatever the number of different values.
+    those of FEW values or less are listed. Where no group has many different values, Spark's own sets do. So a task never holds more than bins, whatever the number of different values.
     """
     values = df.select(F.col(by).alias("label"), F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    spans = cut(values.groupBy("label").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    spans = cut(values.groupBy("label").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d")))
+    if (spans.agg(F.max("d")).first()[0] or 0) <= FEW // 2:  # so few different values are a bounded state too
+        direct = F.percentile(F.when(~F.isnan("v"), F.col("v")), steps).alias("q")
+        return df.select(F.col(by).alias("label"), F.col(column).cast("double").alias("v")).groupBy("label").agg(direct)
     place = lambda q: (F.col("m") - 1) * F.lit(q)
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in steps])))
     open_ = spans.select("label", F.explode(ranks).alias("r"), "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("m").alias("n"))

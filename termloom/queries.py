@@ -544,6 +544,15 @@ def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("event_id", readers.ingest(F.col("body")).alias("g")).select("event_id", F.col("g.coluna").alias("coluna"), F.get(F.col("g.tabela"), F.lit(0))["frequencia"].alias("frequencia"))
 
 
+@query("SELECT event_id, event_id % 6 < 4 AS refused, CASE WHEN event_id % 6 >= 4 THEN event_type END AS coluna FROM events")
+def json_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posted bodies, four in six empty in one way or another or cut off: these are marked refused."""
+    body = F.to_json(F.struct(F.col("event_type").alias("coluna"), F.array().cast(readers.TABLE).alias("tabela")))
+    bodies = F.array(F.lit(None).cast("string"), F.lit(" {\n} "), F.lit(""), F.lit('{"coluna": "x"'), body, body)
+    sent = table(spark, sf_dir, "events").select("event_id", "event_type", readers.received(F.get(bodies, (F.col("event_id") % 6).cast("int"))).alias("r"))
+    return sent.select("event_id", "r.refused", F.col("r.report.coluna").alias("coluna"))
+
+
 @query(P_NAME + "SELECT coluna, to_json(list({'termo_base': termo_base, 'variantes': variantes, 'frequencia': frequencia, 'ids': ids} ORDER BY frequencia DESC, termo_base, variantes))::varchar AS tabela FROM tab GROUP BY coluna")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report_json(part_clusters(spark, sf_dir))

@@ -47,11 +47,14 @@ def delimiter_of(sample: Column) -> Column:
     return F.array_max(scores)["d"]
 
 
-def validate_file(spark: SparkSession, path: str, max_size_mb: float = MAX_FILE_SIZE_MB) -> bool:
+def validate_file(spark: SparkSession, path: str, max_size_mb: float = MAX_FILE_SIZE_MB, max_rows: int | None = None) -> bool:
+    """Refuses a file that is too large, or, where ``max_rows`` is given, has more rows: so many and one are read at most."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
     if size / 1024 / 1024 > max_size_mb:
         raise ValueError(f"Arquivo excede o tamanho máximo permitido de {max_size_mb} MB.")
+    if max_rows is not None and load(spark, path).limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"Arquivo excede o número máximo permitido de {max_rows} linhas.")
     return True
 
 
@@ -118,8 +121,18 @@ def load(spark: SparkSession, path: str, progress=None, **options) -> DataFrame:
 
 
 TABLE = "array<struct<termo_base: string, variantes: string, frequencia: bigint, ids: string>>"
+REPORT = f"struct<coluna: string, tipo: string, tabela: {TABLE}>"
 
 
 def ingest(payload: Column) -> Column:
     """A posted report: groups whose table is a JSON text are decoded, what cannot be is null."""
-    return F.from_json(payload, f"struct<coluna: string, tipo: string, tabela: {TABLE}>", {"mode": "PERMISSIVE"})
+    return F.from_json(payload, REPORT, {"mode": "PERMISSIVE"})
+
+
+def received(payload: Column) -> Column:
+    """A posted body as it is taken in: refused if it is empty (nothing, white space, an empty object or list, null,
+    false, zero) or no JSON; else its report, where a table that cannot be decoded is null."""
+    bare = F.trim(F.regexp_replace(payload, r"\s+", " "))
+    empty = F.coalesce(bare.rlike(r'^(\{ ?\}|\[ ?\]|""|null|false|-?0+(\.0*)?|)$'), F.lit(True))
+    known = F.try_parse_json(bare).isNotNull()
+    return F.when(empty | ~known, F.struct(F.lit(True).alias("refused"), F.lit(None).cast(REPORT).alias("report"))).otherwise(F.struct(F.lit(False).alias("refused"), F.from_json(payload, REPORT, {"mode": "PERMISSIVE"}).alias("report")))

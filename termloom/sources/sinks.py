@@ -23,7 +23,13 @@ def report_json(table: DataFrame) -> DataFrame:
 
 
 def write_header(header: DataFrame, path: str) -> None:
-    header.coalesce(1).write.mode("overwrite").json(path)
+    """The one row of a report's header as one JSON file, indented, nulls included."""
+    row = header.first()
+    spark, text = header.sparkSession, json.dumps(row.asDict() if row else {}, ensure_ascii=False, indent=2)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def write_tables(table: DataFrame, path: str, ids: DataFrame | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,52 @@ def running_counts(stream: DataFrame, by: str, place: str, progress: Callable[[i
     return spark.read.schema(T.StructType([stream.schema[by], T.StructField("n", T.LongType()), T.StructField("batch", T.LongType())])).parquet(f"{place}/counts").groupBy(by).agg(F.sum("n").alias("n"))
 
 
-def keep_latest(df: DataFrame, name: str) -> None:
-    """The latest result under a name that other queries of the session read."""
-    df.createOrReplaceTempView(name)
+#: Versions that stay, so that a reader that has just looked up one can read it to its end.
+KEPT = 3
+
+
+def file_context(spark: SparkSession, place: str):
+    """(files, path of a name below the place) in whatever store the place names."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(place)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = root.getFileSystem(conf).makeQualified(root)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf), lambda name: jvm.org.apache.hadoop.fs.Path(root, name)
+
+
+def publish(df: DataFrame, place: str) -> str:
+    """Writes ``df`` as the latest result below a place that sessions share; the new version's name.
+
+    A version is written whole under a name of its own; then a pointer to it takes the old pointer's place in one
+    rename. Readers see the old result or the new one, a failed write leaves the old one. The last KEPT versions stay.
+    """
+    spark = df.sparkSession
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{place}/{version}")
+    files, path = file_context(spark, place)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    made = path(f"_{version}")
+    out = files.create(made, flags, gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
+    out.write(bytearray(version.encode()))
+    out.close()
+    swap = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    swap[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(made, path("_latest"), swap)
+    names = sorted(s.getPath().getName() for s in files.util().listStatus(path(".")) if s.getPath().getName().startswith("v"))
+    for old in [n for n in names if n != version][: -(KEPT - 1)]:
+        files.delete(path(old), True)
+    return version
+
+
+def latest(spark: SparkSession, place: str) -> DataFrame | None:
+    """The latest result that any session has published there, or None while there is none."""
+    files, path = file_context(spark, place)
+    if not files.util().exists(path("_latest")):
+        return None
+    stream = files.open(path("_latest"))
+    try:
+        version = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+    return spark.read.parquet(f"{place}/{version}")

@@ -206,6 +206,10 @@ def test_chart_errors(spark):
         charts.scatter(spark.range(3), "id", ["id"])
 
 
+def test_no_label_no_chart(spark):
+    assert charts.bar(spark.createDataFrame([(1, 2)], "x int, frequencia int"), ["x"]) is None
+
+
 def views():
     c = duckdb.connect()
     for f in os.listdir(DATA):
@@ -284,5 +288,6 @@ def test_exact_counts_of_many_columns(spark):
 
 def test_clashing_hashes(spark, monkeypatch):
     monkeypatch.setattr(predicates.F, "xxhash64", lambda c: F.lit(7).cast("long"))
-    df = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "a string")
-    assert predicates.exact_counts(df, ["a"]) == {"a": 2}
+    df = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "a string").coalesce(1)
+    assert predicates.exact_counts(df, ["a"]) == {"a": 2} == predicates.exact_counts(df, ["a"], whole=False)
+    assert predicates.exact_counts(spark.createDataFrame([("x",), ("y",)], "a string"), ["a"], whole=False) == {"a": 2}

@@ -19,7 +19,7 @@ def data(seed):
     return rows
 
 
-@pytest.mark.parametrize("bins,few", [(64, 40), (1024, 4096)])
+@pytest.mark.parametrize("bins,few", [(64, 40), (1024, 1500), (1024, 4096)])
 def test_quantiles(spark, monkeypatch, bins, few):
     monkeypatch.setattr(quantiles, "BINS", bins)
     monkeypatch.setattr(quantiles, "FEW", few)
