@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +13,16 @@ from ..plans.checkpoints import cut
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
-    return df.dropna("all")
+    some = [F.col(f"`{c}`").isNotNull() for c in df.columns]
+    return df.where(reduce(lambda a, b: a | b, some)) if some else df
 
 
 def null_columns(df: DataFrame) -> list[str]:
     """Names of columns without a value: one aggregation for all."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    return [c for c, n in zip(df.columns, counts or [0] * len(df.columns), strict=True) if not n]
+    if not df.columns:
+        return []
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    return [c for c, n in zip(df.columns, counts, strict=True) if not n]
 
 
 def drop_null_columns(df: DataFrame) -> DataFrame:

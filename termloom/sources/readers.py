@@ -12,6 +12,7 @@ from ..functions.encodings import PYTHON, detect_encoding
 from ..functions.text import count_text
 from ..operators.cleaning import clean_cells, drop_null_columns, drop_null_rows, text_columns, trim_names
 from ..plans.progress import counting
+from .sheets import read_sheet
 
 # Delimiters in order of preference, how much of a file is looked at, and limits.
 DELIMITERS = [",", ";", "\t", "|", ":"]
@@ -79,19 +80,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_excel(spark: SparkSession, path: str, legacy_nulls: bool = False) -> DataFrame:
-    """The first sheet, cleaned. Needs openpyxl; the file is read on the driver, as sheets are bounded in rows."""
+    """The first sheet, or those of a folder's files, cleaned. Texts that stand for a missing value are null."""
     if path.lower().endswith(".xls"):
         raise ValueError(UNSUPPORTED + " (.xls)")
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as missing:
-        raise ImportError("reading .xlsx needs openpyxl") from missing
-    import io
-
-    import pandas as pd
-
-    size = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    return clean_sheet(spark.createDataFrame(pd.read_excel(io.BytesIO(size), engine="openpyxl").convert_dtypes()), legacy_nulls)
+    return clean_sheet(missing_as_null(read_sheet(spark, path)), legacy_nulls)
 
 
 def clean_sheet(df: DataFrame, legacy_nulls: bool = False) -> DataFrame:
