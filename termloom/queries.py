@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.dates import to_date
 from .functions.encodings import detect_encodings
 from .functions.similarity import indel_ratio
-from .functions.text import format_cep, normalize_generic, slugify, tokens
+from .functions.text import CYRILLIC, FINALS, GREEK, INITIALS, VOWELS, format_cep, normalize_generic, slugify, tokens, unaccent
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
 from .operators.dictionary import VOCABULARY, column_types, dictionary
 from .operators.postings import counted, ids_text, postings
@@ -20,7 +20,7 @@ from .operators.vectors import link_counts
 from .plans.checkpoints import shared_dir
 from .plans.profile import clusters_of, long_report, profile
 from .sources import readers, sinks
-from .streaming.ingest import read_files, running_counts
+from .streaming.ingest import latest, publish, read_files, running_counts
 
 # The columns of the tables.
 COLUMNS = {
@@ -103,6 +103,34 @@ def cep_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", format_cep(text).alias("cep"))
 
 
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+
+
+def sql_letters(alphabet: str) -> str:
+    """Each Latin letter as the letter of the other alphabet at its place is written in Latin, one by one."""
+    words = alphabet.split()
+    table = dict(zip(LATIN, words[1::2], strict=False))
+    pairs = ", ".join(f"'{a}': '{b}'" for a, b in table.items())
+    return f"array_to_string(list_transform(string_split(lower(strip_accents(replace(text, 'ß', 'ss'))), ''), lambda c: coalesce(MAP {{{pairs}}}[c], c)), '')"
+
+
+def sql_syllable(n: str) -> str:
+    """A Hangul syllable by its number."""
+    names = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    return f"{names(INITIALS)}[1 + {n} // 588] || {names(VOWELS)}[1 + {n} % 588 // 28] || {names(FINALS)}[1 + {n} % 28]"
+
+
+@query(f"SELECT doc_id, {sql_letters(CYRILLIC)} AS cyrillic, {sql_letters(GREEK)} AS greek, {sql_syllable('(length(text) % 11172)')} AS hangul FROM documents WHERE text IS NOT NULL")
+def fold_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts written in Cyrillic and in Greek letters, and their lengths as Hangul syllables, all folded to Latin."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    plain = F.lower(unaccent(F.col("text")))
+    other = lambda alphabet: F.translate(plain, LATIN[: len(alphabet.split()) // 2], "".join(alphabet.split()[::2])[:26])
+    code = F.length("text") % 11172 + 0xAC00
+    syllable = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    return docs.select("doc_id", unaccent(other(CYRILLIC)).alias("cyrillic"), unaccent(other(GREEK)).alias("greek"), unaccent(syllable).alias("hangul"))
+
+
 CEP_SQL = "SELECT '{c}' AS coluna, count(*) AS n, count(*) FILTER (regexp_full_match(v, '\\d{{7,8}}(\\.0)?')) AS hits, count(*) FILTER (regexp_full_match(v, '\\d{{7,8}}(\\.0)?')) >= 0.8 * count(*) AS is_cep FROM (SELECT {e}::varchar AS v FROM orders ORDER BY o_orderkey LIMIT 100)"
 
 
@@ -527,6 +555,12 @@ def box_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.quartiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
 
 
+@query("SELECT lang AS label, min(n_chars)::double AS lo, quantile_cont(n_chars::double, 0.25) AS q1, quantile_cont(n_chars::double, 0.5) AS median, quantile_cont(n_chars::double, 0.75) AS q3, max(n_chars)::double AS hi FROM documents GROUP BY 1")
+def length_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of texts by language: many different values in few groups."""
+    return aggregates.quartiles(table(spark, sf_dir, "documents"), "lang", "n_chars")
+
+
 @query(P_NAME + "SELECT greatest(count(*) - 8, 0) AS more FROM tab")
 def remainder_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.remainder(part_clusters(spark, sf_dir))
@@ -577,6 +611,15 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_counts(read_files(spark, path, spark.read.parquet(path).schema), "event_type", place(spark))
 
 
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one session has published last, as another session reads it."""
+    shared, docs = place(spark), table(spark, sf_dir, "documents")
+    publish(docs.groupBy("source").count(), shared)
+    publish(docs.groupBy("lang").agg(F.count("*").alias("n")), shared)
+    return latest(spark.newSession(), shared)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
