@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+pa.set_memory_pool(pa.system_memory_pool())  # it gives freed memory back
 MARK = "▁"
 #: A chunk is a run of markers and what follows up to the next one; every text begins with a marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
