@@ -611,12 +611,12 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_counts(read_files(spark, path, spark.read.parquet(path).schema), "event_type", place(spark))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT doc_id, lang, length(text) AS size FROM documents")
 def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one session has published last, as another session reads it."""
     shared, docs = place(spark), table(spark, sf_dir, "documents")
     publish(docs.groupBy("source").count(), shared)
-    publish(docs.groupBy("lang").agg(F.count("*").alias("n")), shared)
+    publish(docs.select("doc_id", "lang", F.length("text").cast("long").alias("size")), shared)
     return latest(spark.newSession(), shared)
 
 
