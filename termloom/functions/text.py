@@ -61,13 +61,25 @@ def romanised() -> dict[str, str]:
     return out | kana | {chr(ord(k) + 0x60): v for k, v in kana.items()} | {"ー": "-", "ヴ": "vu"}
 
 
+#: First and last letter of the blocks that ``romanise`` reads letter by letter.
+BLOCKS = [("\u0370", "\u052f"), ("\u1f00", "\u1fff"), ("\u3041", "\u30fc")]
+
+
 def romanise(c: Column) -> Column:
     """Greek, Cyrillic, kana and Hangul letter by letter in Latin; Hangul by arithmetic on its syllables."""
-    table = F.str_to_map(F.lit("|".join(f"{a}={b}" for a, b in romanised().items())), F.lit("[|]"), F.lit("="))  # one literal
-    part = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    table = romanised()
+    # A block's letters by their place in it: one literal each, looked up by number.
+    listed = lambda a, z: F.split(F.lit("|".join(table.get(chr(k), chr(k)) for k in range(ord(a), ord(z) + 1))), "[|]")
+    part = lambda names, at: F.get(F.split(F.lit("|".join(names)), "[|]"), at.cast("int"))
     code = lambda x: F.ascii(x) - 0xAC00
     hangul = lambda x: F.concat(part(INITIALS, F.floor(code(x) / 588)), part(VOWELS, F.floor(code(x) % 588 / 28)), part(FINALS, code(x) % 28))
-    letter = lambda x: F.when((x >= "\uac00") & (x <= "\ud7a3"), hangul(x)).otherwise(F.coalesce(F.try_element_at(table, x), x))
+
+    def letter(x: Column) -> Column:
+        out = F.when(F.octet_length(x) == 1, x)
+        for a, z in BLOCKS:
+            out = out.when((x >= a) & (x <= z), F.get(listed(a, z), F.ascii(x) - ord(a)))
+        return out.when((x >= "\uac00") & (x <= "\ud7a3"), hangul(x)).otherwise(x)
+
     # As an argument, so that the text is made once; one that is ASCII by now is not taken apart.
     whole = lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(F.array_join(F.transform(F.split(t, ""), letter), ""))
     return F.transform(F.array(c), whole)[0]
