@@ -111,7 +111,7 @@ def sql_letters(alphabet: str) -> str:
     words = alphabet.split()
     table = dict(zip(LATIN, words[1::2], strict=False))
     pairs = ", ".join(f"'{a}': '{b}'" for a, b in table.items())
-    return f"array_to_string(list_transform(string_split(lower(strip_accents(replace(text, 'ß', 'ss'))), ''), lambda c: coalesce(MAP {{{pairs}}}[c], c)), '')"
+    return f"array_to_string(list_transform(string_split(lower(strip_accents(replace(url, 'ß', 'ss'))), ''), lambda c: coalesce(MAP {{{pairs}}}[c], c)), '')"
 
 
 def sql_syllable(n: str) -> str:
@@ -120,15 +120,15 @@ def sql_syllable(n: str) -> str:
     return f"{names(INITIALS)}[1 + {n} // 588] || {names(VOWELS)}[1 + {n} % 588 // 28] || {names(FINALS)}[1 + {n} % 28]"
 
 
-@query(f"SELECT doc_id, {sql_letters(CYRILLIC)} AS cyrillic, {sql_letters(GREEK)} AS greek, {sql_syllable('(length(text) % 11172)')} AS hangul FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT page_id, {sql_letters(CYRILLIC)} AS cyrillic, {sql_letters(GREEK)} AS greek, {sql_syllable('(page_id % 11172)')} AS hangul FROM pages")
 def fold_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts written in Cyrillic and in Greek letters, and their lengths as Hangul syllables, all folded to Latin."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    plain = F.lower(unaccent(F.col("text")))
+    """Addresses written in Cyrillic and in Greek letters, and their numbers as Hangul syllables, all folded to Latin."""
+    pages = table(spark, sf_dir, "pages")
+    plain = F.lower(unaccent(F.col("url")))
     other = lambda alphabet: F.translate(plain, LATIN[: len(alphabet.split()) // 2], "".join(alphabet.split()[::2])[:26])
-    code = F.length("text") % 11172 + 0xAC00
+    code = F.col("page_id") % 11172 + 0xAC00
     syllable = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-    return docs.select("doc_id", unaccent(other(CYRILLIC)).alias("cyrillic"), unaccent(other(GREEK)).alias("greek"), unaccent(syllable).alias("hangul"))
+    return pages.select("page_id", unaccent(other(CYRILLIC)).alias("cyrillic"), unaccent(other(GREEK)).alias("greek"), unaccent(syllable).alias("hangul"))
 
 
 CEP_SQL = "SELECT '{c}' AS coluna, count(*) AS n, count(*) FILTER (regexp_full_match(v, '\\d{{7,8}}(\\.0)?')) AS hits, count(*) FILTER (regexp_full_match(v, '\\d{{7,8}}(\\.0)?')) >= 0.8 * count(*) AS is_cep FROM (SELECT {e}::varchar AS v FROM orders ORDER BY o_orderkey LIMIT 100)"
