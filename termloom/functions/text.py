@@ -80,8 +80,9 @@ def romanise(c: Column) -> Column:
             out = out.when((x >= a) & (x <= z), F.get(listed(a, z), F.ascii(x) - ord(a)))
         return out.when((x >= "\uac00") & (x <= "\ud7a3"), hangul(x)).otherwise(x)
 
-    # As an argument, so that the text is made once; one that is ASCII by now is not taken apart.
-    whole = lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(F.array_join(F.transform(F.split(t, ""), letter), ""))
+    # As an argument, so that the text is made once; one without such letters is not taken apart.
+    known = "[" + "".join(f"{a}-{z}" for a, z in [*BLOCKS, ("\uac00", "\ud7a3")]) + "]"
+    whole = lambda t: F.when((F.length(t) == F.octet_length(t)) | ~t.rlike(known), t).otherwise(F.array_join(F.transform(F.split(t, ""), letter), ""))
     return F.transform(F.array(c), whole)[0]
 
 
