@@ -19,9 +19,10 @@ def value_column(df: DataFrame) -> str | None:
     return next((c for c in VALUES if c in df.columns), None)
 
 
-def head(df: DataFrame, n: int, order: list) -> DataFrame:
-    """The first n rows in an order: a top-k of each partition, then of those."""
-    return df.orderBy(*order).limit(n)
+def head(df: DataFrame, n: int, order: list, shown: list[str]) -> DataFrame:
+    """The first n rows in an order: a top-k of each partition, then of those. Where the order leaves open which rows
+    these are, the values that the chart shows decide, so that it does not hang on how rows lie in files and tasks."""
+    return df.orderBy(*order, *[F.col(f"`{c}`") for c in shown]).limit(n)
 
 
 def bar(df: DataFrame, order: list) -> DataFrame | None:
@@ -29,7 +30,7 @@ def bar(df: DataFrame, order: list) -> DataFrame | None:
     label = label_column(df)
     if label is None:
         return None
-    return head(df, BAR, order).select(F.col(label).alias("label"), "frequencia")
+    return head(df, BAR, order, [label, "frequencia"]).select(F.col(label).alias("label"), "frequencia")
 
 
 def pie_sum(df: DataFrame, label: str, value: str = "frequencia") -> DataFrame:
@@ -41,7 +42,7 @@ def pie_mean(df: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def line(df: DataFrame, label: str, value: str, order: list) -> DataFrame:
-    return head(df, LINE, order).select(F.col(label).alias("label"), F.col(value).alias("value"))
+    return head(df, LINE, order, [label, value]).select(F.col(label).alias("label"), F.col(value).alias("value"))
 
 
 def scatter(df: DataFrame, label: str, order: list) -> DataFrame:
@@ -49,7 +50,7 @@ def scatter(df: DataFrame, label: str, order: list) -> DataFrame:
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)][:2]
     if len(numbers) < 2:
         raise ValueError("a scatter chart needs two numeric columns")
-    return head(df, SCATTER, order).select(F.col(label).alias("label"), F.col(numbers[0]).alias("x"), F.col(numbers[1]).alias("y"))
+    return head(df, SCATTER, order, [label, *numbers]).select(F.col(label).alias("label"), F.col(numbers[0]).alias("x"), F.col(numbers[1]).alias("y"))
 
 
 def remainder(df: DataFrame, shown: int = 8) -> DataFrame:
