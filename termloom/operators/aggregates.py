@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +60,72 @@ def value_counts(values: DataFrame) -> DataFrame:
     return values.groupBy("coluna", "v").agg(F.count("*").alias("n"), F.min("_pos").alias("first"))
 
 
+def zero(v: Column, kind: T.DataType) -> Column:
+    """The text of a floating zero, null for all else: as keys of groups and joins the two zeros are one."""
+    return F.when(v == 0, v.cast("string")) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(None).cast("string")
+
+
 def counts_by_column(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """The same for whole columns of a table: values are counted as they are and only then written as Python does."""
-    kinds = {f.name: f.dataType for f in df.schema}
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("coluna"), F.col(f"`{c}`").cast("string").alias("raw")) for c in columns])).alias("c")
-    raw = df.select(F.col(f"`{order}`").alias("_pos"), cells).select("c.coluna", "c.raw", "_pos").where("raw is not null").groupBy("coluna", "raw").agg(F.count("*").alias("n"), F.min("_pos").alias("first"))
-    text = F.coalesce(*[F.when(F.col("coluna") == c, py_text(F.col("raw").cast(kinds[c]), kinds[c])) for c in columns])
-    return raw.withColumn("v", text).groupBy("coluna", "v", "raw").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    """The same for whole columns of a table, and raw, the value's own text: columns of a type go together, values are
+    counted as they are and only then written."""
+    kinds, parts = {f.name: f.dataType for f in df.schema}, []
+    for kind in dict.fromkeys(kinds[c] for c in columns):
+        of = [c for c in columns if kinds[c] == kind]
+        v = F.col("c.v") if isinstance(kind, NATIVE) else F.col("c.v").cast("string")
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(of)])).alias("c")
+        found = df.select(F.col(f"`{order}`").alias("_pos"), cells).select("c.i", v.alias("v"), "_pos").where("v is not null").groupBy("i", "v", zero(F.col("v"), kind).alias("z")).agg(F.count("*").alias("n"), F.min("_pos").alias("first"))
+        raw = F.coalesce("z", F.col("v").cast("string"))
+        found = found.select(F.get(F.array(*[F.lit(c) for c in of]), F.col("i")).alias("coluna"), raw.alias("raw"), "n", "first")
+        parts.append(found.withColumn("v", py_text(F.col("raw").cast(kind), kind)))
+    return reduce(DataFrame.union, parts).groupBy("coluna", "v", "raw").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+#: Types whose values are counted and joined as they are; others are by their text.
+NATIVE = (T.IntegralType, T.FractionalType, T.StringType, T.BooleanType, T.DateType)
+#: Clusters are bits of words when keys are counted: bits of a word, and words that go through one shuffle.
+BITS, WORDS = 63, 8
+
+
+def keys_by_cluster(df: DataFrame, key: str, named: DataFrame) -> DataFrame:
+    """named (coluna, raw, leader), some hundred rows a column -> (coluna, leader, frequencia): the distinct keys of each
+    cluster's rows. The clusters of a row are bits, or-ed by key: a row for each of the table's is shuffled, not one for
+    each of its cells (once for each BITS * WORDS clusters)."""
+    found = named.select("coluna", "raw", "leader").distinct().orderBy("coluna", "leader", "raw").collect()
+    spark, kinds = df.sparkSession, {f.name: f.dataType for f in df.schema}
+    number: dict[tuple, int] = {}
+    for r in found:
+        number.setdefault((r["coluna"], r["leader"]), len(number))
+    parts = []
+    for start in range(0, len(number), BITS * WORDS):
+        here = {k: n - start for k, n in number.items() if start <= n < start + BITS * WORDS}
+        words, tables = -(-len(here) // BITS), {}
+        for r in found:
+            if (r["coluna"], r["leader"]) in here:
+                n = here[r["coluna"], r["leader"]]
+                tables.setdefault(r["coluna"], []).append((r["raw"], n // BITS, 1 << n % BITS))
+        rows = df.select(F.col(f"`{key}`").alias("id"), *[(F.col(f"`{c}`") if isinstance(kinds[c], NATIVE) else F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(tables)])
+        for i, (c, held) in enumerate(tables.items()):
+            kind = rows.schema[f"v{i}"].dataType
+            table = spark.createDataFrame(held, "raw string, word int, bit long")
+            table = table.select(F.col("raw").cast(kind).alias(f"k{i}"), zero(F.col("raw").cast(kind), kind).alias(f"z{i}"), F.col("word").alias(f"w{i}"), F.col("bit").alias(f"b{i}"))
+            rows = rows.join(F.broadcast(table), (F.col(f"v{i}") == F.col(f"k{i}")) & zero(F.col(f"v{i}"), kind).eqNullSafe(F.col(f"z{i}")), "left")
+        bits = lambda w: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"w{i}") == w, F.col(f"b{i}")).otherwise(F.lit(0).cast("long")) for i in range(len(tables))])
+        keys = rows.select("id", *[bits(w).alias(f"bits{w}") for w in range(words)]).groupBy("id").agg(*[F.bit_or(f"bits{w}").alias(f"bits{w}") for w in range(words)])
+
+        def count(batches: Iterator[pa.RecordBatch], words=words, start=start) -> Iterator[pa.RecordBatch]:
+            many = np.zeros((words, 64), np.int64)
+            for batch in batches:
+                for w in range(words):
+                    many[w] += np.unpackbits(batch.column(w).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n = many[:, :BITS].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(n)), pa.int64()), pa.array(n)], ["number", "n"])
+
+        parts.append(keys.drop("id").mapInArrow(count, "number long, n long"))
+    names = spark.createDataFrame([(c, leader, n) for (c, leader), n in number.items()], "coluna string, leader long, number long")
+    if not parts:
+        return names.select("coluna", "leader", F.col("number").alias("frequencia"))
+    sums = reduce(DataFrame.union, parts).groupBy("number").agg(F.sum("n").alias("frequencia"))
+    return sums.join(F.broadcast(names), "number").select("coluna", "leader", "frequencia")
 
 
 def top_counts(counts: DataFrame, most: int = 200, keep: int = 100) -> DataFrame:

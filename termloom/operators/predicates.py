@@ -54,7 +54,29 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool) -> dict[str, i
         sizes = df.agg(*[F.size(F.collect_set(column[c])).alias(f"s{i}") for i, c in enumerate(few)]).first()
         out |= {c: sizes[i] for i, c in enumerate(few)}
     close = lambda i, c: out[c] >= (1 - 20 * ERROR) * (got["n"] - 1) and got[f"c{i}"] >= got["n"] - 1
-    return out | exact_counts(df, [c for i, c in enumerate(names) if c not in few and (exact or close(i, c))], exact)
+    rest = {c: got[f"c{i}"] for i, c in enumerate(names) if c not in few and (exact or close(i, c))}
+    if not exact and rest:  # a column that repeats a value is no key: then any number below its rows will do
+        out |= {c: min(out[c], rest.pop(c) - 1) for c in repeats(df, list(rest), got["n"])}
+    return out | exact_counts(df, list(rest), exact)
+
+
+#: Rows in which repeats are looked for first, about.
+SLICE = 1 << 18
+
+
+def cells_of(df: DataFrame, names: list[str]) -> list[Column]:
+    """(i, h, v) of each column: its number, its value's hash and text."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    as_text = lambda c: F.base64(F.col(f"`{c}`")) if isinstance(kinds[c], T.BinaryType) else F.col(f"`{c}`").cast("string")
+    return [F.struct(F.lit(i).alias("i"), F.xxhash64(F.col(f"`{c}`")).alias("h"), as_text(c).alias("v")) for i, c in enumerate(names)]
+
+
+def repeats(df: DataFrame, names: list[str], rows: int) -> list[str]:
+    """Columns that surely repeat a value: all rows are read, those with values of some hashes are compared. A column that
+    is not named may repeat values too; only ``exact_counts`` tells."""
+    part = F.filter(F.array(*cells_of(df, names)), lambda x: x["v"].isNotNull() & (F.pmod(x["h"], F.lit(1 + rows // SLICE)) == 0))
+    seen = df.select(F.explode(part).alias("x")).select("x.*").groupBy("i", "h", "v").agg(F.count("*").alias("n")).where("n > 1")
+    return [names[r["i"]] for r in seen.select("i").distinct().collect()]  # a row a column
 
 
 def exact_counts(df: DataFrame, names: list[str], whole: bool = True) -> dict[str, int]:
@@ -78,9 +100,7 @@ def exact_counts(df: DataFrame, names: list[str], whole: bool = True) -> dict[st
     repeated = [i for i in found if found[i]["again"]]
     if not repeated:
         return out
-    kinds = {f.name: f.dataType for f in df.schema}
-    as_text = lambda c: F.base64(F.col(f"`{c}`")) if isinstance(kinds[c], T.BinaryType) else F.col(f"`{c}`").cast("string")
-    hashed = lambda i: F.struct(F.lit(i).alias("i"), F.xxhash64(F.col(f"`{names[i]}`")).alias("h"), as_text(names[i]).alias("v"))
+    hashed = cells_of(df, names).__getitem__
     if not whole:  # one hash a column that was seen again: rows of the same value settle that it is no key
         cells = F.explode(F.filter(F.array(*[hashed(i) for i in repeated]), lambda x: F.array_contains(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(found[i]["h"]).cast("long").alias("h")) for i in repeated]), F.struct(x["i"].alias("i"), x["h"].alias("h")))))
         rows = df.select(cells.alias("x")).select("x.*").where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(F.max("n").alias("n")).collect()

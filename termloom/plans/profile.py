@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import counted_groups, counts_by_column, date_stats, long_values, norm_groups, normalised, numeric_stats, placed, top_counts, top_values
+from ..operators.aggregates import counted_groups, counts_by_column, date_stats, keys_by_cluster, long_values, norm_groups, normalised, numeric_stats, placed, top_counts, top_values
 from ..operators.cleaning import number_rows
 from ..operators.clustering import cluster_table, counted_cluster_table, fuzzy_clusters
 from ..operators.dictionary import detect_column_types
@@ -54,11 +54,8 @@ def counted_clusters_of(df: DataFrame, columns: list[str], key: str, order: str,
     table = counted_cluster_table(groups, clusters)
     if unique:
         return table.drop("leader")
-    # At most some hundred values of each column are broadcast.
     named = normalised(counts).join(clusters.select("coluna", "norm", "leader"), ["coluna", "norm"]).select("coluna", "raw", "leader")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("coluna"), F.col(f"`{c}`").cast("string").alias("raw")) for c in columns])).alias("c")
-    ids = known.select(F.col(f"`{key}`").alias("id"), cells).select("c.coluna", "c.raw", "id").join(F.broadcast(named), ["coluna", "raw"]).groupBy("coluna", "leader", "id").agg(F.lit(1).alias("one"))
-    return table.drop("frequencia").join(ids.groupBy("coluna", "leader").agg(F.count("*").alias("frequencia")), ["coluna", "leader"]).orderBy("coluna", F.desc("frequencia"), "leader").drop("leader")
+    return table.drop("frequencia").join(keys_by_cluster(known, key, named), ["coluna", "leader"]).orderBy("coluna", F.desc("frequencia"), "leader").drop("leader")
 
 
 def profile(df: DataFrame, order: str | None = None, key: str | None = None, terms: DataFrame | None = None, progress=None, ids: bool = True) -> Profile:
