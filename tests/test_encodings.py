@@ -56,3 +56,10 @@ def test_many_heads(spark):
     rows = [(i, None if i == 3 else SAID[s].encode(encodings.PYTHON[n], "ignore")) for i, (s, n) in enumerate(CASES[:20])]
     got = {r["i"]: r["encoding"] for r in encodings.detect_encodings(spark.createDataFrame(rows, "i int, head binary"), "head").collect()}
     assert got == {i: None if i == 3 else n for i, (_, n) in enumerate(CASES[:20])}
+
+
+@pytest.mark.parametrize("code,name", [("cp850", "IBM850"), ("latin-1", "ISO-8859-1")])
+@pytest.mark.parametrize("text", ["Étre de sur è.", "Le Le eux eux eux Ê Ê Ê", "Enß chungbe scheiner stte ist der tezu ist der die", "Équeeuxaux auxç eau çier de pour en qui reeux.", "Des le. Étre. Aiention è aitrement la.", "Keitte verßlich verßlich chß ch", "Erbekeit!! RUNGÜ!! DER KEITÄ!! IEENÖCHST", "Rétionle menttion. Éèlean ouieran."])
+def test_capitals_and_letters_of_the_language(text, code, name):
+    """Texts with few letters beyond ASCII: capitals, single letters, letters that only the words around them tell."""
+    assert encodings.detect_encoding(text.encode(code)) == name
