@@ -63,3 +63,11 @@ def test_many_heads(spark):
 def test_capitals_and_letters_of_the_language(text, code, name):
     """Texts with few letters beyond ASCII: capitals, single letters, letters that only the words around them tell."""
     assert encodings.detect_encoding(text.encode(code)) == name
+
+
+@pytest.mark.parametrize("code,name", [("cp850", "IBM850"), ("latin-1", "ISO-8859-1")])
+@pytest.mark.parametrize("text", ["Äau " * 30 + "der " * 30, "Un aion ou de les de la. anpa " + "éenre. " * 20 + "Du le des", "An de de la eauque " + "étre. " * 30, "Euxai la la " + "ouaion, " * 9 + "de de de " + "ééê. " * 20, "Ouwhea the of rend.\nChsch der üöö enbekeit ö, den. Aukei", "The a and of the her.\nÓ y uecoez ra el", "Le Le de de de " + "ètion. " * 40 + "Aneau."])
+def test_repeated_words_and_passages(text, code, name):
+    """A word said again tells little more; the whole text's words count where the next ones tell no language; words of
+    another script have vowels."""
+    assert encodings.detect_encoding(text.encode(code)) == name
