@@ -26,6 +26,8 @@ from ..plans.checkpoints import cut
 CELL, PIVOTS = 4096, 4096
 #: Vectors of a cell that a task holds; a larger cell lies in blocks of about so many. Others pass by STEP at a time.
 BLOCK, STEP = 8192, 1024
+#: Where pairs are told, at most so many are looked at before they leave a task.
+LOOK = 1 << 20
 #: Slack of all bounds, far above the rounding of a product of unit vectors.
 SLACK = 1e-9
 
@@ -40,11 +42,16 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def fine_vectors(vectors: DataFrame) -> DataFrame:
+    """Those that a cosine can be told of: not null, zero or with a component that is null or not finite."""
+    fine = vectors.where("v is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    return fine.select(F.col("pos").cast("long").alias("pos"), "v")  # in its own type: floats are half as long
+
+
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vectors (pos, v) -> (d, pos, v, n): each different vector once, at its first place, with its number of rows;
     and (pos, class_id): the class of every row. Vectors that are null, zero or not finite are left out of both."""
-    fine = vectors.where("v is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    fine = fine.select(F.col("pos").cast("long").alias("pos"), "v")  # in its own type: floats are half as long
+    fine = fine_vectors(vectors)
     classes = cut(fine.groupBy("v").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).select(F.size("v").alias("d"), "pos", "v", "n"))
     return classes, fine.join(classes.select("v", F.col("pos").alias("class_id")), "v").select("pos", "class_id")
 
@@ -114,6 +121,9 @@ def meetings(batches: Iterator[pa.RecordBatch], size: int, threshold: float, pai
     key, own, x = None, [], None
     pos = n = k = None
 
+    def step() -> int:
+        return max(1, min(STEP, LOOK // len(x))) if pairs else STEP
+
     def told(a, b, n_a, n_b, like, cosines) -> Iterator[pa.RecordBatch]:
         if pairs:
             i, j = np.nonzero(like)
@@ -132,9 +142,10 @@ def meetings(batches: Iterator[pa.RecordBatch], size: int, threshold: float, pai
         nonlocal x, pos, n, k
         x, pos, n = (np.concatenate(part) for part in zip(*own, strict=True))
         k = np.zeros(len(x))
-        for at in range(0, len(x), STEP):
-            c = x @ x[at : at + STEP].T
-            yield from told(pos, pos[at : at + STEP], n, n[at : at + STEP], (c >= threshold) & (pos[:, None] > pos[None, at : at + STEP]), c)
+        for at in range(0, len(x), step()):
+            to = at + step()
+            c = x @ x[at:to].T
+            yield from told(pos, pos[at:to], n, n[at:to], (c >= threshold) & (pos[:, None] > pos[None, at:to]), c)
 
     def end() -> Iterator[pa.RecordBatch]:
         if own and x is None:
@@ -156,9 +167,10 @@ def meetings(batches: Iterator[pa.RecordBatch], size: int, threshold: float, pai
                 continue
             if own and x is None:
                 yield from begin()
-            for low in range(0, len(v) if own else 0, STEP):
-                c = x @ v[low : low + STEP].T
-                yield from told(pos, part.column(3).to_numpy()[low : low + STEP], n, part.column(5).to_numpy()[low : low + STEP], c >= threshold, c)
+            for low in range(0, len(v) if own else 0, step() if own else 1):
+                high = low + step()
+                c = x @ v[low:high].T
+                yield from told(pos, part.column(3).to_numpy()[low:high], n, part.column(5).to_numpy()[low:high], c >= threshold, c)
     yield from end()
 
 
@@ -196,6 +208,14 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     return by_size(classes, threshold, True)
 
 
+def row_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """vectors (pos, v) -> (pos, earlier, cosine) of all pairs of rows at the threshold or above, in double precision,
+    copies of one vector among them. Vectors that are null, zero or not finite, and rows without a place, pair with
+    nothing. Pairs leave the tasks in which vectors meet and are never shuffled or kept; there are as many as links."""
+    rows = fine_vectors(vectors).where("pos is not null").select(F.size("v").alias("d"), "pos", "v", F.lit(1).cast("long").alias("n"))
+    return class_links(rows, threshold).where("earlier < pos")
+
+
 def link_counts(vectors: DataFrame, threshold: float) -> DataFrame:
     """vectors (pos, v) -> pos, class_id, n_links: the first place of the same vector, and how many other vectors have
     a cosine of the threshold or more, in double precision; equal vectors have. Null for vectors that are null, zero or

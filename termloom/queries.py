@@ -16,7 +16,7 @@ from .functions.text import CYRILLIC, FINALS, GREEK, INITIALS, VOWELS, format_ce
 from .operators import aggregates, charts, cleaning, clustering, predicates, terms
 from .operators.dictionary import VOCABULARY, column_types, dictionary
 from .operators.postings import counted, ids_text, postings
-from .operators.vectors import link_counts
+from .operators.vectors import row_pairs
 from .plans.checkpoints import shared_dir
 from .plans.profile import clusters_of, long_report, profile
 from .sources import readers, sinks
@@ -495,11 +495,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
 
 
-@query(f"""WITH n AS (SELECT a.vec_id AS pos, count(*) AS n FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE {SQL_COSINE} >= 0.3 GROUP BY 1)
-SELECT vec_id AS pos, min(vec_id) OVER (PARTITION BY embedding) AS class_id, coalesce(n, 0) AS n_links FROM embeddings LEFT JOIN n ON vec_id = pos""")
+@query(f"SELECT a.vec_id AS pos, b.vec_id AS earlier, round({SQL_COSINE}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE {SQL_COSINE} >= 0.3")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector join with a row for each vector: its class of equal ones, and how many others it links with."""
-    return link_counts(vectors(spark, sf_dir), 0.3)
+    return row_pairs(vectors(spark, sf_dir), 0.3).withColumn("cosine", F.round("cosine", 6))
 
 
 def sql_leaders(threshold: float) -> str:

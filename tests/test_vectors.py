@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from termloom import queries
 from termloom.operators import terms, vectors
 
 
@@ -102,3 +103,22 @@ def test_no_vectors(spark):
         assert vectors.link_counts(df, 0.5).count() == len(rows)
         assert {r["pos"]: r["leader"] for r in vectors.leaders(df, 0.5).collect()} == {i: i for i, _ in rows}
         assert terms.cosine_pairs(df, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.3])
+def test_pairs_of_rows(spark, monkeypatch, threshold):
+    """Every pair of rows with its cosine, copies of a vector too; few are looked at before they leave a task."""
+    monkeypatch.setattr(vectors, "CELL", 12)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "LOOK", 20)
+    rows = rows_of(4)
+    got = [(r["pos"], r["earlier"], r["cosine"]) for r in vectors.row_pairs(frame(spark, rows), threshold).collect()]
+    good = [(i, v) for i, v in rows if fine(v)]
+    want = {(i, j): cosine(v, w) for i, v in good for j, w in good if j < i and cosine(v, w) >= threshold}
+    assert len(got) == len(want) and all(abs(want[p, q] - c) < 1e-12 for p, q, c in got)
+
+
+def test_query_lists_pairs(spark, tmp_path):
+    """A row a pair with its cosine, not a row a vector."""
+    spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.6, 0.8], 1), (4, [0.0, -1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(tuple(r) for r in queries.cosine_pairs(spark, str(tmp_path)).collect()) == [(2, 1, 1.0), (3, 1, 0.6), (3, 2, 0.6)]
