@@ -521,6 +521,9 @@ def embedding_clusters_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- charts
 
+#: Where a row stands in its table.
+PLACE = ["_metadata.file_path", "_metadata.row_index"]
+
 
 @query(P_NAME + "SELECT termo_base AS label, frequencia FROM tab ORDER BY frequencia DESC, termo_base LIMIT 8")
 def bar_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,13 +542,14 @@ def pie_mean_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag AS label, l_extendedprice AS value FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 8")
 def line_head8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.line(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", ["l_orderkey", "l_linenumber"])
+    df = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_returnflag", "l_orderkey", "l_linenumber", *PLACE)
+    return charts.line(df, "l_returnflag", "l_extendedprice", ["l_orderkey", "l_linenumber"], ["file_path", "row_index"])
 
 
 @query("SELECT l_returnflag AS label, l_quantity AS x, l_extendedprice AS y FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 30")
 def scatter_head30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", "l_orderkey", "l_linenumber")
-    return charts.scatter(df, "l_returnflag", ["l_orderkey", "l_linenumber"])
+    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", "l_orderkey", "l_linenumber", *PLACE)
+    return charts.scatter(df, "l_returnflag", ["l_orderkey", "l_linenumber"], ["file_path", "row_index"])
 
 
 @query("SELECT l_returnflag AS label, min(l_quantity) AS lo, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
