@@ -71,3 +71,11 @@ def test_repeated_words_and_passages(text, code, name):
     """A word said again tells little more; the whole text's words count where the next ones tell no language; words of
     another script have vowels."""
     assert encodings.detect_encoding(text.encode(code)) == name
+
+
+def test_a_word_said_again_tells_no_language():
+    """The pairs of letters of a repeated word stand around each letter, the rest of the text is in another language."""
+    text = "Mentèch " * 37 + "est est est la pour les " + "eaure dans une " * 3
+    assert encodings.detect_encoding(text.encode("cp850")) == "IBM850"
+    said = encodings.spoken(encodings.np.frombuffer(b". ch ch chch ch ", encodings.np.uint8))
+    assert said[0].tolist() == [0, 0, 1, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0, 1, 0]
